@@ -17,8 +17,26 @@ DEVICES = ["inv0", "inv1", "grid", "heatpump", "aux"]
 CHUNK_SECONDS = 900
 
 
+# Schemas of the given tables, so that no job has to infer them.
+GIVEN = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(GIVEN[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
+def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.readStream.schema(GIVEN[table]).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def as_readings(events: DataFrame) -> DataFrame:
@@ -246,3 +264,30 @@ def duplicated(samples: DataFrame) -> DataFrame:
     again = samples.where(F.col("seq") % 10 == 0).withColumns({
         "seq": F.col("seq") + 1_000_000_000, "ac_power_active": F.lit(-1.0).cast("float")})
     return samples.unionByName(again)
+
+
+def fleet_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A large valid roster: customers as devices, sites by nation, some sites without a primary meter."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, "inverter").otherwise("meter")
+    return read(spark, sf_dir, "customer").select(
+        F.concat(F.lit("N"), "c_nationkey").alias("site_id"), F.concat(F.lit("dev_"), k).alias("device_name"),
+        kind.alias("kind"), F.when(k % 3 == 1, "feed-in").when(k % 6 == 2, "consumption").alias("location"),
+        ((k % 3 != 0) & (k % 31 == 0)).alias("is_primary"))
+
+
+def configured_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new configuration of the even-numbered sites: a fifth of the devices gone, the others primary-less."""
+    k = F.col("c_custkey")
+    gone = (k % 5 == 0) | (F.col("c_nationkey") % 2 == 1)
+    return read(spark, sf_dir, "customer").where(~gone).select(
+        F.concat(F.lit("N"), "c_nationkey").alias("site_id"), F.concat(F.lit("dev_"), k).alias("device_name"),
+        F.lit("meter").alias("kind"), F.lit(None).cast("string").alias("location"), F.lit(False).alias("is_primary"))
+
+
+def write_store(spark: SparkSession, sf_dir: str, store: str) -> None:
+    """A store folder with the adapter's samples, roster and sites."""
+    for table, df in (("inverter_samples", inverter_samples(spark, sf_dir)), ("meter_samples", meter_samples(spark, sf_dir))):
+        df.write.partitionBy("day").parquet(f"{store}/{table}")
+    registry(spark, sf_dir).write.parquet(f"{store}/device_registry")
+    sites(spark, sf_dir).write.parquet(f"{store}/site")

@@ -33,6 +33,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath) and len(fs.listStatus(hpath)) > 0
 
 
+def list_versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished ``version=N`` folders below ``path``."""
+    fs, hpath = _fs(spark, path)
+    if not fs.exists(hpath):
+        return []
+    done = [s.getPath() for s in fs.listStatus(hpath)]
+    done = [p for p in done if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("version=")) for p in done)
+
+
 def write_days(df: DataFrame, path: str) -> None:
     """Replace exactly the ``day`` partitions present in ``df``."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
@@ -42,6 +52,18 @@ def append_days(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("day").parquet(path)
 
 
+def insert_first(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
+    """Append rows whose ``keys`` are not stored yet; an earlier row always wins.
+
+    Only the key columns of the touched days are read.  Repeating a batch adds
+    nothing, which makes a streaming retry harmless.
+    """
+    if exists(spark, path):
+        stored = spark.read.schema(new.schema).parquet(path).select(*keys, "day")
+        new = new.join(stored.join(new.select("day").distinct(), "day", "left_semi"), [*keys, "day"], "left_anti")
+    append_days(new, path)
+
+
 def upsert_days(spark: SparkSession, new: DataFrame, path: str, keys: list[str] | None = None) -> None:
     """Insert or replace rows by ``(keys, day)``; untouched days are not rewritten.
 
