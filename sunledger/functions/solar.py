@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sunledger.functions.timeutil import zone
+from sunledger.functions.timeutil import to_instant
 
 # Fixed values of the day-length model: Cooper declination, equation of time in minutes.
 TILT_DEG = 23.45
@@ -27,7 +27,7 @@ def daylight_calendar(spine: DataFrame, tz: str | Column) -> DataFrame:
     doy = F.dayofyear("day")
     step = spine.withColumns({
         "_phi": F.radians("latitude"),
-        "_off_h": (F.unix_seconds(noon) - F.unix_seconds(F.to_utc_timestamp(noon, zone(tz)))) / F.lit(3600.0),
+        "_off_h": (F.unix_seconds(noon) - F.unix_seconds(to_instant(noon, tz))) / F.lit(3600.0),
         "_decl": math.radians(TILT_DEG) * F.sin(F.lit(2 * math.pi / 365.0) * (doy + 284)),
         "_b": F.radians(F.lit(360.0 / 364.0) * (doy - 81)),
     })
@@ -49,7 +49,7 @@ def daylight_calendar(spine: DataFrame, tz: str | Column) -> DataFrame:
     })
     # The clock time of sunrise is civil time, turned into an instant by the zone.
     civil = F.timestamp_seconds(F.unix_seconds(F.col("day").cast("timestamp")) + F.col("_rise_s"))
-    step = step.withColumn("sunrise", F.to_utc_timestamp(civil, zone(tz)))
+    step = step.withColumn("sunrise", to_instant(civil, tz))
     step = step.withColumns({
         "sunset": F.timestamp_seconds(F.unix_seconds("sunrise") + F.col("seconds")),
         "daylight": F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("seconds").cast("decimal(18,6)")),

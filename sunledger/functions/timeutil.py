@@ -7,6 +7,8 @@ one job.
 from __future__ import annotations
 
 import datetime as dt
+from functools import lru_cache
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,14 +17,45 @@ def zone(tz: str | Column) -> Column:
     return F.lit(tz) if isinstance(tz, str) else tz
 
 
+def to_instant(civil: Column, tz: str | Column) -> Column:
+    """Civil time (as a UTC-zoned timestamp) to the instant it names in ``tz``.
+
+    Of a civil time that occurs twice when clocks go back, the second (standard
+    time) is meant; Spark alone would take the first.  A skipped one moves
+    forward by the gap.
+    """
+    first = F.to_utc_timestamp(civil, zone(tz))
+    ahead = first + F.expr("INTERVAL '3' HOUR")
+    offset_after = F.unix_micros(F.from_utc_timestamp(ahead, zone(tz))) - F.unix_micros(ahead)
+    second = F.timestamp_micros(F.unix_micros(civil) - offset_after)
+    return F.when(F.from_utc_timestamp(second, zone(tz)) == civil, second).otherwise(first)
+
+
+@lru_cache
+def _midnight_repeats(tz: str) -> bool:
+    """Whether some local midnight of 1970-2069 occurs twice in ``tz``."""
+    info = ZoneInfo(tz)
+    midnights = (dt.datetime(1970, 1, 1, tzinfo=info) + dt.timedelta(days=d) for d in range(36525))
+    return any(m.utcoffset() > m.replace(fold=1).utcoffset() for m in midnights)
+
+
 def local_day(time: Column | str, tz: str | Column) -> Column:
-    """The wall-clock day an instant falls on (23, 24 or 25 hours long)."""
-    return F.to_date(F.from_utc_timestamp(time, zone(tz)))
+    """The wall-clock day an instant falls on (23, 24 or 25 hours long).
+
+    Days begin at ``day_start``.  Where midnight itself can occur twice, the
+    hour before the second one still belongs to the day before.
+    """
+    time = F.col(time) if isinstance(time, str) else time
+    day = F.to_date(F.from_utc_timestamp(time, zone(tz)))
+    if isinstance(tz, str) and not _midnight_repeats(tz):
+        return day
+    return F.when(time < day_start(day, tz), F.date_sub(day, 1)).otherwise(day)
 
 
 def day_start(day: Column | str, tz: str | Column) -> Column:
     """The instant a local day begins."""
-    return F.to_utc_timestamp(F.col(day).cast("timestamp") if isinstance(day, str) else day.cast("timestamp"), zone(tz))
+    day = F.col(day) if isinstance(day, str) else day
+    return to_instant(day.cast("timestamp"), tz)
 
 
 def day_end(day: Column | str, tz: str | Column) -> Column:

@@ -14,13 +14,18 @@ from sunledger import KEY
 from sunledger.functions.timeutil import local_day, span_seconds, time_bucket
 
 
-def day_buckets(samples: DataFrame, counters: list[str], tz: str | Column, bucket_seconds: int) -> DataFrame:
+def day_buckets(samples: DataFrame, counters: list[str], tz: str | Column, bucket_seconds: int,
+                power: str | None = None) -> DataFrame:
     """First level: one row per (device, local day, bucket).
 
     Grouping by bucket first makes the later count of buckets a plain count
-    instead of a distinct count, which would expand every row.
+    instead of a distinct count, which would expand every row.  With a
+    ``power`` column the same pass also prepares the downsampled power.
     """
     aggs = [F.count(F.lit(1)).alias("n"), F.min("time").alias("t0"), F.max("time").alias("t1")]
+    if power is not None:
+        aggs += [F.count(power).alias("power_n"), F.sum(power).alias("power_sum"),
+                 F.min(power).alias("power_min"), F.max(power).alias("power_max")]
     for c in counters:
         at = F.when(F.col(c).isNotNull(), F.col("time"))
         aggs += [
@@ -31,7 +36,7 @@ def day_buckets(samples: DataFrame, counters: list[str], tz: str | Column, bucke
             F.max_by(c, at).alias(f"{c}_v1"),
         ]
     return (
-        samples.select(*KEY, "time", *counters,
+        samples.select(*KEY, "time", *counters, *([power] if power else []),
                        local_day("time", tz).alias("day"),
                        time_bucket("time", bucket_seconds).alias("bucket"))
         .groupBy(*KEY, "day", "bucket")

@@ -33,6 +33,10 @@ def _on_spine(spine: DataFrame, per_day: DataFrame) -> DataFrame:
     return spine.select(*KEY, "day").join(per_day, [*KEY, "day"], "left")
 
 
+INVERTER_COUNTERS = ["ac_energy"]
+METER_COUNTERS = ["energy_active_import", "energy_active_export"]
+
+
 def inverter_daily(
     samples: DataFrame,
     spine: DataFrame,
@@ -49,7 +53,14 @@ def inverter_daily(
     denominator and a shortfall is flagged; otherwise the day length is, and
     coverage raises no doubt.
     """
-    per_day = C.counter_boundary(samples, ["ac_energy"], tz, bucket_seconds)
+    buckets = C.day_buckets(samples, INVERTER_COUNTERS, tz, bucket_seconds)
+    return inverter_days(buckets, spine, daylight, tz, coverage_min, continuity_min, bucket_seconds)
+
+
+def inverter_days(buckets: DataFrame, spine: DataFrame, daylight: DataFrame | None, tz: str | Column,
+                  coverage_min: float, continuity_min: float, bucket_seconds: int) -> DataFrame:
+    """:func:`inverter_daily` from bucketed samples."""
+    per_day = C.day_boundaries(buckets, INVERTER_COUNTERS)
     df = daylight_join(_on_spine(spine, per_day), daylight)
     lit_day = F.col("daylight_s") > 0
     full = day_seconds("day", tz)
@@ -94,8 +105,15 @@ def meter_daily(
 
     Count, span and buckets use all rows; each counter skips its own NULLs.
     """
-    imp, exp = "energy_active_import", "energy_active_export"
-    df = _on_spine(spine, C.counter_boundary(samples, [imp, exp], tz, bucket_seconds))
+    buckets = C.day_buckets(samples, METER_COUNTERS, tz, bucket_seconds)
+    return meter_days(buckets, spine, tz, coverage_min, continuity_min, bucket_seconds)
+
+
+def meter_days(buckets: DataFrame, spine: DataFrame, tz: str | Column,
+               coverage_min: float, continuity_min: float, bucket_seconds: int) -> DataFrame:
+    """:func:`meter_daily` from bucketed samples."""
+    imp, exp = METER_COUNTERS
+    df = _on_spine(spine, C.day_boundaries(buckets, METER_COUNTERS))
     df = df.withColumn("full_secs", day_seconds("day", tz))
     df = df.withColumns({
         "sample_count": F.coalesce("rows", F.lit(0)),

@@ -79,5 +79,10 @@ def first_wins(readings: DataFrame, keys: list[str], order: str = "seq") -> Data
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row per key; partial maxima are taken before the shuffle."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("_r")).select("_r.*")
+    """The last row per key, combined map-side.
+
+    One ``max_by`` per column instead of one over a struct: with numeric columns
+    it stays a hash aggregation, where a struct would force a sort.
+    """
+    values = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(*(F.max_by(c, order).alias(c) for c in values)).select(df.columns)

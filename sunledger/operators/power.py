@@ -36,6 +36,20 @@ def downsample(rows: DataFrame, bucket_seconds: int) -> DataFrame:
     )
 
 
+def power_from_buckets(buckets: DataFrame, kind: str, bucket_seconds: int) -> DataFrame:
+    """Downsampled power from narrower day buckets that carry sums and counts."""
+    return (
+        buckets.select(*KEY, F.lit(kind).alias("kind"), time_bucket("bucket", bucket_seconds).alias("bucket"),
+                       "power_n", "power_sum", "power_min", "power_max")
+        .groupBy(*KEY, "kind", "bucket")
+        .agg(
+            F.try_divide(F.sum("power_sum"), F.sum("power_n")).alias("avg_power"),
+            F.min("power_min").alias("min_power"),
+            F.max("power_max").alias("max_power"),
+        )
+    )
+
+
 def refresh_range(
     rows: DataFrame,
     bucket_seconds: int,

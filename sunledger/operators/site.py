@@ -29,9 +29,10 @@ def registry_join(rows: DataFrame, registry: DataFrame, kind: str) -> DataFrame:
 
 def primary_meter_lookup(registry: DataFrame) -> DataFrame:
     """One row per site: its primary meter and location, NULL when it has none."""
-    primary = registry.where((F.col("kind") == "meter") & F.col("is_primary"))
-    chosen = primary.groupBy("site_id").agg(F.min(F.struct("device_name", "location")).alias("p"))
-    return registry.select("site_id").distinct().join(chosen, "site_id", "left").select(
+    is_primary = (F.col("kind") == "meter") & F.col("is_primary")
+    return registry.groupBy("site_id").agg(
+        F.min(F.when(is_primary, F.struct("device_name", "location"))).alias("p")
+    ).select(
         "site_id",
         F.col("p.device_name").alias("primary_meter"),
         F.col("p.location").alias("primary_location"),
@@ -40,12 +41,16 @@ def primary_meter_lookup(registry: DataFrame) -> DataFrame:
 
 
 def contributors(registry: DataFrame) -> DataFrame:
-    """Inverters UNION ALL the primary meter of each site, with the order of the report."""
-    inverters = registry.where(F.col("kind") == "inverter").select(
-        *KEY, F.lit("inverter").alias("role"), F.lit(0).alias("ord"))
-    meters = primary_meter_lookup(registry).where(F.col("primary_location").isNotNull()).select(
-        "site_id", F.col("primary_meter").alias("device_name"), F.lit("primary").alias("role"), F.lit(1).alias("ord"))
-    return inverters.unionByName(meters)
+    """Inverters UNION ALL the primary meter of each site, with their role and order in reports.
+
+    Both parts live in one roster, so the union is one filter.
+    """
+    located = primary_meter_lookup(registry).where(F.col("primary_location").isNotNull()).drop("notes")
+    inverter = F.col("kind") == "inverter"
+    chosen = (F.col("kind") == "meter") & (F.col("device_name") == F.col("primary_meter"))
+    return registry.select(*KEY, "kind").join(located, "site_id", "left").where(inverter | chosen).select(
+        *KEY, F.when(inverter, "inverter").otherwise("primary").alias("role"),
+        F.when(inverter, 0).otherwise(1).alias("ord"), "primary_location")
 
 
 def inverter_union(power: DataFrame) -> DataFrame:
@@ -86,17 +91,17 @@ def pv_power_by_bucket(power: DataFrame, registry: DataFrame, tz: str | Column)
     )
 
 
-def overlap_full_join(power: DataFrame, registry: DataFrame, tz: str | Column) -> DataFrame:
+def overlap_full_join(power: DataFrame, roster: DataFrame, tz: str | Column) -> DataFrame:
     """PV power and primary-meter power side by side per (site, day, bucket).
 
     A full outer join on the bucket, done as one conditional aggregation: both
     sides live in the same table, so it is scanned and shuffled once, combined
-    map-side, and no bucket can be lost to either side.
+    map-side, and no bucket can be lost to either side.  ``roster`` is the
+    result of :func:`contributors`.
     """
     clamped = F.greatest("avg_power", F.lit(0.0))
-    role = contributors(registry).select(*KEY, "role")
     return (
-        power.join(role, KEY)
+        power.join(roster.select(*KEY, "role"), KEY)
         .groupBy("site_id", local_day("bucket", tz).alias("day"), "bucket")
         .agg(
             F.coalesce(F.sum(F.when(F.col("role") == "inverter", clamped)), F.lit(0.0)).alias("pw"),
@@ -157,18 +162,13 @@ def site_energy(
         F.count_if(~primary).alias("n_inverters"),
         F.bool_and("complete").alias("complete"),
         F.bool_and("continuous").alias("continuous"),
+        F.max("primary_location").alias("primary_location"),
         _incomplete().alias("incomplete"),
     )
-    simulated = primary_meter_lookup(registry).where(F.col("primary_location") == CONSUMPTION).select("site_id")
-    in_scope = registry.join(simulated, "site_id", "left_semi")
-    overlap = self_consumption_overlap(overlap_full_join(power, in_scope, tz), bucket_seconds)
-
-    df = (
-        site_spine.select(*SITE_DAY)
-        .join(primary_meter_lookup(registry).select("site_id", "primary_location"), "site_id", "left")
-        .join(per_day, SITE_DAY, "left")
-        .join(overlap, SITE_DAY, "left")
-    )
+    simulated = roster.where(F.col("primary_location") == CONSUMPTION)
+    overlap = self_consumption_overlap(overlap_full_join(power, simulated, tz), bucket_seconds)
+
+    df = site_spine.select(*SITE_DAY).join(per_day, SITE_DAY, "left").join(overlap, SITE_DAY, "left")
     measured = F.col("primary_location") == FEED_IN
     early = (
         F.when(F.col("primary_location").isNull(), NO_PRIMARY)

@@ -95,7 +95,7 @@ def inverter_daily_hourly(spark, sf_dir):
 def _rollup(spark: SparkSession, sf_dir: str, limits=rollup.Thresholds()) -> DataFrame:
     return rollup.compute_site_rollup(
         A.inverter_samples(spark, sf_dir), A.meter_samples(spark, sf_dir), A.registry(spark, sf_dir),
-        A.sites(spark, sf_dir), _spine(spark, sf_dir), TZ, limits)["site_energy"]
+        A.sites(spark, sf_dir), _spine(spark, sf_dir), TZ, limits, work_dir(spark, "rollup"))["site_energy"]
 
 
 SITE_FIGURES = ["production_kwh", "consumption_kwh", "self_consumption_kwh", "from_grid_kwh", "to_grid_kwh"]
@@ -368,7 +368,7 @@ def _power(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
 
 @query("overlap_full_join")
 def overlap_full_join(spark, sf_dir):
-    return _rounded(site.overlap_full_join(_power(spark, sf_dir, 30), A.registry(spark, sf_dir), TZ), ["pw", "cw"])
+    return _rounded(site.overlap_full_join(_power(spark, sf_dir, 30), site.contributors(A.registry(spark, sf_dir)), TZ), ["pw", "cw"])
 
 
 @query("registry_join")
@@ -466,7 +466,7 @@ def pv_power_by_bucket(spark, sf_dir):
 
 @query("self_consumption_overlap")
 def self_consumption_overlap(spark, sf_dir):
-    overlap = site.overlap_full_join(_power(spark, sf_dir, 3600), A.registry(spark, sf_dir), TZ)
+    overlap = site.overlap_full_join(_power(spark, sf_dir, 3600), site.contributors(A.registry(spark, sf_dir)), TZ)
     return _rounded(site.self_consumption_overlap(overlap, 3600), ["overlap_kwh"])
 
 

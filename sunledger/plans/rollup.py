@@ -7,15 +7,18 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sunledger import KEY
 from sunledger.functions.solar import daylight_calendar, site_days
-from sunledger.functions.timeutil import day_spine
+from sunledger.functions.timeutil import day_spine, in_local_days
 from sunledger.operators import daily as D
-from sunledger.operators.power import POWER_30SEC, POWER_5MIN, downsample, power_rows
+from sunledger.operators.counters import day_buckets
+from sunledger.operators.power import POWER_30SEC, POWER_5MIN, power_column, power_from_buckets
 from sunledger.operators.site import site_energy
+from sunledger.session import work_dir
 from sunledger.sources import tables as T
 from sunledger.sources.store import exists, upsert_days
 
@@ -49,60 +52,97 @@ def compute_site_energy(inverter_days: DataFrame, meter_days: DataFrame, power:
     return site_energy(inverter_days, meter_days, power, registry, days, tz, limits.bucket_seconds)
 
 
-def compute_site_rollup(inverter_samples: DataFrame, meter_samples: DataFrame, registry: DataFrame, sites: DataFrame,
-                        spine: DataFrame, tz: str, limits: Thresholds = Thresholds()) -> dict[str, DataFrame]:
-    """Device rollups and the site balance over ``spine`` (site_id, device_name, kind, day).
+def _buckets(spark: SparkSession, samples: DataFrame, kind: str, tz: str, seconds: int, scratch: str | None) -> DataFrame:
+    """Bucketed samples of a kind, written once to ``scratch`` when several results are made from them."""
+    counters = D.INVERTER_COUNTERS if kind == "inverter" else D.METER_COUNTERS
+    buckets = day_buckets(samples, counters, tz, seconds, power_column(kind))
+    if scratch is None:
+        return buckets
+    path = f"{scratch}/{kind}_buckets"
+    buckets.write.mode("overwrite").parquet(path)
+    return spark.read.schema(buckets.schema).parquet(path)
+
 
-    Devices come from the spine, the balance from the roster, so a device taken
-    off the roster keeps its own daily rows.
+def compute_site_rollup(inverter_samples: DataFrame, meter_samples: DataFrame, registry: DataFrame, sites: DataFrame,
+                        spine: DataFrame, tz: str, limits: Thresholds = Thresholds(),
+                        scratch: str | None = None) -> dict[str, DataFrame]:
+    """Device rollups, power and the site balance over ``spine`` (site_id, device_name, kind, day).
+
+    Raw samples are scanned and shuffled once, into day buckets; everything else
+    is made from those.  With ``scratch`` (a folder shared by all executors)
+    they are written there, so no result has to rebuild them.  Devices come from
+    the spine, the balance from the roster: a device taken off the roster keeps
+    its own daily rows.
     """
-    inverters = compute_inverter_energy(inverter_samples, spine.where("kind = 'inverter'"), sites, tz, limits)
-    meters = compute_meter_energy(meter_samples, spine.where("kind = 'meter'"), tz, limits)
-    power = downsample(
-        power_rows(inverter_samples, "inverter").unionByName(power_rows(meter_samples, "meter")), limits.bucket_seconds)
+    spark, seconds = spine.sparkSession, limits.bucket_seconds
+    inverter = _buckets(spark, inverter_samples, "inverter", tz, seconds, scratch)
+    meter = _buckets(spark, meter_samples, "meter", tz, seconds, scratch)
     days = spine.select("site_id", "day").distinct()
+    calendar = daylight_calendar(site_days(sites, days), tz)
+    inverters = D.inverter_days(inverter, spine.where("kind = 'inverter'"), calendar, tz,
+                                limits.inverter_coverage_min, limits.continuity_min, seconds)
+    meters = D.meter_days(meter, spine.where("kind = 'meter'"), tz,
+                          limits.meter_coverage_min, limits.continuity_min, seconds)
+    power = power_from_buckets(inverter, "inverter", seconds).unionByName(power_from_buckets(meter, "meter", seconds))
     site = compute_site_energy(inverters, meters, power, registry, days, tz, limits)
-    return {"inverter_daily": inverters, "meter_daily": meters, "site_energy": site}
+    return {"inverter_daily": inverters, "meter_daily": meters, "power": power, "site_energy": site}
 
 
 def refresh_power(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str) -> None:
     """Rebuild both power resolutions of a range of local days from stored samples."""
+    _write_power(spark, store, _stored_buckets(spark, store, first, last, tz, work_dir(spark, "power")))
+
+
+def _stored_buckets(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str, scratch: str) -> dict[str, DataFrame]:
+    return {
+        kind: _buckets(spark, T.read_local_days(spark, store, f"{kind}_samples", first, last, tz), kind, tz,
+                       D.BUCKET_SECONDS, scratch)
+        for kind in ("inverter", "meter") if exists(spark, T.table_path(store, f"{kind}_samples"))
+    }
+
+
+def _write_power(spark: SparkSession, store: str, buckets: dict[str, DataFrame]) -> None:
     for table, seconds in (("power_30sec", POWER_30SEC), ("power_5min", POWER_5MIN)):
-        parts = [
-            power_rows(T.read_local_days(spark, store, f"{kind}_samples", first, last, tz), kind)
-            for kind in ("inverter", "meter") if exists(spark, T.table_path(store, f"{kind}_samples"))
-        ]
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        buckets = downsample(rows, seconds).withColumn("day", F.to_date("bucket"))
-        upsert_days(spark, buckets, T.table_path(store, table), [*KEY, "bucket"])
+        rows = reduce(DataFrame.unionByName, (power_from_buckets(df, kind, seconds) for kind, df in buckets.items()))
+        upsert_days(spark, rows.withColumn("day", F.to_date("bucket")), T.table_path(store, table), [*KEY, "bucket"])
 
 
-def run_site_rollup(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str,
-                    devices: DataFrame | None = None) -> None:
-    """Rollups of a range of local days over a store, each table written before it is read again.
+def run_site_rollup(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str) -> None:
+    """Power, device and site rollups of a range of local days over a store.
 
-    Idempotent: every step replaces rows by key.  ``devices`` defaults to the
-    roster plus every device with samples in the range.
+    Raw samples of the range are read once, into 30-second day buckets in the
+    shared folder; every table is written before the next step reads it, and
+    every step replaces rows by key, so a run can be repeated at any point.
+    Devices are those of the roster and those with samples in the range.
     """
     registry, sites = T.read_dims(spark, store)
-    samples = {k: T.read_local_days(spark, store, f"{k}_samples", first, last, tz) for k in ("inverter", "meter")}
-    if devices is None:
-        devices = registry.select(*KEY, "kind")
-        for kind, df in samples.items():
-            devices = devices.unionByName(df.select(*KEY, F.lit(kind).alias("kind")))
-        devices = devices.distinct()
-    spine = day_spine(devices, first, last)
-    inverters = compute_inverter_energy(samples["inverter"], spine.where("kind = 'inverter'"), sites, tz)
+    scratch = work_dir(spark, "rollup")
+    buckets = _stored_buckets(spark, store, first, last, tz, scratch)
+    _write_power(spark, store, buckets)
+    devices = registry.select(*KEY, "kind")
+    for kind, df in buckets.items():
+        devices = devices.unionByName(df.select(*KEY, F.lit(kind).alias("kind")))
+    spine = day_spine(devices.distinct(), first, last)
+    days = day_spine(registry.select("site_id").distinct(), first, last)
+    limits = Thresholds()
+    inverters = D.inverter_days(
+        buckets["inverter"], spine.where("kind = 'inverter'"),
+        daylight_calendar(site_days(sites, spine.select("site_id", "day").distinct()), tz), tz,
+        limits.inverter_coverage_min, limits.continuity_min, limits.bucket_seconds)
     upsert_days(spark, inverters.drop("notes"), T.table_path(store, "inverter_daily"))
-    meters = compute_meter_energy(samples["meter"], spine.where("kind = 'meter'"), tz)
+    meters = D.meter_days(buckets["meter"], spine.where("kind = 'meter'"), tz,
+                          limits.meter_coverage_min, limits.continuity_min, limits.bucket_seconds)
     upsert_days(spark, meters.drop("notes"), T.table_path(store, "meter_daily"))
 
     between = F.col("day").between(F.lit(first), F.lit(last))
-    one = dt.timedelta(days=1)
-    power = T.read_table(spark, store, "power_30sec").where(
-        F.col("day").between(F.lit(first - one), F.lit(last + one)))
     balance = compute_site_energy(
         T.read_table(spark, store, "inverter_daily").where(between),
         T.read_table(spark, store, "meter_daily").where(between),
-        power, registry, day_spine(registry.select("site_id").distinct(), first, last), tz)
+        in_local_days(_power_days(spark, store, first, last), first, last, tz, "bucket"), registry, days, tz)
     upsert_days(spark, balance.where("written").drop("written", "notes"), T.table_path(store, "site_energy"), ["site_id"])
+
+
+def _power_days(spark: SparkSession, store: str, first: dt.date, last: dt.date) -> DataFrame:
+    one = dt.timedelta(days=1)
+    return T.read_table(spark, store, "power_30sec").where(
+        F.col("day").between(F.lit(first - one), F.lit(last + one)))

@@ -16,6 +16,10 @@ SETTINGS = {
 }
 
 
+# Only at start-up: no call-site capture on every DataFrame call.
+STARTUP = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set what the semantics depend on (UTC instants, ANSI errors) on any session."""
     for key, value in SETTINGS.items():
@@ -27,7 +31,7 @@ def build_session(app: str = "sunledger", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    for key, value in {**SETTINGS, **STARTUP, **conf}.items():
         builder = builder.config(key, value)
     return apply_settings(builder.getOrCreate())
 

@@ -9,14 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sunledger.functions.timeutil import local_day
-from sunledger.plans.rollup import refresh_power, run_site_rollup
+from sunledger.plans.rollup import run_site_rollup
 
 
 def refresh_day(spark: SparkSession, store: str, now: dt.datetime, tz: str, days_back: int = 0) -> dt.date:
     """Recompute one local day: today (``days_back=0``, every few minutes) or, just after
     midnight, finalize yesterday (``days_back=1``).  ``now`` is an aware instant."""
     day = now.astimezone(ZoneInfo(tz)).date() - dt.timedelta(days=days_back)
-    refresh_power(spark, store, day, day, tz)
     run_site_rollup(spark, store, day, day, tz)
     return day
 
@@ -29,7 +28,6 @@ def start_live_rollup(samples: DataFrame, store: str, tz: str, checkpoint: str,
         day = local_day("time", tz)
         span = batch.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
         if span["first"] is not None:
-            refresh_power(batch.sparkSession, store, span["first"], span["last"], tz)
             run_site_rollup(batch.sparkSession, store, span["first"], span["last"], tz)
 
     writer = samples.writeStream.foreachBatch(recompute).option("checkpointLocation", checkpoint)
