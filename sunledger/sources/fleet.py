@@ -1,6 +1,6 @@
 """A dense, deterministic fleet for tests and scaling runs.
 
-Every value is computed from the row's number: no files, no shuffle, any size.
+Every value is computed from the row's number: no files and any size.
 Each site has ``inv0``, ``inv1`` (a reading per 4 s of daylight) and ``grid``,
 ``heatpump`` (a reading per 2 s).  Counters are whole Wh in closed form.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sunledger import KEY
 from sunledger.functions.solar import daylight_calendar
-from sunledger.functions.timeutil import day_start
+from sunledger.functions.timeutil import day_spine, day_start
 
 TZ = "Europe/Berlin"
 PEAK_W = 4000.0
@@ -56,8 +56,7 @@ def _slots(spark: SparkSession, n_sites: int, first: dt.date, days: int, step: i
         F.concat(F.lit("F"), number).alias("site_id"), device.alias("device_name"),
         F.date_add(F.lit(first), (rest % days).cast("int")).alias("local_day"),
         (slot * step).alias("second"), n.alias("seq"),
-        F.element_at(F.array(*map(F.lit, SCENARIOS)), (number % len(SCENARIOS)).cast("int") + 1).alias("scenario"),
-        (F.lit(40.0) + number % 15).alias("latitude"), F.lit(9.15).alias("longitude"), F.lit(-0.833).alias("horizon_deg"))
+        F.element_at(F.array(*map(F.lit, SCENARIOS)), (number % len(SCENARIOS)).cast("int") + 1).alias("scenario"))
 
 
 def _in_day(df: DataFrame) -> DataFrame:
@@ -69,7 +68,9 @@ def _in_day(df: DataFrame) -> DataFrame:
 
 def inverter_samples(spark: SparkSession, n_sites: int, first: dt.date, days: int) -> DataFrame:
     df = _in_day(_slots(spark, n_sites, first, days, INVERTER_STEP, ["inv0", "inv1"]))
-    df = daylight_calendar(df.withColumnRenamed("local_day", "day"), TZ)
+    places = day_spine(site_numbers(spark, n_sites), first, first + dt.timedelta(days=days - 1))
+    calendar = daylight_calendar(places, TZ).select("site_id", F.col("day").alias("local_day"), "sunrise", "seconds")
+    df = df.join(calendar, ["site_id", "local_day"]).withColumnRenamed("local_day", "day")
     passed = (F.unix_seconds("time") - F.unix_seconds("sunrise")) / F.col("seconds")
     df = df.withColumn("f", passed).where("f >= 0 AND f <= 1")
     df = df.where(~((F.col("scenario") == "midday_gap") & F.col("f").between(0.3, 0.6)))
