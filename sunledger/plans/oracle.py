@@ -550,4 +550,5 @@ WHERE pw.bucket >= TIMESTAMP '2024-01-03 10:03:20' AND pw.bucket + INTERVAL 5 MI
     "retention": _with(_SAMPLES) + f"SELECT {_KEY}, {_ts('time', 'time')}, seq, imp AS ac_energy FROM sm WHERE kind = 'inverter' AND time >= TIMESTAMP '2024-01-11'",
     "compaction": _with(_SAMPLES) + f"SELECT {_KEY}, {_ts('time', 'time')}, seq, imp AS ac_energy FROM sm WHERE kind = 'inverter'",
 }
+ORACLE["solar_daylight"] = ORACLE["daylight_calendar"].replace(" seconds AS daylight_s,", "")
 ORACLE["stream_device_state"] = ORACLE["device_asof"].replace(" d.seq AS announced,", "")

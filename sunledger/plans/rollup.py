@@ -52,15 +52,24 @@ def compute_site_energy(inverter_days: DataFrame, meter_days: DataFrame, power:
     return site_energy(inverter_days, meter_days, power, registry, days, tz, limits.bucket_seconds)
 
 
-def _buckets(spark: SparkSession, samples: DataFrame, kind: str, tz: str, seconds: int, scratch: str | None) -> DataFrame:
-    """Bucketed samples of a kind, written once to ``scratch`` when several results are made from them."""
-    counters = D.INVERTER_COUNTERS if kind == "inverter" else D.METER_COUNTERS
-    buckets = day_buckets(samples, counters, tz, seconds, power_column(kind))
+def _buckets(spark: SparkSession, samples: dict[str, DataFrame], tz: str, seconds: int,
+             scratch: str | None) -> dict[str, DataFrame]:
+    """Bucketed samples per kind.
+
+    With ``scratch`` both kinds are written there in one job, so that the
+    several results made from them do not each rebuild them.
+    """
+    buckets = {
+        kind: day_buckets(df, D.INVERTER_COUNTERS if kind == "inverter" else D.METER_COUNTERS, tz, seconds, power_column(kind))
+        for kind, df in samples.items()
+    }
     if scratch is None:
         return buckets
-    path = f"{scratch}/{kind}_buckets"
-    buckets.write.mode("overwrite").parquet(path)
-    return spark.read.schema(buckets.schema).parquet(path)
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                  (df.withColumn("kind", F.lit(kind)) for kind, df in buckets.items()))
+    both.write.mode("overwrite").partitionBy("kind").parquet(f"{scratch}/buckets")
+    stored = spark.read.schema(both.schema).parquet(f"{scratch}/buckets")
+    return {kind: stored.where(F.col("kind") == kind).drop("kind") for kind in buckets}
 
 
 def compute_site_rollup(inverter_samples: DataFrame, meter_samples: DataFrame, registry: DataFrame, sites: DataFrame,
@@ -75,8 +84,8 @@ def compute_site_rollup(inverter_samples: DataFrame, meter_samples: DataFrame, r
     its own daily rows.
     """
     spark, seconds = spine.sparkSession, limits.bucket_seconds
-    inverter = _buckets(spark, inverter_samples, "inverter", tz, seconds, scratch)
-    meter = _buckets(spark, meter_samples, "meter", tz, seconds, scratch)
+    buckets = _buckets(spark, {"inverter": inverter_samples, "meter": meter_samples}, tz, seconds, scratch)
+    inverter, meter = buckets["inverter"], buckets["meter"]
     days = spine.select("site_id", "day").distinct()
     calendar = daylight_calendar(site_days(sites, days), tz)
     inverters = D.inverter_days(inverter, spine.where("kind = 'inverter'"), calendar, tz,
@@ -94,11 +103,13 @@ def refresh_power(spark: SparkSession, store: str, first: dt.date, last: dt.date
 
 
 def _stored_buckets(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str, scratch: str) -> dict[str, DataFrame]:
-    return {
-        kind: _buckets(spark, T.read_local_days(spark, store, f"{kind}_samples", first, last, tz), kind, tz,
-                       D.BUCKET_SECONDS, scratch)
-        for kind in ("inverter", "meter") if exists(spark, T.table_path(store, f"{kind}_samples"))
-    }
+    def read(table: str) -> DataFrame:
+        if exists(spark, T.table_path(store, table)):
+            return T.read_local_days(spark, store, table, first, last, tz)
+        return spark.createDataFrame([], T.TABLES[table])  # a fleet may have only one kind
+
+    samples = {kind: read(f"{kind}_samples") for kind in ("inverter", "meter")}
+    return _buckets(spark, samples, tz, D.BUCKET_SECONDS, scratch)
 
 
 def _write_power(spark: SparkSession, store: str, buckets: dict[str, DataFrame]) -> None:

@@ -43,13 +43,28 @@ def list_versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName().removeprefix("version=")) for p in done)
 
 
-def write_days(df: DataFrame, path: str) -> None:
+def _balanced(df: DataFrame) -> DataFrame:
+    """Few, evenly sized files per day: adaptive execution splits large days and merges small ones."""
+    return df.hint("rebalance", "day")
+
+
+def append_days(df: DataFrame, path: str) -> None:
+    _balanced(df).write.mode("append").partitionBy("day").parquet(path)
+
+
+def _replace_days(df: DataFrame, path: str) -> None:
     """Replace exactly the ``day`` partitions present in ``df``."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def append_days(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("day").parquet(path)
+def stored_rows(spark: SparkSession, path: str, new: DataFrame, cols: list[str]) -> DataFrame:
+    """Stored ``cols`` of the days present in ``new``: the semi join on ``day`` prunes the scan to them."""
+    stored = spark.read.schema(new.schema).parquet(path)
+    if "time" in new.columns:
+        # Samples are appended in time order, so the range also skips row groups of a large day.
+        span = new.agg(F.min("time").alias("lo"), F.max("time").alias("hi")).first()
+        stored = stored.where(F.col("time").between(F.lit(span["lo"]), F.lit(span["hi"])))
+    return stored.join(new.select("day").distinct(), "day", "left_semi").select(*cols, "day")
 
 
 def insert_first(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
@@ -58,10 +73,14 @@ def insert_first(spark: SparkSession, new: DataFrame, path: str, keys: list[str]
     Only the key columns of the touched days are read.  Repeating a batch adds
     nothing, which makes a streaming retry harmless.
     """
-    if exists(spark, path):
-        stored = spark.read.schema(new.schema).parquet(path).select(*keys, "day")
-        new = new.join(stored.join(new.select("day").distinct(), "day", "left_semi"), [*keys, "day"], "left_anti")
-    append_days(new, path)
+    append_days(new_rows(spark, new, path, keys), path)
+
+
+def new_rows(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Rows whose ``keys`` are not stored yet."""
+    if not exists(spark, path):
+        return new
+    return new.join(stored_rows(spark, path, new, keys), [*keys, "day"], "left_anti")
 
 
 def upsert_days(spark: SparkSession, new: DataFrame, path: str, keys: list[str] | None = None) -> None:
@@ -85,8 +104,8 @@ def upsert_days(spark: SparkSession, new: DataFrame, path: str, keys: list[str]
             .join(new.select(*keys, "day"), [*keys, "day"], "left_anti")
         )
         new = kept.unionByName(new)
-    new.write.partitionBy("day").parquet(staged)
-    write_days(spark.read.schema(new.schema).parquet(staged), path)
+    _balanced(new).write.partitionBy("day").parquet(staged)
+    _replace_days(spark.read.schema(new.schema).parquet(staged), path)
 
 
 def day_partitions(spark: SparkSession, path: str) -> list[dt.date]:

@@ -9,8 +9,8 @@ from sunledger import KEY
 from sunledger.operators import fanout
 from sunledger.operators.ordered import first_wins
 from sunledger.sources.messages import parse_messages
-from sunledger.sources.store import exists, insert_first
-from sunledger.sources.tables import read_table, table_path
+from sunledger.sources.store import append_days, insert_first, new_rows
+from sunledger.sources.tables import table_path
 
 LATE = "1 hour"
 
@@ -28,21 +28,21 @@ def store_readings(batch: DataFrame, store: str, kind: str) -> None:
     reading still new and completes its child rows.
     """
     spark = batch.sparkSession
-    batch = first_wins(batch.withColumn("day", F.to_date("time")), [*KEY, "time"])
     samples = table_path(store, f"{kind}_samples")
-    if exists(spark, samples):
-        stored = read_table(spark, store, f"{kind}_samples").select(*KEY, "time", "day")
-        stored = stored.join(batch.select("day").distinct(), "day", "left_semi")
-        batch = batch.join(stored, [*KEY, "time", "day"], "left_anti")
-    insert_first(spark, fanout.explode_phases(batch, kind, count=None),
-                 table_path(store, f"{kind}_phase_samples"), [*KEY, "time", "phase_id"])
-    if kind == "inverter":
-        insert_first(spark, fanout.explode_inputs(batch, count=None, hybrid=None, scale=False),
-                     table_path(store, "inverter_input_samples"), [*KEY, "time", "input_id"])
-        rows = fanout.inverter_rows(batch, scale=False)
-    else:
-        rows = fanout.meter_rows(batch, scale=False)
-    insert_first(spark, rows, samples, [*KEY, "time"])
+    # Several tables are written from the batch: parse it once.
+    batch = first_wins(batch.withColumn("day", F.to_date("time")), [*KEY, "time"]).persist()
+    try:
+        fresh = new_rows(spark, batch, samples, [*KEY, "time"])
+        insert_first(spark, fanout.explode_phases(fresh, kind, count=None),
+                     table_path(store, f"{kind}_phase_samples"), [*KEY, "time", "phase_id"])
+        if kind == "inverter":
+            insert_first(spark, fanout.explode_inputs(fresh, count=None, hybrid=None, scale=False),
+                         table_path(store, "inverter_input_samples"), [*KEY, "time", "input_id"])
+            append_days(fanout.inverter_rows(fresh, scale=False), samples)
+        else:
+            append_days(fanout.meter_rows(fresh, scale=False), samples)
+    finally:
+        batch.unpersist()
 
 
 def start_ingest(messages: DataFrame, store: str, kind: str, checkpoint: str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sunledger.functions.timeutil import local_day
@@ -20,15 +20,26 @@ def refresh_day(spark: SparkSession, store: str, now: dt.datetime, tz: str, days
     return day
 
 
+def runs(days: list[dt.date]) -> list[tuple[dt.date, dt.date]]:
+    """Ranges of consecutive days of a sorted list."""
+    out: list[tuple[dt.date, dt.date]] = []
+    for day in days:
+        if out and day - out[-1][1] == dt.timedelta(days=1):
+            out[-1] = (out[-1][0], day)
+        else:
+            out.append((day, day))
+    return out
+
+
 def start_live_rollup(samples: DataFrame, store: str, tz: str, checkpoint: str, available_now: bool = False,
                       every: str = "5 minutes") -> StreamingQuery:
     """Recompute the local days touched by each batch of stored samples."""
 
     def recompute(batch: DataFrame, _: int) -> None:
-        day = local_day("time", tz)
-        span = batch.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
-        if span["first"] is not None:
-            run_site_rollup(batch.sparkSession, store, span["first"], span["last"], tz)
+        # One row per touched day; a few late samples do not drag in the days between.
+        rows = batch.select(local_day("time", tz).alias("day")).distinct().orderBy("day").collect()
+        for first, last in runs([r["day"] for r in rows]):
+            run_site_rollup(batch.sparkSession, store, first, last, tz)
 
     writer = samples.writeStream.foreachBatch(recompute).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)

@@ -136,3 +136,8 @@ def test_refresh_day_uses_the_local_calendar(spark, monkeypatch, days_back, day)
     monkeypatch.setattr(SL, "run_site_rollup", lambda *a: calls.append(a[2:4]))
     now = dt.datetime(2024, 1, 1, 23, 3, tzinfo=dt.timezone.utc)  # 00:03 in Berlin
     assert SL.refresh_day(spark, "unused", now, "Europe/Berlin", days_back) == day and calls == [(day, day)]
+
+
+def test_runs_of_consecutive_days():
+    d = [dt.date(2024, 1, i) for i in (1, 2, 3, 7, 9, 10)]
+    assert SL.runs(d) == [(d[0], d[2]), (d[3], d[3]), (d[4], d[5])] and SL.runs([]) == []
