@@ -31,6 +31,14 @@ def to_instant(civil: Column, tz: str | Column) -> Column:
     return F.when(F.from_utc_timestamp(second, zone(tz)) == civil, second).otherwise(first)
 
 
+def instant_sql(civil: str, tz: str) -> str:
+    """:func:`to_instant` of two column names as SQL text."""
+    first = f"to_utc_timestamp({civil}, {tz})"
+    ahead = f"({first} + INTERVAL '3' HOUR)"
+    second = f"timestamp_micros(unix_micros({civil}) - unix_micros(from_utc_timestamp({ahead}, {tz})) + unix_micros({ahead}))"
+    return f"CASE WHEN from_utc_timestamp({second}, {tz}) = {civil} THEN {second} ELSE {first} END"
+
+
 @lru_cache
 def _midnight_repeats(tz: str) -> bool:
     """Whether some local midnight of 1970-2069 occurs twice in ``tz``."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from sunledger import KEY
 from sunledger.functions import electrical, numeric as N, solar, timeutil as TU
 from sunledger.operators import counters, daily, devices, fanout, ordered, power, reports, site, validation
-from sunledger.plans import rollup, sql_surface
+from sunledger.plans import rollup
 from sunledger.session import apply_settings, work_dir
 from sunledger.sources import driver_tables as A, messages as M, store as S, tables, telegrams as TG
 from sunledger.streaming import device_state as SD, ingest as SI, live as SL, power as SP
@@ -574,12 +574,12 @@ def daylight_calendar(spark, sf_dir):
 @query("solar_daylight")
 def solar_daylight(spark, sf_dir):
     """The SQL table function, joined laterally to every site and day."""
-    sql_surface.register_functions(spark)
+    solar.register_solar_daylight(spark)
     days = solar.site_days(A.nation_sites(spark, sf_dir), A.nation_site_days(spark, sf_dir))
     return spark.sql(
         """SELECT p.site_id, p.day, d.seconds, d.sunrise, d.sunset
-           FROM {days} p, LATERAL solar_daylight(p.latitude, p.longitude, p.day, {tz}, p.horizon_deg) d""",
-        days=days, tz=F.lit(TZ))
+           FROM {days} p, LATERAL solar_daylight(p.latitude, p.longitude, p.day, :tz, p.horizon_deg) d""",
+        {"tz": TZ}, days=days)
 
 
 # --- streams and lifecycle -------------------------------------------------------

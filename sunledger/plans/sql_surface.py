@@ -13,51 +13,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from sunledger.functions.solar import DEFAULT_HORIZON_DEG, EOT, TILT_DEG
+from sunledger.functions.solar import register_solar_daylight
 from sunledger.schemas import TABLES
 from sunledger.sources.store import exists
 from sunledger.sources.tables import read_table, table_path
 
 
-def _instant(civil: str) -> str:
-    """Civil time to an instant; of a repeated civil time the second, as in ``timeutil.to_instant``."""
-    first = f"to_utc_timestamp({civil}, tz)"
-    ahead = f"({first} + INTERVAL '3' HOUR)"
-    second = f"timestamp_micros(unix_micros({civil}) - unix_micros(from_utc_timestamp({ahead}, tz)) + unix_micros({ahead}))"
-    return f"CASE WHEN from_utc_timestamp({second}, tz) = {civil} THEN {second} ELSE {first} END"
-
-
-SOLAR_DAYLIGHT = f"""
-CREATE OR REPLACE TEMPORARY FUNCTION solar_daylight(
-  lat_deg DOUBLE, lon_deg DOUBLE, for_day DATE, tz STRING DEFAULT current_timezone(), horizon_deg DOUBLE DEFAULT {DEFAULT_HORIZON_DEG}D)
-RETURNS TABLE (daylight INTERVAL DAY TO SECOND, seconds INT, sunrise TIMESTAMP, sunset TIMESTAMP)
-RETURN
-  SELECT make_dt_interval(0, 0, 0, CAST(seconds AS DECIMAL(18, 6))), seconds, rise, timestamp_seconds(unix_seconds(rise) + seconds)
-  FROM (
-    SELECT seconds, {_instant('civil')} AS rise FROM (
-      SELECT CAST(CASE WHEN cos_w <= -1 THEN 86400 WHEN cos_w >= 1 THEN 0 ELSE rint(half_h * 2 * 3600) END AS INT) AS seconds,
-             timestamp_seconds(unix_seconds(midnight) + CAST(rint((12 + off_h - lon / 15D - eot / 60D - half_h) * 3600) AS BIGINT)) AS civil
-      FROM (
-        SELECT *, CASE WHEN cos_w > -1 AND cos_w < 1 THEN degrees(acos(cos_w)) / 15D END AS half_h FROM (
-          SELECT *, {EOT[0]}D * sin(2 * b) - {EOT[1]}D * cos(b) - {EOT[2]}D * sin(b) AS eot,
-                 (sin(radians(h)) - sin(phi) * sin(decl)) / (cos(phi) * cos(decl)) AS cos_w
-          FROM (
-            SELECT *, radians({TILT_DEG}D) * sin(2 * pi() / 365D * (doy + 284)) AS decl, radians(360D / 364D * (doy - 81)) AS b,
-                   (unix_seconds(noon) - unix_seconds({_instant('noon')})) / 3600D AS off_h
-            FROM (
-              SELECT radians(lat_deg) AS phi, lon_deg AS lon, horizon_deg AS h, dayofyear(for_day) AS doy,
-                     CAST(for_day AS TIMESTAMP) AS midnight, CAST(for_day AS TIMESTAMP) + INTERVAL '12' HOUR AS noon
-            )))))) AS r
-"""
-
-
-def register_functions(spark: SparkSession) -> None:
-    spark.sql(SOLAR_DAYLIGHT)
-
-
 def register(spark: SparkSession, store: str) -> list[str]:
     """Functions, and a temporary view per table of the store that exists; returns their names."""
-    register_functions(spark)
+    register_solar_daylight(spark)
     names = [t for t in TABLES if exists(spark, table_path(store, t))]
     for name in names:
         read_table(spark, store, name).createOrReplaceTempView(name)

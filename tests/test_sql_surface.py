@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_daylight_function(spark):
-    sql_surface.register_functions(spark)
+    solar.register_solar_daylight(spark)
     row = spark.sql("SELECT * FROM solar_daylight(49.07, 9.15, DATE'2026-12-21', 'Europe/Berlin')").first()
     assert row.seconds == 29555 and row.sunset - row.sunrise == row.daylight
     days = solar.site_days(A.nation_sites(spark, SF), A.nation_site_days(spark, SF))
