@@ -25,14 +25,15 @@ def scale_to_kilo(c: Column | str) -> Column:
     return _col(c) / F.lit(1000.0)
 
 
-def quantise(c: Column | str, quantity: str) -> Column:
-    """Round half away from zero at the decimals of ``quantity``.
+def round_half_away(c: Column | str, places: int) -> Column:
+    """Round half away from zero at ``places`` decimals of the scaled double.
 
-    Spark's ``round`` works on the decimal text of a double, so it rounds 1.005
-    up where the scaled double is just below the tie.  ``rint`` of the scaled
-    magnitude, moved up on an exact tie, keeps NaN and infinities as they are.
+    Spark's ``round`` works on the decimal text of a double: it rounds 1.005 up
+    where the scaled double is just below the tie, and it is slow.  ``rint`` of
+    the scaled magnitude, moved up on an exact tie, keeps NaN and infinities as
+    they are.
     """
-    factor = F.lit(10.0 ** DECIMALS[quantity])
+    factor = F.lit(10.0 ** places)
     value = _col(c).cast("double")
     scaled = F.abs(value) * factor
     even = F.rint(scaled)
@@ -40,6 +41,11 @@ def quantise(c: Column | str, quantity: str) -> Column:
     return F.signum(value) * (even + up) / factor
 
 
+def quantise(c: Column | str, quantity: str) -> Column:
+    """Round at the decimals kept for this kind of quantity."""
+    return round_half_away(c, DECIMALS[quantity])
+
+
 def narrow(c: Column | str) -> Column:
     """32-bit storage of powers, voltages and currents."""
     return _col(c).cast("float")

@@ -422,7 +422,7 @@ FROM b WHERE device_name = 'grid' AND day >= '2024-01-15'""",
     "efficiency": _with(_EL) + f"{_LINE} CASE WHEN abs(dc) > 1e-12 THEN q / dc * 100e0 ELSE 0e0 END AS efficiency FROM el",
     "hybrid_null": _with(_INV) + f"SELECT {_KEY}, seq, hybrid, CASE WHEN NOT hybrid THEN wh END AS dc_energy FROM ir",
     "energy_from_sunspec": _with(_EL) + f"""{_LINE} p * p > s * s AS not_a_number,
-  CASE WHEN p * p <= s * s THEN round((CASE WHEN q >= 0 THEN 1 ELSE -1 END) * sqrt(s * s - p * p), 6) + 0e0 END AS reactive FROM el""",
+  CASE WHEN p * p <= s * s THEN round((CASE WHEN q >= 0 THEN 1 ELSE -1 END) * sqrt(s * s - p * p), 6) END AS reactive FROM el""",
     "energy_from_proprietary": _with(_EL) + f"{_LINE} round(sqrt(p * p + q * q), 6) AS apparent FROM el",
     "current_total": _with(_EL) + f"{_LINE} register_map, CASE register_map WHEN 'proprietary' THEN q / 3e0 + q / 5e0 + q / 7e0 ELSE q END AS current FROM el",
     "grid_assumption_derive": _with(_EL, """

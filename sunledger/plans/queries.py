@@ -103,7 +103,7 @@ SITE_FIGURES = ["production_kwh", "consumption_kwh", "self_consumption_kwh", "fr
 
 def _rounded(df: DataFrame, cols: list[str], places: int = 9) -> DataFrame:
     """Sums of fractions depend on their order in the last bits."""
-    return df.withColumns({c: F.round(c, places) for c in cols})
+    return df.withColumns({c: N.round_half_away(c, places) for c in cols})
 
 
 @query("site_rollup")
@@ -278,12 +278,12 @@ def energy_from_sunspec(spark, sf_dir):
     """More active than apparent energy has no reactive part: not a number."""
     e = N.reactive_energy("s", "p", "q")
     return A.electrical(spark, sf_dir).select(
-        *LINE, F.isnan(e).alias("not_a_number"), F.round(F.when(~F.isnan(e), e), 6).alias("reactive"))
+        *LINE, F.isnan(e).alias("not_a_number"), N.round_half_away(F.when(~F.isnan(e), e), 6).alias("reactive"))
 
 
 @query("energy_from_proprietary")
 def energy_from_proprietary(spark, sf_dir):
-    return A.electrical(spark, sf_dir).select(*LINE, F.round(N.apparent_energy("p", "q"), 6).alias("apparent"))
+    return A.electrical(spark, sf_dir).select(*LINE, N.round_half_away(N.apparent_energy("p", "q"), 6).alias("apparent"))
 
 
 @query("current_total")

@@ -20,7 +20,7 @@ from sunledger.operators.power import POWER_30SEC, POWER_5MIN, power_column, pow
 from sunledger.operators.site import site_energy
 from sunledger.session import work_dir
 from sunledger.sources import tables as T
-from sunledger.sources.store import exists, upsert_days
+from sunledger.sources.store import drop_folder, exists, upsert_days
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,9 @@ def compute_site_rollup(inverter_samples: DataFrame, meter_samples: DataFrame, r
 
 def refresh_power(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str) -> None:
     """Rebuild both power resolutions of a range of local days from stored samples."""
-    _write_power(spark, store, _stored_buckets(spark, store, first, last, tz, work_dir(spark, "power")))
+    scratch = work_dir(spark, "power")
+    _write_power(spark, store, _stored_buckets(spark, store, first, last, tz, scratch))
+    drop_folder(spark, scratch)
 
 
 def _stored_buckets(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str, scratch: str) -> dict[str, DataFrame]:
@@ -151,6 +153,7 @@ def run_site_rollup(spark: SparkSession, store: str, first: dt.date, last: dt.da
         T.read_table(spark, store, "meter_daily").where(between),
         in_local_days(_power_days(spark, store, first, last), first, last, tz, "bucket"), registry, days, tz)
     upsert_days(spark, balance.where("written").drop("written", "notes"), T.table_path(store, "site_energy"), ["site_id"])
+    drop_folder(spark, scratch)
 
 
 def _power_days(spark: SparkSession, store: str, first: dt.date, last: dt.date) -> DataFrame:

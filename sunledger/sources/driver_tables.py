@@ -49,7 +49,7 @@ def as_readings(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("time"),
         "user_id", "event_type", "value",
-        F.round(F.col("value") * 100).cast("long").alias("cents"),
+        F.rint(F.col("value") * 100).cast("long").alias("cents"),
         (F.col("value") - 20).cast("float").alias("power"),
     )
 

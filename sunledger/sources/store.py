@@ -33,6 +33,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath) and len(fs.listStatus(hpath)) > 0
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a staging folder of this library's own."""
+    fs, hpath = _fs(spark, path)
+    fs.delete(hpath, True)
+
+
 def list_versions(spark: SparkSession, path: str) -> list[int]:
     """Finished ``version=N`` folders below ``path``."""
     fs, hpath = _fs(spark, path)
@@ -92,9 +98,8 @@ def upsert_days(spark: SparkSession, new: DataFrame, path: str, keys: list[str]
     dies in between can simply be repeated.
     """
     keys = keys or KEY
-    staged = work_dir(spark, "upsert")
+    staged, incoming = work_dir(spark, "upsert"), work_dir(spark, "incoming")
     if exists(spark, path):
-        incoming = work_dir(spark, "incoming")
         new.write.parquet(incoming)
         new = spark.read.schema(new.schema).parquet(incoming)
         # The semi join on the partition column prunes the scan to the touched days.
@@ -106,6 +111,8 @@ def upsert_days(spark: SparkSession, new: DataFrame, path: str, keys: list[str]
         new = kept.unionByName(new)
     _balanced(new).write.partitionBy("day").parquet(staged)
     _replace_days(spark.read.schema(new.schema).parquet(staged), path)
+    drop_folder(spark, staged)
+    drop_folder(spark, incoming)
 
 
 def day_partitions(spark: SparkSession, path: str) -> list[dt.date]:
@@ -183,4 +190,5 @@ def compact(spark: SparkSession, path: str, now: dt.datetime, segment: str | Non
         .option("compression", "zstd").partitionBy("day").parquet(path))
     for day in days:
         fs.create(hpath(folder(day), MARKER), True).close()
+    drop_folder(spark, staged)
     return days

@@ -13,9 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sunledger import KEY
 from sunledger.operators.ordered import CHUNK_ROWS, change_gate, device_asof
-from sunledger.sources.store import list_versions
+from sunledger.sources.store import drop_folder, list_versions
 
 BEFORE_ALL = -1
+KEPT_VERSIONS = 10
 
 
 def _state(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
@@ -45,6 +46,9 @@ def process_batch(batch: DataFrame, batch_id: int, out: str, cols: list[str], ch
     changes.write.mode("overwrite").parquet(f"{out}/changes/version={batch_id}")
     latest = known.groupBy(*KEY).agg(F.max_by(F.struct("seq", *cols), "seq").alias("d")).select(*KEY, "d.*")
     latest.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
+    for version in list_versions(spark, state_path):
+        if version < batch_id - KEPT_VERSIONS:
+            drop_folder(spark, f"{state_path}/version={version}")
 
 
 def start_device_state(rows: DataFrame, out: str, checkpoint: str, cols: list[str], available_now: bool = False,
