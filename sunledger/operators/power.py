@@ -12,6 +12,8 @@ from sunledger.functions.timeutil import time_bucket
 # Bucket widths of the two kept resolutions.
 POWER_30SEC = 30
 POWER_5MIN = 300
+# Zone offsets are multiples of a quarter hour, so days begin on such a boundary.
+OFFSET_STEP = 900
 
 
 def power_column(kind: str) -> str:
@@ -36,18 +38,22 @@ def downsample(rows: DataFrame, bucket_seconds: int) -> DataFrame:
     )
 
 
-def power_from_buckets(buckets: DataFrame, kind: str, bucket_seconds: int) -> DataFrame:
-    """Downsampled power from narrower day buckets that carry sums and counts."""
-    return (
-        buckets.select(*KEY, F.lit(kind).alias("kind"), time_bucket("bucket", bucket_seconds).alias("bucket"),
-                       "power_n", "power_sum", "power_min", "power_max")
-        .groupBy(*KEY, "kind", "bucket")
-        .agg(
-            F.try_divide(F.sum("power_sum"), F.sum("power_n")).alias("avg_power"),
-            F.min("power_min").alias("min_power"),
-            F.max("power_max").alias("max_power"),
-        )
-    )
+def power_from_buckets(buckets: DataFrame, kind: str, bucket_seconds: int, from_seconds: int | None = None) -> DataFrame:
+    """Downsampled power from day buckets that carry sums and counts.
+
+    Day buckets of the wanted width need no second aggregation, hence no
+    shuffle, unless a day can begin inside a bucket.
+    """
+    rows = buckets.select(*KEY, F.lit(kind).alias("kind"), time_bucket("bucket", bucket_seconds).alias("bucket"),
+                          "power_n", "power_sum", "power_min", "power_max")
+    average = F.try_divide("power_sum", "power_n").alias("avg_power")
+    if from_seconds == bucket_seconds and OFFSET_STEP % bucket_seconds == 0:
+        return rows.select(*KEY, "kind", "bucket", average,
+                           F.col("power_min").alias("min_power"), F.col("power_max").alias("max_power"))
+    return rows.groupBy(*KEY, "kind", "bucket").agg(
+        F.sum("power_sum").alias("power_sum"), F.sum("power_n").alias("power_n"),
+        F.min("power_min").alias("min_power"), F.max("power_max").alias("max_power"),
+    ).select(*KEY, "kind", "bucket", average, "min_power", "max_power")
 
 
 def refresh_range(

@@ -92,7 +92,8 @@ def compute_site_rollup(inverter_samples: DataFrame, meter_samples: DataFrame, r
                                 limits.inverter_coverage_min, limits.continuity_min, seconds)
     meters = D.meter_days(meter, spine.where("kind = 'meter'"), tz,
                           limits.meter_coverage_min, limits.continuity_min, seconds)
-    power = power_from_buckets(inverter, "inverter", seconds).unionByName(power_from_buckets(meter, "meter", seconds))
+    power = power_from_buckets(inverter, "inverter", seconds, seconds).unionByName(
+        power_from_buckets(meter, "meter", seconds, seconds))
     site = compute_site_energy(inverters, meters, power, registry, days, tz, limits)
     return {"inverter_daily": inverters, "meter_daily": meters, "power": power, "site_energy": site}
 
@@ -116,7 +117,7 @@ def _stored_buckets(spark: SparkSession, store: str, first: dt.date, last: dt.da
 
 def _write_power(spark: SparkSession, store: str, buckets: dict[str, DataFrame]) -> None:
     for table, seconds in (("power_30sec", POWER_30SEC), ("power_5min", POWER_5MIN)):
-        rows = reduce(DataFrame.unionByName, (power_from_buckets(df, kind, seconds) for kind, df in buckets.items()))
+        rows = reduce(DataFrame.unionByName, (power_from_buckets(df, kind, seconds, D.BUCKET_SECONDS) for kind, df in buckets.items()))
         upsert_days(spark, rows.withColumn("day", F.to_date("bucket")), T.table_path(store, table), [*KEY, "bucket"])
 
 

@@ -135,3 +135,18 @@ def test_fleet_balances(fleet_result):
     twin = fleet_result["site_energy"][("F7",)]
     assert twin.notes is None and not twin.continuous and twin.self_consumption_kwh > 3
     assert {r.notes for r in rows if not r.written} == {"grid meter row missing", "consumption meter row missing"}
+
+
+def test_power_from_day_buckets_equals_power_from_samples(spark):
+    from sunledger.operators.counters import day_buckets
+    from sunledger.operators.power import downsample, power_from_buckets, power_rows
+
+    samples = fleet.meter_samples(spark, 1, DAY, 1).where("second(time) < 20 AND hour(time) < 3")
+    samples = samples.withColumn("power_active", F.when(F.second("time") != 4, F.col("power_active")))
+    # A zone whose days begin inside an hour bucket.
+    for tz, width, step in (("Asia/Kolkata", 30, 30), ("Asia/Kolkata", 30, 300), ("Asia/Kolkata", 3600, 3600)):
+        got = power_from_buckets(day_buckets(samples, [], tz, width, "power_active"), "meter", step, width)
+        want = downsample(power_rows(samples, "meter"), step)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+        if step == 30:
+            assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
