@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from sunledger import KEY
-from sunledger.functions.solar import daylight_calendar
 from sunledger.functions.timeutil import day_spine
 from sunledger.operators import daily
 from sunledger.plans.rollup import compute_site_rollup

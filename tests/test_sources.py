@@ -4,7 +4,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from sunledger.functions.electrical import Grid, grid_assumption_derive
 from sunledger.operators import fanout

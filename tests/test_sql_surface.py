@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from sunledger.functions import solar
 from sunledger.plans import sql_surface
