@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, katz, langid, line_dedup, packing, quality, sharding, suffix_dedup
+from . import bpe, jaccard_join, katz, langid, line_dedup, packing, quality, sharding, suffix_dedup
 
 PACKED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
@@ -32,6 +32,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).select(PACKED)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_report(_documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(spark, _documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -49,7 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_suffix_array_dedup, op3_byte_bpe, op4_quality_rules, op5_best_fit_packing, op7_language_id, op8_katz_scores,
+    op2_suffix_array_dedup, op3_byte_bpe, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_language_id, op8_katz_scores,
     op9_hilbert_shards, op10_line_dedup)}
 
 _WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -80,3 +84,21 @@ SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (exact) AS n
 FROM judged GROUP BY doc_id"""
 
 ORACLE = {"op10_line_dedup": _LINE_DEDUP}
+
+# Links of the join: shares of common windows of five words; classes by the least reachable id.
+_JACCARD = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+texts AS (SELECT w, min(doc_id) AS t, count(*) AS copies FROM docs WHERE len(w) > 0 GROUP BY w),
+grams AS (SELECT DISTINCT t, w[i:i + least(5, len(w)) - 1] AS g
+  FROM (SELECT t, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM texts)),
+sizes AS (SELECT t, count(*) AS n FROM grams GROUP BY t),
+common AS (SELECT a.t AS a, b.t AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.t <> b.t GROUP BY ALL),
+links AS (SELECT c.a, c.b FROM common c JOIN sizes x ON x.t = c.a JOIN sizes y ON y.t = c.b WHERE 5 * c.n >= 4 * (x.n + y.n - c.n)),
+reach AS (SELECT t AS a, t AS b FROM texts UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+classes AS (SELECT a AS t, min(b) AS class_id FROM reach GROUP BY a),
+linked AS (SELECT l.a AS t, sum(x.copies) AS n FROM links l JOIN texts x ON x.t = l.b GROUP BY l.a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id,
+  CAST(coalesce(l.n, 0) + coalesce(x.copies - 1, 0) AS BIGINT) AS n_links
+FROM docs d LEFT JOIN texts x ON x.w = d.w LEFT JOIN classes c ON c.t = x.t LEFT JOIN linked l ON l.t = x.t"""
+
+ORACLE["op6_ngram_jaccard_join"] = _JACCARD
