@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, katz, langid, line_dedup, packing, quality, sharding, suffix_dedup
+from . import bm25, bpe, jaccard_join, katz, langid, line_dedup, packing, quality, sharding, suffix_dedup
 
 PACKED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
@@ -16,6 +16,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.every_twentieth(_documents(spark, sf_dir))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(_documents(spark, sf_dir))
 
@@ -53,7 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_suffix_array_dedup, op3_byte_bpe, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_language_id, op8_katz_scores,
+    op1_bm25_search, op2_suffix_array_dedup, op3_byte_bpe, op4_quality_rules, op5_best_fit_packing, op6_ngram_jaccard_join, op7_language_id, op8_katz_scores,
     op9_hilbert_shards, op10_line_dedup)}
 
 _WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
