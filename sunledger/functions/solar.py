@@ -63,8 +63,10 @@ def daylight_calendar(spine: DataFrame, tz: str | Column) -> DataFrame:
 
 
 def site_days(sites: DataFrame, days: DataFrame) -> DataFrame:
-    """Attach coordinates to a (site_id, day) spine."""
-    return days.join(sites.select("site_id", "latitude", "longitude", "horizon_deg"), "site_id", "left")
+    """Attach coordinates to a (site_id, day) spine; a site with only one of them has none."""
+    both = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    placed = sites.select("site_id", *(F.when(both, F.col(c)).alias(c) for c in ("latitude", "longitude")), "horizon_deg")
+    return days.join(placed, "site_id", "left")
 
 
 def register_solar_daylight(spark: SparkSession) -> None:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sunledger import KEY
 from sunledger.functions import numeric as N
 from sunledger.functions.solar import DEFAULT_HORIZON_DEG
+from sunledger.operators.ordered import latest
 
 DEVICE_KEY = [*KEY, "serial_number"]
 
@@ -30,30 +31,33 @@ def device_upsert(seen: DataFrame, current: DataFrame | None = None, at: str = "
     rows = seen.select(*DEVICE_KEY, *fields, F.col(at).alias("first_seen"), F.col(at).alias("last_seen"))
     if current is not None:
         rows = rows.unionByName(current.select(rows.columns))
-    return rows.groupBy(*DEVICE_KEY).agg(
-        F.max_by(F.struct(*fields), "last_seen").alias("d"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-    ).select(*DEVICE_KEY, "d.*", "first_seen", "last_seen")
+    seen_between = rows.groupBy(*DEVICE_KEY).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    newest = latest(rows.select(*DEVICE_KEY, *fields, "last_seen"), DEVICE_KEY, "last_seen").drop("last_seen")
+    return newest.join(seen_between, DEVICE_KEY).select(*DEVICE_KEY, *fields, "first_seen", "last_seen")
 
 
-def registry_anti(current: DataFrame, configured: DataFrame) -> DataFrame:
+def registry_anti(current: DataFrame, configured: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """Roster rows to remove: of a configured site, but no longer configured."""
-    sites = configured.select("site_id").distinct()
+    sites = (configured if sites is None else sites).select("site_id").distinct()
     return current.join(sites, "site_id", "left_semi").join(configured.select(*KEY), KEY, "left_anti")
 
 
-def sync_registry(current: DataFrame, configured: DataFrame) -> DataFrame:
-    """The configured roster replaces a site's rows; other sites keep theirs."""
-    sites = configured.select("site_id").distinct()
+def sync_registry(current: DataFrame, configured: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """The configured roster replaces a site's rows; other sites keep theirs.
+
+    ``sites``: the configured sites, by default those with a device; one that is configured without devices is emptied.
+    """
+    sites = (configured if sites is None else sites).select("site_id").distinct()
     return configured.select(*KEY, "kind", "location", "is_primary").unionByName(
         current.join(sites, "site_id", "left_anti").select(*KEY, "kind", "location", "is_primary"))
 
 
-def site_upsert(current: DataFrame, configured: DataFrame) -> DataFrame:
-    """Replace the coordinates of configured sites; NULL where none are set."""
+def site_upsert(current: DataFrame, configured: DataFrame, at: Column | None = None) -> DataFrame:
+    """Replace the coordinates of configured sites; NULL where none are set.  With ``at`` also their ``updated_at``."""
+    cols = ["site_id", "latitude", "longitude", "horizon_deg"] + (["updated_at"] if at is not None else [])
     incoming = configured.select(
         "site_id", "latitude", "longitude",
-        F.coalesce("horizon_deg", F.lit(DEFAULT_HORIZON_DEG)).alias("horizon_deg"))
+        F.coalesce("horizon_deg", F.lit(DEFAULT_HORIZON_DEG)).alias("horizon_deg"),
+        *([at.alias("updated_at")] if at is not None else []))
     kept = current.join(incoming.select("site_id"), "site_id", "left_anti")
-    return incoming.unionByName(kept.select("site_id", "latitude", "longitude", "horizon_deg"))
+    return incoming.unionByName(kept.select(cols))

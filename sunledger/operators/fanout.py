@@ -93,8 +93,11 @@ def _explode(readings: DataFrame, array: str, count: str | None, most: int, id_n
     items = F.col(array)
     if count is not None:
         items = F.slice(items, F.lit(1), N.clamp(F.col(count).cast("int"), 1, most))
-    return readings.select("*", F.posexplode(items).alias("_pos", "_item")).withColumn(
-        id_name, (F.col("_pos") + 1).cast("short"))
+    rows = readings.select("*", F.posexplode(items).alias("_pos", "_item"))
+    # A message's item names its phase or input itself; only device readings go by position.
+    own = "id" in readings.schema[array].dataType.elementType.fieldNames()
+    number = F.coalesce(F.col("_item")["id"], F.col("_pos") + 1) if own else F.col("_pos") + 1
+    return rows.withColumn(id_name, number.cast("short"))
 
 
 def explode_phases(readings: DataFrame, kind: str, count: str | None = "phase_count") -> DataFrame:

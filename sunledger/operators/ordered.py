@@ -3,24 +3,38 @@
 A message topic or a device can hold a third of all rows, so a window over the
 key alone is unsafe.  Rows are cut into chunks of consecutive sequence numbers;
 windows run per (key, chunk), and what a chunk inherits from earlier ones comes
-from a small per-chunk summary.  A chunk has at most ``chunk_rows`` rows.
+from a small per-chunk summary.  A chunk has about ``chunk_rows`` rows of an
+evenly spaced sequence.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 CHUNK_ROWS = 1_000_000
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
 
 
 def _chunked(df: DataFrame, keys: list[str], order: str, value: Column, chunk_rows: int) -> tuple[DataFrame, list[str]]:
-    """Add ``_chunk``, ``_v`` = struct(value) or NULL, and ``_carry``: the last ``_v`` of earlier chunks."""
+    """Add ``_chunk``, ``_v`` = struct(value) or NULL, and ``_carry``: the last ``_v`` of earlier chunks.
+
+    Sequence numbers may be sparse (instants, say): a key's range is cut into as many chunks as its rows need.  Only longs
+    are aggregated, so both aggregations are hash-based; the tails themselves are fetched by a join.
+    """
     parts = [*keys, "_chunk"]
-    df = df.withColumns({"_chunk": F.floor(F.col(order) / F.lit(chunk_rows)), "_v": value})
-    tails = df.groupBy(*parts).agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_tail"))
+    span = df.groupBy(*keys).agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.count(F.lit(1)).alias("_rows"))
+    span = span.select(*keys, "_low", F.greatest(F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(
+        F.col("_rows") / F.lit(chunk_rows)))).alias("_width"))
+    df = df.join(span, keys, "left").withColumns({
+        "_chunk": F.floor((F.col(order) - F.col("_low")) / F.col("_width")), "_v": value}).drop("_low", "_width")
+    valued = df.where(F.col("_v").isNotNull()).select(*parts, F.col(order).alias("_at"), "_v")
+    last = valued.groupBy(*parts).agg(F.max("_at").alias("_at"))
+    first = Window.partitionBy(*parts).orderBy(F.xxhash64("_v"))  # equal sequence numbers
+    tails = valued.join(last, [*parts, "_at"], "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
+    # Every chunk needs a carry, those without a value too.
+    chunks = df.select(*parts).distinct().join(tails.select(*parts, "_v"), parts, "left")
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carries = tails.select(*parts, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+    carries = chunks.select(*parts, F.last("_v", ignorenulls=True).over(before).alias("_carry"))
     return df.join(carries, parts, "left"), parts
 
 
@@ -79,10 +93,13 @@ def first_wins(readings: DataFrame, keys: list[str], order: str = "seq") -> Data
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row per key, combined map-side.
+    """The last row per key, cut down to one row per key and task before the shuffle.
 
-    One ``max_by`` per column instead of one over a struct: with numeric columns
-    it stays a hash aggregation, where a struct would force a sort.
+    Columns of fixed width take one ``max_by`` each, a hash aggregation; others a group limit, as ``max_by`` of a string sorts
+    all rows.
     """
     values = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(*(F.max_by(c, order).alias(c) for c in values)).select(df.columns)
+    if all(isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in values):
+        return df.groupBy(*keys).agg(*(F.max_by(c, order).alias(c) for c in values)).select(df.columns)
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -69,13 +69,17 @@ def refresh_range(
     bounds are widened or narrowed to bucket edges before the aggregation, as
     plain predicates on ``time``.
     """
-    step = dt.timedelta(seconds=bucket_seconds)
-    epoch = dt.datetime(1970, 1, 1)
+    far = dt.timedelta(days=365 * 200)
+    first, stop = bucket_range(bucket_seconds, now or dt.datetime(1970, 1, 1), start_offset or far, end_offset or -far)
     if start_offset is not None:
-        start = now - start_offset
-        first = epoch + -((epoch - start) // step) * step
         rows = rows.where(F.col("time") >= F.lit(first).cast("timestamp"))
     if end_offset is not None:
-        stop = epoch + ((now - end_offset - epoch) // step) * step
         rows = rows.where(F.col("time") < F.lit(stop).cast("timestamp"))
     return downsample(rows, bucket_seconds)
+
+
+def bucket_range(bucket_seconds: int, now: dt.datetime, start_offset: dt.timedelta,
+                 end_offset: dt.timedelta) -> tuple[dt.datetime, dt.datetime]:
+    """[first, stop): the whole buckets inside [now - start_offset, now - end_offset]."""
+    step, epoch = dt.timedelta(seconds=bucket_seconds), dt.datetime(1970, 1, 1)
+    return (epoch + -((epoch - (now - start_offset)) // step) * step, epoch + ((now - end_offset - epoch) // step) * step)

@@ -64,10 +64,10 @@ dl1 AS (
   FROM {src}
 ),
 dl2 AS (
-  SELECT *, radians(2345e-2) * sin(2 * pi() / 365e0 * (doy + 284)) AS decl, radians(360e0 / 364e0 * (doy - 81)) AS b FROM dl1
+  SELECT *, radians(23.45e0) * sin(2 * pi() / 365e0 * (doy + 284)) AS decl, radians(360e0 / 364e0 * (doy - 81)) AS b FROM dl1
 ),
 dl3 AS (
-  SELECT *, 987e-2 * sin(2 * b) - 753e-2 * cos(b) - 15e-1 * sin(b) AS eot,
+  SELECT *, 9.87e0 * sin(2 * b) - 7.53e0 * cos(b) - 1.5e0 * sin(b) AS eot,
          (sin(radians(horizon_deg)) - sin(phi) * sin(decl)) / (cos(phi) * cos(decl)) AS cw
   FROM dl2
 ),
@@ -89,8 +89,8 @@ dl AS (
 
 _SITES = """
 site AS (
-  SELECT DISTINCT site_id, CASE WHEN site_id = 'S0' THEN 4907e-2 END AS latitude,
-         CASE WHEN site_id = 'S0' THEN 915e-2 END AS longitude, -833e-3 AS horizon_deg FROM rd
+  SELECT DISTINCT site_id, CASE WHEN site_id = 'S0' THEN 49.07e0 END AS latitude,
+         CASE WHEN site_id = 'S0' THEN 9.15e0 END AS longitude, -0.833e0 AS horizon_deg FROM rd
 ),
 site_days AS (SELECT * FROM site_spine JOIN site USING (site_id))"""
 
@@ -250,8 +250,8 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
 
 
-STRICT = {"inverter": (30, "90e-2", "90e-2"), "meter": (30, "995e-3", "90e-2"), "bucket": 30}
-LOOSE = {"inverter": (3600, "95e-2", "75e-2"), "meter": (3600, "95e-2", "75e-2"), "bucket": 3600}
+STRICT = {"inverter": (30, "0.9e0", "0.9e0"), "meter": (30, "0.995e0", "0.9e0"), "bucket": 30}
+LOOSE = {"inverter": (3600, "0.95e0", "0.75e0"), "meter": (3600, "0.95e0", "0.75e0"), "bucket": 3600}
 
 
 def _devices(p: dict) -> list[str]:
@@ -299,7 +299,7 @@ def _q(x: str, places: int) -> str:
 _INV = _SAMPLES + """,
 ir AS (
   SELECT site_id, device_name, time, seq, user_id, value AS v, ct / 100e0 AS wh, user_id % 3 + 1 AS np, user_id % 2 + 1 AS ni,
-         user_id % 4 = 0 AS hybrid, value - 20e0 AS pa, CASE WHEN seq % 13 = 0 THEN 0e0 ELSE value * 107e-2 END AS dc
+         user_id % 4 = 0 AS hybrid, value - 20e0 AS pa, CASE WHEN seq % 13 = 0 THEN 0e0 ELSE value * 1.07e0 END AS dc
   FROM cn WHERE kind = 'inverter'
 )"""
 _INV_EFF = _q("CASE WHEN abs(dc) > 1e-12 THEN pa / dc * 100 ELSE 0e0 END", 2)
@@ -322,35 +322,35 @@ FROM roster JOIN site USING (site_id)""",
     "telemetry_json_scan": _with(_INV) + f"""SELECT {_KEY}, seq, bad AS malformed, CASE WHEN NOT bad THEN strftime(make_timestamp(epoch_us(time) // 1000 * 1000), '%Y-%m-%d %H:%M:%S.%f') END AS time,
   CASE WHEN NOT bad THEN round(wh) / 1000e0 END AS ac_energy, CASE WHEN NOT bad THEN {_q('pa', 2)} END AS ac_power_active,
   CASE WHEN NOT bad THEN {_INV_EFF} END AS efficiency, CASE WHEN NOT bad THEN np END AS n_phases,
-  CASE WHEN NOT bad AND NOT hybrid THEN round(wh * 5e-1) / 1000e0 END AS dc_energy_1
+  CASE WHEN NOT bad AND NOT hybrid THEN round(wh * 0.5e0) / 1000e0 END AS dc_energy_1
 FROM (SELECT *, seq % 97 = 0 AS bad FROM ir)""",
     "telemetry_json_scan_meter": _with(_MET) + f"""SELECT {_KEY}, seq, FALSE AS malformed, strftime(make_timestamp(epoch_us(time) // 1000 * 1000), '%Y-%m-%d %H:%M:%S.%f') AS time,
   round(imp_wh) / 1000e0 AS energy_active_import, round(exp_wh) / 1000e0 AS energy_active_export, {_q('v - 20e0', 2)} AS power_active,
   {_q('v / 230e0', 3)} AS current, np AS n_phases, {_q('v - 20e0', 2)} AS power_active_1 FROM mr""",
     "telemetry_json_sink": _with(_INV) + f"""SELECT concat('fleet/', site_id, '/inverter/', device_name, '/values') AS topic, seq, epoch_us(time) // 1000 AS time_ms,
-  round(wh) / 1000e0 AS ac_energy, {_q('v * 1e-2 + 231e0', 1)} AS ac_voltage_1,
-  CASE WHEN ni = 2 AND NOT hybrid THEN round(wh * 5e-1 * 2) / 1000e0 END AS dc_energy_2, NOT hybrid AS has_dc_energy, 11 AS n_fields FROM ir""",
+  round(wh) / 1000e0 AS ac_energy, {_q('v * 0.01e0 + 231e0', 1)} AS ac_voltage_1,
+  CASE WHEN ni = 2 AND NOT hybrid THEN round(wh * 0.5e0 * 2) / 1000e0 END AS dc_energy_2, NOT hybrid AS has_dc_energy, 11 AS n_fields FROM ir""",
     "sample_fanout_samples": _with(_INV) + f"""SELECT {_KEY}, {_ts('time', 'time')}, seq, round(wh) / 1000e0 AS ac_energy,
-  {_f32(_q('pa', 2), 'ac_power_active')}, {_f32(_q('abs(pa) * 102e-2', 2), 'ac_power_apparent')}, {_f32(_q('v * 1e-1', 2), 'ac_power_reactive')},
-  CAST(100 - seq % 200 AS DOUBLE) AS ac_power_factor, {_f32(_q('50 + (seq % 7) * 13e-3', 2), 'ac_frequency')},
+  {_f32(_q('pa', 2), 'ac_power_active')}, {_f32(_q('abs(pa) * 1.02e0', 2), 'ac_power_apparent')}, {_f32(_q('v * 0.1e0', 2), 'ac_power_reactive')},
+  CAST(100 - seq % 200 AS DOUBLE) AS ac_power_factor, {_f32(_q('50 + (seq % 7) * 0.013e0', 2), 'ac_frequency')},
   {_f32(_q('dc', 2), 'dc_power')}, {_f32(_INV_EFF, 'efficiency')} FROM ir""",
     "sample_fanout_phases": _with(_INV) + f"""SELECT {_KEY}, {_ts('time', 'time')}, i AS phase_id,
-  {_f32(_q('v * 1e-2 + (230 + i)', 1), 'ac_voltage')}, {_f32(_q('v / 230e0 / i', 3), 'ac_current')}
+  {_f32(_q('v * 0.01e0 + (230 + i)', 1), 'ac_voltage')}, {_f32(_q('v / 230e0 / i', 3), 'ac_current')}
 FROM ir, range(1, 4) AS r(i) WHERE i <= np""",
     "sample_fanout_inputs": _with(_INV) + f"""SELECT {_KEY}, {_ts('time', 'time')}, i AS input_id,
-  {_f32(_q('v * 1e-1 + (290 + i)', 1), 'dc_voltage')}, {_f32(_q('v / 290e0 / i', 3), 'dc_current')}, {_f32(_q('v * 5e-1 * i', 2), 'dc_power')},
-  CASE WHEN NOT hybrid THEN round(wh * 5e-1 * i) / 1000e0 END AS dc_energy FROM ir, range(1, 3) AS r(i) WHERE i <= ni""",
+  {_f32(_q('v * 0.1e0 + (290 + i)', 1), 'dc_voltage')}, {_f32(_q('v / 290e0 / i', 3), 'dc_current')}, {_f32(_q('v * 0.5e0 * i', 2), 'dc_power')},
+  CASE WHEN NOT hybrid THEN round(wh * 0.5e0 * i) / 1000e0 END AS dc_energy FROM ir, range(1, 3) AS r(i) WHERE i <= ni""",
     "sample_fanout_meter_samples": _with(_MET) + f"""SELECT {_KEY}, {_ts('time', 'time')}, seq,
   round(imp_wh) / 1000e0 AS energy_active_import, round(exp_wh) / 1000e0 AS energy_active_export,
-  round(imp_wh * 11e-1) / 1000e0 AS energy_apparent_import, round(exp_wh * 11e-1) / 1000e0 AS energy_apparent_export,
-  round(imp_wh * 3e-1) / 1000e0 AS energy_reactive_import, round(exp_wh * 3e-1) / 1000e0 AS energy_reactive_export,
-  {_f32(_q('v - 20e0', 2), 'power_active')}, {_f32(_q('v * 102e-2', 2), 'power_apparent')}, {_f32(_q('v * 1e-1', 2), 'power_reactive')},
-  {_f32('97e-2', 'power_factor')}, 50e0 AS frequency, {_f32(_q('v * 1e-2 + 230', 1), 'voltage_ph')},
-  {_f32(_q('v * 2e-2 + 398', 1), 'voltage_pp')}, {_f32(_q('v / 230e0', 3), 'current')} FROM mr""",
+  round(imp_wh * 1.1e0) / 1000e0 AS energy_apparent_import, round(exp_wh * 1.1e0) / 1000e0 AS energy_apparent_export,
+  round(imp_wh * 0.3e0) / 1000e0 AS energy_reactive_import, round(exp_wh * 0.3e0) / 1000e0 AS energy_reactive_export,
+  {_f32(_q('v - 20e0', 2), 'power_active')}, {_f32(_q('v * 1.02e0', 2), 'power_apparent')}, {_f32(_q('v * 0.1e0', 2), 'power_reactive')},
+  {_f32('0.97e0', 'power_factor')}, 50e0 AS frequency, {_f32(_q('v * 0.01e0 + 230', 1), 'voltage_ph')},
+  {_f32(_q('v * 0.02e0 + 398', 1), 'voltage_pp')}, {_f32(_q('v / 230e0', 3), 'current')} FROM mr""",
     "sample_fanout_meter_phases": _with(_MET) + f"""SELECT {_KEY}, {_ts('time', 'time')}, i AS phase_id,
-  {_f32(_q('v * i - 20', 2), 'power_active')}, {_f32(_q('v * 102e-2 * i', 2), 'power_apparent')}, {_f32(_q('v * 1e-1 * i', 2), 'power_reactive')},
-  {_f32(_q('25e-2 * i', 2), 'power_factor')}, {_f32(_q('v * 1e-2 + (230 + i)', 1), 'voltage_ph')},
-  {_f32(_q('v * 2e-2 + (398 + i)', 1), 'voltage_pp')}, {_f32(_q('v / 230e0 / i', 3), 'current')}
+  {_f32(_q('v * i - 20', 2), 'power_active')}, {_f32(_q('v * 1.02e0 * i', 2), 'power_apparent')}, {_f32(_q('v * 0.1e0 * i', 2), 'power_reactive')},
+  {_f32(_q('0.25e0 * i', 2), 'power_factor')}, {_f32(_q('v * 0.01e0 + (230 + i)', 1), 'voltage_ph')},
+  {_f32(_q('v * 0.02e0 + (398 + i)', 1), 'voltage_pp')}, {_f32(_q('v / 230e0 / i', 3), 'current')}
 FROM mr, range(1, 4) AS r(i) WHERE i <= np""",
     "device_upsert": _with(_READINGS) + f"""SELECT {_KEY}, concat('SN', user_id % 3) AS serial_number, concat('fw', CAST(floor(arg_max(value, time)) AS BIGINT)) AS firmware_version,
   arg_max(user_id, time) AS slave_id, {_ts('min(time)', 'first_seen')}, {_ts('max(time)', 'last_seen')}
@@ -386,7 +386,7 @@ cr AS (
 _EL = """
 el AS (
   SELECT l_orderkey, l_linenumber, l_extendedprice AS s, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS q,
-         CASE WHEN l_linenumber = 5 THEN l_extendedprice * 15e-1 ELSE l_extendedprice * (1e0 - l_discount) END AS p,
+         CASE WHEN l_linenumber = 5 THEN l_extendedprice * 1.5e0 ELSE l_extendedprice * (1e0 - l_discount) END AS p,
          CASE WHEN l_linenumber = 7 THEN 0e0 ELSE l_discount * 100 + 230 END AS v,
          CASE WHEN l_discount = 0 THEN 0e0 ELSE l_quantity * 2 END AS dc,
          CASE WHEN l_linestatus = 'O' THEN 'proprietary' ELSE 'sunspec' END AS register_map
@@ -406,9 +406,9 @@ UNION ALL SELECT site_id, device_name, kind, location, is_primary FROM fleet WHE
 EXCEPT ALL SELECT site_id, device_name FROM conf""",
     "site_upsert": """WITH n AS (SELECT n_nationkey AS k, concat('N', n_nationkey) AS site_id FROM nation),
 c AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 0 AND c_nationkey % 3 <> 0)
-SELECT site_id, CASE WHEN c.k IS NULL THEN -84 + n.k * 7e0 WHEN n.k % 2 = 0 THEN n.k * 15e-1 END AS latitude,
-  CASE WHEN c.k IS NULL THEN -180 + n.k * 144e-1 WHEN n.k % 2 = 0 THEN n.k * 25e-1 END AS longitude,
-  CASE WHEN c.k IS NOT NULL AND n.k % 4 = 0 THEN -2e0 ELSE -833e-3 END AS horizon_deg
+SELECT site_id, CASE WHEN c.k IS NULL THEN -84 + n.k * 7e0 WHEN n.k % 2 = 0 THEN n.k * 1.5e0 END AS latitude,
+  CASE WHEN c.k IS NULL THEN -180 + n.k * 14.4e0 WHEN n.k % 2 = 0 THEN n.k * 2.5e0 END AS longitude,
+  CASE WHEN c.k IS NOT NULL AND n.k % 4 = 0 THEN -2e0 ELSE -0.833e0 END AS horizon_deg
 FROM n LEFT JOIN c ON n.k = c.k""",
     "daily_upsert": f"""WITH a AS ({_with(*_devices(STRICT)) + _METER_OUT}), b AS ({_with(*_devices(LOOSE)) + _METER_OUT})
 SELECT site_id, device_name, day, imported_kwh, exported_kwh, coverage, complete, continuity, continuous, sample_count, notes
@@ -426,7 +426,7 @@ FROM b WHERE device_name = 'grid' AND day >= '2024-01-15'""",
     "energy_from_proprietary": _with(_EL) + f"{_LINE} round(sqrt(p * p + q * q), 6) AS apparent FROM el",
     "current_total": _with(_EL) + f"{_LINE} register_map, CASE register_map WHEN 'proprietary' THEN q / 3e0 + q / 5e0 + q / 7e0 ELSE q END AS current FROM el",
     "grid_assumption_derive": _with(_EL, """
-pv AS (SELECT *, p / 2e0 AS p1, p / 4e0 AS p2, q AS p3, v AS v1, v + 1 AS v2, v + 2 AS v3, 98e-2 AS pf FROM el),
+pv AS (SELECT *, p / 2e0 AS p1, p / 4e0 AS p2, q AS p3, v AS v1, v + 1 AS v2, v + 2 AS v3, 0.98e0 AS pf FROM el),
 pp AS (
   SELECT *, sqrt(v1 * v1 + v2 * v2 + v1 * v2) AS l1, sqrt(v2 * v2 + v3 * v3 + v2 * v3) AS l2, sqrt(v3 * v3 + v1 * v1 + v3 * v1) AS l3,
          CASE WHEN v1 <> 0 THEN abs(p1 / (v1 * pf)) END AS c1, CASE WHEN v2 <> 0 THEN abs(p2 / (v2 * pf)) END AS c2,
@@ -434,7 +434,7 @@ pp AS (
   FROM pv
 )""") + f"""{_LINE} round(s, 6) AS energy_active_import, 0e0 AS energy_active_export, round(abs(s / pf), 6) AS energy_apparent_import, 0e0 AS energy_apparent_export,
   round(sin(acos(pf)) * abs(s / pf), 6) AS energy_reactive_import, 0e0 AS energy_reactive_export, round(p, 6) AS power_active, round(abs(p / pf), 6) AS power_apparent,
-  round(tan(acos(pf)) * p, 6) AS power_reactive, 98e-2 AS power_factor, 50e0 AS frequency, round((v1 + v2 + v3) / 3, 6) AS voltage_ph,
+  round(tan(acos(pf)) * p, 6) AS power_reactive, 0.98e0 AS power_factor, 50e0 AS frequency, round((v1 + v2 + v3) / 3, 6) AS voltage_ph,
   round((l1 + l2 + l3) / 3, 6) AS voltage_pp, round(c1 + c2 + c3, 6) AS current, round(c1, 6) AS current_1, round(l1, 6) AS voltage_pp_1,
   round(tan(acos(pf)) * p1, 6) AS power_reactive_1 FROM pp""",
     "telegram_ingest": _with(_TG) + f"""SELECT {_KEY}, seq, {_ts('time', 'received_at')}, concat('1M', site_id, device_name) AS serial_number, '107' AS firmware_version,
@@ -535,7 +535,7 @@ SELECT {_date()}, {_ts("timezone('UTC', timezone('" + TZ + "', CAST(day AS TIMES
   {_ts("time_bucket(INTERVAL '5 minutes', ts)", 'bucket_5min')} FROM events""",
     "daylight_calendar": f"""WITH sp AS (
   SELECT DISTINCT concat('N', c_nationkey) AS site_id, CAST(o_orderdate AS DATE) AS day, -84 + c_nationkey * 7e0 AS latitude,
-         -180 + c_nationkey * 144e-1 AS longitude, -833e-3 AS horizon_deg
+         -180 + c_nationkey * 14.4e0 AS longitude, -0.833e0 AS horizon_deg
   FROM orders JOIN customer ON o_custkey = c_custkey
 ), {_daylight('sp')} SELECT site_id, {_date()}, seconds, seconds AS daylight_s, {_ts('sunrise', 'sunrise')}, {_ts('sunset', 'sunset')} FROM dl""",
     # --- streams and lifecycle ---
@@ -545,8 +545,18 @@ WHERE pw.bucket >= TIMESTAMP '2024-01-03 10:03:20' AND pw.bucket + INTERVAL 5 MI
     "stream_dedup": _with(_READINGS) + f"SELECT {_KEY}, {_ts('time', 'time')}, seq, CAST(power AS DOUBLE) AS power FROM rd",
     "live_day_rollup": _with(*_site(STRICT)) + f"SELECT site_id, {_date()}, {_r(_FIGURES)}, complete, continuous FROM site_energy WHERE written",
     "stream_json_ingest": _with(_INV) + f"""SELECT {_KEY}, strftime(make_timestamp(epoch_us(time) // 1000 * 1000), '%Y-%m-%d %H:%M:%S.%f') AS time, seq, round(wh) / 1000e0 AS ac_energy,
-  {_f32(_q('pa', 2), 'ac_power_active')}, {_f32(_INV_EFF, 'efficiency')}, np AS n_phases, {_f32(_q('v * 1e-2 + (230 + np)', 1), 'max_voltage')},
-  ni AS n_inputs, CASE WHEN NOT hybrid THEN round(wh * 5e-1 * ni) / 1000e0 END AS max_dc_energy FROM ir""",
+  {_f32(_q('pa', 2), 'ac_power_active')}, {_f32(_INV_EFF, 'efficiency')}, np AS n_phases, {_f32(_q('v * 0.01e0 + (230 + np)', 1), 'max_voltage')},
+  ni AS n_inputs, CASE WHEN NOT hybrid THEN round(wh * 0.5e0 * ni) / 1000e0 END AS max_dc_energy FROM ir""",
+    "stream_json_phases": _with(_INV) + f"""SELECT {_KEY}, strftime(make_timestamp(epoch_us(time) // 1000 * 1000), '%Y-%m-%d %H:%M:%S.%f') AS time, i AS phase_id,
+  {_f32(_q('v * 0.01e0 + (230 + i)', 1), 'ac_voltage')}, {_f32(_q('v / 230e0 / i', 3), 'ac_current')}
+FROM ir, range(1, 4) AS r(i) WHERE i <= np""",
+    "stream_json_ingest_meter": _with(_MET) + f"""SELECT {_KEY}, strftime(make_timestamp(epoch_us(time) // 1000 * 1000), '%Y-%m-%d %H:%M:%S.%f') AS time, seq,
+  round(imp_wh) / 1000e0 AS energy_active_import, {_f32(_q('v - 20e0', 2), 'power_active')}, i AS phase_id,
+  {_f32(_q('v * i - 20', 2), 'phase_power')} FROM mr, range(1, 4) AS r(i) WHERE i <= np""",
+    "stream_json_rejects": _with(_INV) + """SELECT 'unknown topic' AS reason, seq, 1 AS n FROM ir WHERE seq % 101 = 0
+UNION ALL SELECT 'malformed payload', seq, 1 FROM ir WHERE seq % 97 = 0 AND seq % 101 <> 0
+UNION ALL SELECT 'constraint id', -1, CAST(sum(np + ni) AS BIGINT) FROM ir WHERE seq % 103 = 0 AND seq % 97 <> 0 AND seq % 101 <> 0
+  HAVING count(*) > 0""",
     "retention": _with(_SAMPLES) + f"SELECT {_KEY}, {_ts('time', 'time')}, seq, imp AS ac_energy FROM sm WHERE kind = 'inverter' AND time >= TIMESTAMP '2024-01-11'",
     "compaction": _with(_SAMPLES) + f"SELECT {_KEY}, {_ts('time', 'time')}, seq, imp AS ac_energy FROM sm WHERE kind = 'inverter'",
 }

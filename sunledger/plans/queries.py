@@ -16,6 +16,7 @@ from sunledger import KEY
 from sunledger.functions import electrical, numeric as N, solar, timeutil as TU
 from sunledger.operators import counters, daily, devices, fanout, ordered, power, reports, site, validation
 from sunledger.plans import rollup
+from sunledger.schemas import PAYLOADS
 from sunledger.session import apply_settings, work_dir
 from sunledger.sources import driver_tables as A, messages as M, store as S, tables, telegrams as TG
 from sunledger.streaming import device_state as SD, ingest as SI, live as SL, power as SP
@@ -639,7 +640,9 @@ def stream_device_state(spark, sf_dir):
 def live_day_rollup(spark, sf_dir):
     """The stored site balance after a stream of samples has been followed to its end."""
     store = _store(spark, sf_dir)
-    samples = spark.readStream.schema(tables.TABLES["inverter_samples"]).parquet(f"{store}/inverter_samples")
+    both = [spark.readStream.schema(tables.TABLES[t]).parquet(f"{store}/{t}").select("site_id", "time")
+            for t in ("inverter_samples", "meter_samples")]
+    samples = both[0].unionByName(both[1])
     _drain(SL.start_live_rollup(samples, store, TZ, f"{store}/_checkpoint", available_now=True))
     return _rounded(tables.read_table(spark, store, "site_energy"), SITE_FIGURES)
 
@@ -660,6 +663,52 @@ def stream_json_ingest(spark, sf_dir):
     return samples.join(phases, at, "left").join(inputs, at, "left")
 
 
+def _ingested(spark: SparkSession, sf_dir: str, kind: str, change=lambda df: df) -> str:
+    """A store filled from messages whose phases come in reverse order."""
+    base = work_dir(spark, "ingest")
+    schema = PAYLOADS[kind, "values"]
+    turned = F.from_json("payload", schema)
+    fields = [F.reverse(turned["phases"]).alias(n) if n == "phases" else turned[n].alias(n)
+              for n in (f.name for f in spark.createDataFrame([], schema).schema)]
+    messages = _messages(spark, sf_dir, kind).withColumn("payload", F.to_json(F.struct(*fields)))
+    change(messages).select("topic", "payload", "seq").write.parquet(f"{base}/messages")
+    stream = spark.readStream.schema("topic string, payload string, seq bigint").parquet(f"{base}/messages")
+    _drain(SI.start_ingest(stream, base, kind, f"{base}/checkpoint", available_now=True))
+    return base
+
+
+@query("stream_json_phases")
+def stream_json_phases(spark, sf_dir):
+    """Phase rows of inverter messages: the numbers are those of the items, not their places."""
+    base = _ingested(spark, sf_dir, "inverter")
+    return tables.read_table(spark, base, "inverter_phase_samples").drop("day")
+
+
+@query("stream_json_ingest_meter")
+def stream_json_ingest_meter(spark, sf_dir):
+    """Meter messages streamed into their two tables, joined again for the comparison."""
+    base = _ingested(spark, sf_dir, "meter")
+    at = [*KEY, "time"]
+    phases = tables.read_table(spark, base, "meter_phase_samples").select(*at, "phase_id", F.col("power_active").alias("phase_power"))
+    return tables.read_table(spark, base, "meter_samples").select(*at, "seq", "energy_active_import", "power_active").join(phases, at)
+
+
+@query("stream_json_rejects")
+def stream_json_rejects(spark, sf_dir):
+    """Messages that were not stored, by reason: cut payloads, unknown topics, phases that do not exist."""
+
+    def spoil(df: DataFrame) -> DataFrame:
+        return df.withColumns({
+            "payload": F.when(F.col("seq") % 97 == 0, F.substring("payload", 1, 12)).when(
+                F.col("seq") % 103 == 0, F.regexp_replace("payload", '"id":', '"id":1')).otherwise(F.col("payload")),
+            "topic": F.when(F.col("seq") % 101 == 0, "broken").otherwise(F.col("topic"))})
+
+    base = _ingested(spark, sf_dir, "inverter", spoil)
+    return tables.read_table(spark, base, "message_rejects").groupBy(
+        F.regexp_replace("reason", "(phase|input)_id", "id").alias("reason"), F.coalesce("seq", F.lit(-1)).alias("seq")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @query("retention")
 def retention(spark, sf_dir):
     """Raw samples left after the partitions older than 90 days are dropped."""

@@ -16,7 +16,7 @@ from sunledger.functions.solar import daylight_calendar, site_days
 from sunledger.functions.timeutil import day_spine, in_local_days
 from sunledger.operators import daily as D
 from sunledger.operators.counters import day_buckets
-from sunledger.operators.power import POWER_30SEC, POWER_5MIN, power_column, power_from_buckets
+from sunledger.operators.power import POWER_30SEC, POWER_5MIN, bucket_range, downsample, power_column, power_from_buckets, power_rows
 from sunledger.operators.site import site_energy
 from sunledger.session import work_dir
 from sunledger.sources import tables as T
@@ -101,14 +101,40 @@ def compute_site_rollup(inverter_samples: DataFrame, meter_samples: DataFrame, r
 def refresh_power(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str) -> None:
     """Rebuild both power resolutions of a range of local days from stored samples."""
     scratch = work_dir(spark, "power")
-    _write_power(spark, store, _stored_buckets(spark, store, first, last, tz, scratch))
-    drop_folder(spark, scratch)
+    try:
+        _write_power(spark, store, _stored_buckets(spark, store, first, last, tz, scratch))
+    finally:
+        drop_folder(spark, scratch)
 
 
-def _stored_buckets(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str, scratch: str) -> dict[str, DataFrame]:
+def refresh_power_range(spark: SparkSession, store: str, table: str, bucket_seconds: int, now: dt.datetime,
+                        start_offset: dt.timedelta, end_offset: dt.timedelta) -> None:
+    """Make the buckets of a power table anew that lie wholly inside [now - start_offset, now - end_offset].
+
+    Buckets whose samples are gone are removed; only the days of the range are read and rewritten.  ``now`` is UTC.
+    """
+    first, stop = bucket_range(bucket_seconds, now, start_offset, end_offset)
+    if first >= stop:
+        return
+    rows = []
+    for kind in ("inverter", "meter"):
+        name = f"{kind}_samples"
+        if exists(spark, T.table_path(store, name)):
+            rows.append(downsample(power_rows(T.read_samples(spark, store, name, first, stop), kind), bucket_seconds))
+    fresh = reduce(DataFrame.unionByName, rows).withColumn("day", F.to_date("bucket")) if rows else (
+        spark.createDataFrame([], T.TABLES[table]))
+    days = [first.date() + dt.timedelta(days=i) for i in range((stop - dt.timedelta(microseconds=1)).date().toordinal() - first.date().toordinal() + 1)]
+    at = [F.lit(t).cast("timestamp") for t in (first, stop)]
+    upsert_days(spark, fresh, T.table_path(store, table), [*KEY, "bucket"],
+                drop=(F.col("bucket") >= at[0]) & (F.col("bucket") < at[1]), days=days)
+
+
+def _stored_buckets(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str, scratch: str,
+                    only: DataFrame | None = None) -> dict[str, DataFrame]:
     def read(table: str) -> DataFrame:
         if exists(spark, T.table_path(store, table)):
-            return T.read_local_days(spark, store, table, first, last, tz)
+            rows = T.read_local_days(spark, store, table, first, last, tz)
+            return rows if only is None else rows.join(only.select("site_id").distinct(), "site_id", "left_semi")
         return spark.createDataFrame([], T.TABLES[table])  # a fleet may have only one kind
 
     samples = {kind: read(f"{kind}_samples") for kind in ("inverter", "meter")}
@@ -121,40 +147,46 @@ def _write_power(spark: SparkSession, store: str, buckets: dict[str, DataFrame])
         upsert_days(spark, rows.withColumn("day", F.to_date("bucket")), T.table_path(store, table), [*KEY, "bucket"])
 
 
-def run_site_rollup(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str) -> None:
+def run_site_rollup(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str,
+                    only: DataFrame | None = None) -> None:
     """Power, device and site rollups of a range of local days over a store.
 
     Raw samples of the range are read once, into 30-second day buckets in the
     shared folder; every table is written before the next step reads it, and
     every step replaces rows by key, so a run can be repeated at any point.
     Devices are those of the roster and those with samples in the range.
+    ``only`` (site_id, day) limits it to those days of those sites.
     """
     registry, sites = T.read_dims(spark, store)
     scratch = work_dir(spark, "rollup")
-    buckets = _stored_buckets(spark, store, first, last, tz, scratch)
-    _write_power(spark, store, buckets)
-    devices = registry.select(*KEY, "kind")
-    for kind, df in buckets.items():
-        devices = devices.unionByName(df.select(*KEY, F.lit(kind).alias("kind")))
-    spine = day_spine(devices.distinct(), first, last)
-    days = day_spine(registry.select("site_id").distinct(), first, last)
-    limits = Thresholds()
-    inverters = D.inverter_days(
-        buckets["inverter"], spine.where("kind = 'inverter'"),
-        daylight_calendar(site_days(sites, spine.select("site_id", "day").distinct()), tz), tz,
-        limits.inverter_coverage_min, limits.continuity_min, limits.bucket_seconds)
-    upsert_days(spark, inverters.drop("notes"), T.table_path(store, "inverter_daily"))
-    meters = D.meter_days(buckets["meter"], spine.where("kind = 'meter'"), tz,
-                          limits.meter_coverage_min, limits.continuity_min, limits.bucket_seconds)
-    upsert_days(spark, meters.drop("notes"), T.table_path(store, "meter_daily"))
-
-    between = F.col("day").between(F.lit(first), F.lit(last))
-    balance = compute_site_energy(
-        T.read_table(spark, store, "inverter_daily").where(between),
-        T.read_table(spark, store, "meter_daily").where(between),
-        in_local_days(_power_days(spark, store, first, last), first, last, tz, "bucket"), registry, days, tz)
-    upsert_days(spark, balance.where("written").drop("written", "notes"), T.table_path(store, "site_energy"), ["site_id"])
-    drop_folder(spark, scratch)
+    try:
+        buckets = _stored_buckets(spark, store, first, last, tz, scratch, only)
+        _write_power(spark, store, buckets)
+        devices = registry.select(*KEY, "kind")
+        for kind, df in buckets.items():
+            devices = devices.unionByName(df.select(*KEY, F.lit(kind).alias("kind")))
+        spine = day_spine(devices.distinct(), first, last)
+        days = day_spine(registry.select("site_id").distinct(), first, last)
+        if only is not None:
+            spine, days = (df.join(only, ["site_id", "day"], "left_semi") for df in (spine, days))
+        limits = Thresholds()
+        inverters = D.inverter_days(
+            buckets["inverter"], spine.where("kind = 'inverter'"),
+            daylight_calendar(site_days(sites, spine.select("site_id", "day").distinct()), tz), tz,
+            limits.inverter_coverage_min, limits.continuity_min, limits.bucket_seconds)
+        upsert_days(spark, inverters.drop("notes"), T.table_path(store, "inverter_daily"))
+        meters = D.meter_days(buckets["meter"], spine.where("kind = 'meter'"), tz,
+                              limits.meter_coverage_min, limits.continuity_min, limits.bucket_seconds)
+        upsert_days(spark, meters.drop("notes"), T.table_path(store, "meter_daily"))
+
+        between = F.col("day").between(F.lit(first), F.lit(last))
+        balance = compute_site_energy(
+            T.read_table(spark, store, "inverter_daily").where(between),
+            T.read_table(spark, store, "meter_daily").where(between),
+            in_local_days(_power_days(spark, store, first, last), first, last, tz, "bucket"), registry, days, tz)
+        upsert_days(spark, balance.where("written").drop("written", "notes"), T.table_path(store, "site_energy"), ["site_id"])
+    finally:
+        drop_folder(spark, scratch)
 
 
 def _power_days(spark: SparkSession, store: str, first: dt.date, last: dt.date) -> DataFrame:

@@ -84,6 +84,8 @@ SITE_ENERGY = _struct(
 )
 MESSAGES = _struct("topic:string payload:string seq:long ts:ts", keyed=False)
 
+MESSAGE_REJECTS = _struct("topic:string payload:string seq:long reason:string day:date", keyed=False)
+
 # Tables of a store folder, all but the dimensions partitioned by ``day``.
 TABLES = {
     "inverter_samples": INVERTER_SAMPLES,
@@ -100,6 +102,7 @@ TABLES = {
     "meter_device": METER_DEVICE,
     "device_registry": REGISTRY,
     "site": SITE,
+    "message_rejects": MESSAGE_REJECTS,
 }
 
 # JSON payloads, keyed by (kind, suffix).

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sunledger import KEY
@@ -10,6 +13,9 @@ from sunledger.operators.fanout import INVERTER_INPUT_FIELDS, INVERTER_PHASE_FIE
 from sunledger.schemas import PAYLOADS
 
 AVAILABILITY = ["connected", "disconnected"]
+# The field without which a payload is not of its type.
+REQUIRED = {"values": "time", "events": "active_code", "device": "serial_number"}
+BAD_TOPIC, BAD_PAYLOAD, BAD_STATE = "unknown topic", "malformed payload", "unknown state"
 
 
 def split_topic(messages: DataFrame) -> DataFrame:
@@ -32,7 +38,7 @@ def parse_messages(messages: DataFrame, kind: str, suffix: str = "values") -> Da
     ``malformed`` is true where the payload is not JSON of that type; its fields are NULL.
     """
     schema = PAYLOADS[kind, suffix]
-    required = {"values": "time", "events": "active_code", "device": "serial_number"}[suffix]
+    required = REQUIRED[suffix]
     df = split_topic(messages).where((F.col("kind") == kind) & (F.col("suffix") == suffix))
     df = df.withColumn("_p", F.from_json("payload", schema))
     carried = [c for c in ("seq", "ts") if c in messages.columns]
@@ -42,6 +48,21 @@ def parse_messages(messages: DataFrame, kind: str, suffix: str = "values") -> Da
     return df
 
 
+def rejected_messages(messages: DataFrame) -> DataFrame:
+    """topic, payload, seq, reason of the messages that no parser takes: unknown topics and payloads of another form."""
+    df = split_topic(messages)
+    readable = [
+        (F.col("kind") == kind) & (F.col("suffix") == suffix) & F.from_json("payload", schema)[REQUIRED[suffix]].isNotNull()
+        for (kind, suffix), schema in PAYLOADS.items()]
+    known = [(F.col("kind") == kind) & (F.col("suffix") == suffix) for kind, suffix in PAYLOADS]
+    state = F.col("kind").isin("inverter", "meter") & (F.col("suffix") == "availability")
+    reason = (
+        F.when(F.col("site_id").isNull() | ~F.coalesce(reduce(or_, [*known, state]), F.lit(False)), BAD_TOPIC)
+        .when(state & ~F.coalesce(F.col("payload").isin(AVAILABILITY), F.lit(False)), BAD_STATE)
+        .when(~state & ~F.coalesce(reduce(or_, readable), F.lit(False)), BAD_PAYLOAD))
+    return df.select("topic", "payload", "seq", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def parse_availability(messages: DataFrame, kind: str) -> DataFrame:
     """The state texts of one class; they are plain strings, not JSON."""
     df = split_topic(messages).where((F.col("kind") == kind) & (F.col("suffix") == "availability"))

@@ -1,12 +1,21 @@
-"""Writers of a store folder: keyed upserts, retention and compaction."""
+"""Writers of a store folder: keyed upserts, retention and compaction.
+
+Files of a day are replaced in two steps that a later run can finish.  The new files are staged below the table with the list
+of the files that they replace; renaming that folder to ``_pending`` is the commit.  Publishing then deletes the listed files and
+moves the new ones in, and may stop anywhere: every writer first finishes what it finds in ``_pending``.  Files that others
+appended meanwhile are not listed, so they stay.  A table has one rewriting job at a time; appends may run next to it.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sunledger import KEY
+from sunledger.schemas import TABLES
 from sunledger.session import work_dir
 from sunledger.sources.tables import table_path
 
@@ -19,6 +28,13 @@ HIVE_NULL = "day=__HIVE_DEFAULT_PARTITION__"
 RAW_TABLES = ["inverter_samples", "inverter_phase_samples", "inverter_input_samples",
               "meter_samples", "meter_phase_samples"]
 AGGREGATE_TABLES = ["power_30sec", "power_5min"]
+# Segment and time column of the tables that are compacted.
+SEGMENTS = {
+    "inverter_samples": (None, "time"), "inverter_phase_samples": ("phase_id", "time"),
+    "inverter_input_samples": ("input_id", "time"), "meter_samples": (None, "time"),
+    "meter_phase_samples": ("phase_id", "time"), "power_30sec": ("kind", "bucket"), "power_5min": ("kind", "bucket"),
+}
+PENDING, STAGING, REPLACED = "_pending", "_staging-", "_replaced"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -58,19 +74,98 @@ def append_days(df: DataFrame, path: str) -> None:
     _balanced(df).write.mode("append").partitionBy("day").parquet(path)
 
 
-def _replace_days(df: DataFrame, path: str) -> None:
-    """Replace exactly the ``day`` partitions present in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+def _in_days(days: list[dt.date | None]) -> Column:
+    """Literal days, so that the scan lists and opens only their folders."""
+    known = [d for d in days if d is not None]
+    chosen = F.col("day").isin(known) if known else F.lit(False)
+    return chosen | F.col("day").isNull() if len(known) < len(days) else chosen
+
+
+def touched_days(df: DataFrame) -> list[dt.date | None]:
+    """The days of a batch: as many as its time range has, however many rows."""
+    return [r["day"] for r in df.select("day").distinct().collect()]
+
+
+def _day_folder(day: dt.date | None) -> str:
+    return HIVE_NULL if day is None else f"day={day.isoformat()}"
+
+
+def _files(spark: SparkSession, path: str, days: list[dt.date | None]) -> list[str]:
+    """Data files of these days, as day folder and name."""
+    fs, root = _fs(spark, path)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for name in map(_day_folder, days):
+        folder = hpath(root, name)
+        if fs.exists(folder):
+            out += [f"{name}/{s.getPath().getName()}" for s in fs.listStatus(folder)
+                    if not s.getPath().getName().startswith(("_", "."))]
+    return out
+
+
+def _read_files(spark: SparkSession, path: str, files: list[str], schema) -> DataFrame:
+    return spark.read.schema(schema).option("basePath", path).parquet(*(f"{path}/{f}" for f in files))
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish a committed replacement that a run left behind; drop what was not committed."""
+    fs, root = _fs(spark, path)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    pending = hpath(root, PENDING)
+    if not fs.exists(root):
+        return False
+    for s in fs.listStatus(root):
+        if s.getPath().getName().startswith(STAGING):
+            fs.delete(s.getPath(), True)
+    if not fs.exists(pending):
+        return False
+    replaced = spark.read.schema("name string").json(f"{path}/{PENDING}/{REPLACED}").collect()  # files of the touched days
+    for r in replaced:
+        fs.delete(hpath(root, r["name"]), False)
+    for folder in fs.listStatus(pending):
+        name = folder.getPath().getName()
+        if not name.startswith("day="):
+            continue
+        fs.mkdirs(hpath(root, name))
+        for s in fs.listStatus(folder.getPath()):
+            target = hpath(hpath(root, name), s.getPath().getName())
+            if not s.getPath().getName().startswith(("_", ".")) and not fs.rename(s.getPath(), target):
+                raise OSError(f"cannot move {s.getPath()} to {target}")
+        done = hpath(hpath(root, name), MARKER)
+        if fs.exists(done):
+            fs.delete(done, False)
+    fs.delete(pending, True)
+    for name in {r["name"].split("/")[0] for r in replaced}:  # a day that lost all its rows
+        folder = hpath(root, name)
+        if fs.exists(folder) and not [s for s in fs.listStatus(folder) if not s.getPath().getName().startswith(("_", "."))]:
+            fs.delete(folder, True)
+    return True
+
+
+def _commit(spark: SparkSession, path: str, write: Callable[[str], None], replaced: list[str]) -> None:
+    """Stage what ``write(folder)`` writes by day, commit it as the replacement of the listed files, and publish it."""
+    fs, root = _fs(spark, path)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    staging = f"{path}/{STAGING}{uuid.uuid4().hex}"
+    try:
+        write(staging)
+        spark.createDataFrame([(f,) for f in replaced], "name string").coalesce(1).write.json(f"{staging}/{REPLACED}")
+    except BaseException:
+        drop_folder(spark, staging)
+        raise
+    if not fs.rename(hpath(staging), hpath(root, PENDING)):
+        raise OSError(f"cannot commit {staging}")
+    recover(spark, path)
 
 
 def stored_rows(spark: SparkSession, path: str, new: DataFrame, cols: list[str]) -> DataFrame:
-    """Stored ``cols`` of the days present in ``new``: the semi join on ``day`` prunes the scan to them."""
-    stored = spark.read.schema(new.schema).parquet(path)
+    """Stored ``cols`` of the days present in ``new``, read from the folders of those days alone."""
+    stored = spark.read.schema(new.schema).parquet(path).where(_in_days(touched_days(new)))
     if "time" in new.columns:
         # Samples are appended in time order, so the range also skips row groups of a large day.
         span = new.agg(F.min("time").alias("lo"), F.max("time").alias("hi")).first()
         stored = stored.where(F.col("time").between(F.lit(span["lo"]), F.lit(span["hi"])))
-    return stored.join(new.select("day").distinct(), "day", "left_semi").select(*cols, "day")
+    return stored.select(*cols, "day")
 
 
 def insert_first(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> None:
@@ -84,35 +179,33 @@ def insert_first(spark: SparkSession, new: DataFrame, path: str, keys: list[str]
 
 def new_rows(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Rows whose ``keys`` are not stored yet."""
+    recover(spark, path)
     if not exists(spark, path):
         return new
     return new.join(stored_rows(spark, path, new, keys), [*keys, "day"], "left_anti")
 
 
-def upsert_days(spark: SparkSession, new: DataFrame, path: str, keys: list[str] | None = None) -> None:
-    """Insert or replace rows by ``(keys, day)``; untouched days are not rewritten.
+def upsert_days(spark: SparkSession, new: DataFrame, path: str, keys: list[str] | None = None,
+                drop: Column | None = None, days: list[dt.date] | None = None) -> None:
+    """Insert or replace rows by ``(keys, day)``; only the touched days are read and rewritten.
 
-    Rows of the touched days that are not replaced are carried over.  The
-    result is staged in the shared folder before it overwrites those
-    partitions, since they cannot be read and replaced in one job; a run that
-    dies in between can simply be repeated.
+    Rows of those days that are not replaced are carried over, but for those for which ``drop`` holds.  ``days`` adds days to
+    the touched ones.  A run that dies at any point can be repeated, and loses nothing: see the module's text.
     """
     keys = keys or KEY
-    staged, incoming = work_dir(spark, "upsert"), work_dir(spark, "incoming")
-    if exists(spark, path):
+    recover(spark, path)
+    incoming = work_dir(spark, "incoming")
+    try:
+        # ``new`` may be made from this table, and its days must be known: write it first.
         new.write.parquet(incoming)
         new = spark.read.schema(new.schema).parquet(incoming)
-        # The semi join on the partition column prunes the scan to the touched days.
-        kept = (
-            spark.read.schema(new.schema).parquet(path)
-            .join(new.select("day").distinct(), "day", "left_semi")
-            .join(new.select(*keys, "day"), [*keys, "day"], "left_anti")
-        )
-        new = kept.unionByName(new)
-    _balanced(new).write.partitionBy("day").parquet(staged)
-    _replace_days(spark.read.schema(new.schema).parquet(staged), path)
-    drop_folder(spark, staged)
-    drop_folder(spark, incoming)
+        replaced = _files(spark, path, sorted({*touched_days(new), *(days or [])}, key=str))
+        if replaced:
+            kept = _read_files(spark, path, replaced, new.schema).join(new.select(*keys, "day"), [*keys, "day"], "left_anti")
+            new = (kept if drop is None else kept.where(~F.coalesce(drop, F.lit(False)))).unionByName(new)
+        _commit(spark, path, lambda at: _balanced(new).write.partitionBy("day").parquet(at), replaced)
+    finally:
+        drop_folder(spark, incoming)
 
 
 def day_partitions(spark: SparkSession, path: str) -> list[dt.date]:
@@ -162,13 +255,16 @@ def _compacted(fs, folder) -> bool:
 
 
 def compact(spark: SparkSession, path: str, now: dt.datetime, segment: str | None = None,
-            after: dt.timedelta = COMPACT_AFTER, time: str = "time") -> list[dt.date]:
+            after: dt.timedelta = COMPACT_AFTER, time: str = "time", schema=None) -> list[dt.date]:
     """Rewrite days older than ``after`` once, as sorted zstd files; the rows stay the same.
 
     Rows are ranged by (day, segment, device, time), so one device's or one
     day's bulk is spread over tasks and adaptive execution sizes the files;
     each covers a narrow range that its min/max statistics let scans skip.
+    Rows appended while this runs are in files of their own and stay; the day
+    is then due again.
     """
+    recover(spark, path)
     fs, root = _fs(spark, path)
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
@@ -180,15 +276,19 @@ def compact(spark: SparkSession, path: str, now: dt.datetime, segment: str | Non
     if not days:
         return []
     order = [F.col(c) for c in ([segment] if segment else []) + KEY] + [F.col(time).desc()]
-    staged = work_dir(spark, "compact")
-    old = spark.read.parquet(path).where(F.col("day").isin(days))
-    (old.repartitionByRange("day", *order).sortWithinPartitions("day", *order)
-        .write.option("compression", "zstd").partitionBy("day").parquet(staged))
-    # The second pass only moves the sorted rows: it keeps the staged files' ranges.
-    (spark.read.schema(old.schema).parquet(staged).sortWithinPartitions("day", *order)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd").partitionBy("day").parquet(path))
+    replaced = _files(spark, path, days)
+    old = _read_files(spark, path, replaced, schema or spark.read.parquet(path).schema)
+    _commit(spark, path, lambda at: (
+        old.repartitionByRange("day", *order).sortWithinPartitions("day", *order)
+        .write.option("compression", "zstd").partitionBy("day").parquet(at)), replaced)
     for day in days:
         fs.create(hpath(folder(day), MARKER), True).close()
-    drop_folder(spark, staged)
     return days
+
+
+def apply_compaction(spark: SparkSession, store: str, now: dt.datetime) -> dict[str, list[dt.date]]:
+    """Compaction over all sample and power tables of a store that exist, clustered by their segment column."""
+    return {
+        t: compact(spark, table_path(store, t), now, segment, time=time, schema=TABLES[t])
+        for t, (segment, time) in SEGMENTS.items() if exists(spark, table_path(store, t))
+    }

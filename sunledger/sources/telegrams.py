@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Line forms, measured codes, size bound and identity of this meter type.
+# Line forms, measured codes and identity of this meter type.
 LINE_PATTERN = r"[0-9]-0:[0-9]+.[0-9]+.[0-9]+\*255\([^)\n]+\)"
 VERSION_PATTERN = r"/[A-Za-z0-9]+_[A-Za-z0-9]+$"
 NUMBER_PATTERN = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
@@ -17,7 +17,6 @@ CODE_POWER = "1-0:16.7.0*255"
 CODES_PHASE_POWER = ["1-0:36.7.0*255", "1-0:56.7.0*255", "1-0:76.7.0*255"]
 CODES_PHASE_VOLTAGE = ["1-0:32.7.0*255", "1-0:52.7.0*255", "1-0:72.7.0*255"]
 CODE_SERIAL = "1-0:96.1.0*255"
-MAX_BYTES = 368
 MANUFACTURER = "EasyMeter"
 MODEL = "DD3-BZ06-ETA-ODZ1"
 PHASES = 3
@@ -57,11 +56,11 @@ def _once(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in cols.items())))))
 
 
-def parse_telegrams(telegrams: DataFrame) -> DataFrame:
+def parse_telegrams(telegrams: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Add identity, ``energy`` (Wh), ``power``, ``phase_power``, ``phase_voltage`` and ``reject_reason``.
 
     Unknown codes are ignored and missing ones read as 0; one malformed line
-    makes the whole telegram a reject.
+    makes the whole telegram a reject.  ``max_bytes`` also rejects longer ones.
     """
     # Array functions over the codes keep the generated code small enough to be compiled.
     codes = F.array(*map(F.lit, [CODE_ENERGY, CODE_POWER, *CODES_PHASE_POWER, *CODES_PHASE_VOLTAGE]))
@@ -70,7 +69,7 @@ def parse_telegrams(telegrams: DataFrame) -> DataFrame:
         telegrams,
         _text=F.concat(F.lit("\n"), F.replace("telegram", F.lit("\r"), F.lit(""))),
         _framing=F.when(F.substring("telegram", -3, 1) != "!", INCOMPLETE)
-        .when(F.octet_length("telegram") > MAX_BYTES, TOO_LONG))
+        .when(F.octet_length("telegram") > F.lit(max_bytes), TOO_LONG))
     df = _once(
         df,
         _lines=F.when(F.col("_text").rlike(BAD_VERSION_LINE), BAD_VERSION)

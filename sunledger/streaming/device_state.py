@@ -4,6 +4,9 @@ The state is a small table (one row per device), versioned by batch, next to
 the query's checkpoint.  Each batch is processed with the chunked batch
 operators, so a device that sends most of a batch is still split over tasks,
 and a repeated batch starts from the same version and rewrites its own.
+
+A query that starts from a fresh checkpoint is a new run: its versions come after those of all earlier runs, so it goes on from
+their newest state and overwrites nothing.
 """
 
 from __future__ import annotations
@@ -12,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sunledger import KEY
-from sunledger.operators.ordered import CHUNK_ROWS, change_gate, device_asof
-from sunledger.sources.store import drop_folder, list_versions
+from sunledger.operators.ordered import CHUNK_ROWS, change_gate, device_asof, latest
+from sunledger.sources.store import drop_folder, exists, list_versions
 
 BEFORE_ALL = -1
 KEPT_VERSIONS = 10
+RUN = 10 ** 12      # versions of one run
 
 
 def _state(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
@@ -26,6 +30,15 @@ def _state(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/version={max(earlier)}")
 
 
+def run_of(spark: SparkSession, out: str, checkpoint: str) -> int:
+    """Number of the run that a checkpoint belongs to, noted next to it."""
+    noted = f"{checkpoint}_run"
+    if not exists(spark, noted):
+        last = max(list_versions(spark, f"{out}/readings"), default=-1)
+        spark.createDataFrame([(last // RUN + 1,)], "run long").write.json(noted)
+    return spark.read.schema("run long").json(noted).first()["run"]
+
+
 def process_batch(batch: DataFrame, batch_id: int, out: str, cols: list[str], chunk_rows: int = CHUNK_ROWS) -> None:
     """One batch of ``is_device`` rows (descriptors) and readings.
 
@@ -33,6 +46,14 @@ def process_batch(batch: DataFrame, batch_id: int, out: str, cols: list[str], ch
     the descriptors that differ from the one before, ``state``.  Readings
     before any descriptor are dropped.
     """
+    batch = batch.persist()
+    try:
+        _process(batch, batch_id, out, cols, chunk_rows)
+    finally:
+        batch.unpersist()
+
+
+def _process(batch: DataFrame, batch_id: int, out: str, cols: list[str], chunk_rows: int) -> None:
     spark = batch.sparkSession
     fields = [*KEY, "seq", *cols]
     state_path = f"{out}/state"
@@ -44,17 +65,16 @@ def process_batch(batch: DataFrame, batch_id: int, out: str, cols: list[str], ch
     readings.where(F.col("descriptor").isNotNull()).write.mode("overwrite").parquet(f"{out}/readings/version={batch_id}")
     changes = change_gate(known, KEY, "seq", cols, chunk_rows).where(F.col("seq") > BEFORE_ALL)
     changes.write.mode("overwrite").parquet(f"{out}/changes/version={batch_id}")
-    latest = known.groupBy(*KEY).agg(F.max_by(F.struct("seq", *cols), "seq").alias("d")).select(*KEY, "d.*")
-    latest.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
-    for version in list_versions(spark, state_path):
-        if version < batch_id - KEPT_VERSIONS:
-            drop_folder(spark, f"{state_path}/version={version}")
+    latest(known, KEY, "seq").write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
+    for version in [v for v in list_versions(spark, state_path) if v < batch_id][:-KEPT_VERSIONS]:
+        drop_folder(spark, f"{state_path}/version={version}")
 
 
 def start_device_state(rows: DataFrame, out: str, checkpoint: str, cols: list[str], available_now: bool = False,
                        every: str = "1 minute", chunk_rows: int = CHUNK_ROWS) -> StreamingQuery:
     """``rows`` mixes descriptors and readings in arrival order (``seq``)."""
-    writer = rows.writeStream.foreachBatch(lambda b, i: process_batch(b, i, out, cols, chunk_rows)).option(
+    base = RUN * run_of(rows.sparkSession, out, checkpoint)
+    writer = rows.writeStream.foreachBatch(lambda b, i: process_batch(b, base + i, out, cols, chunk_rows)).option(
         "checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
     return writer.start()

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sunledger import KEY
 from sunledger.operators import fanout
 from sunledger.operators.ordered import first_wins
-from sunledger.sources.messages import parse_messages
+from sunledger.operators.validation import rejected_rows, rule_sets, valid_rows
+from sunledger.schemas import TABLES
+from sunledger.sources.messages import parse_messages, rejected_messages
 from sunledger.sources.store import append_days, insert_first, new_rows
 from sunledger.sources.tables import table_path
 
 LATE = "1 hour"
+UNDATED = dt.date(1970, 1, 1)    # partition of rejects that have no readable time
 
 
 def stream_dedup(readings: DataFrame, late: str = LATE) -> DataFrame:
@@ -20,36 +25,66 @@ def stream_dedup(readings: DataFrame, late: str = LATE) -> DataFrame:
     return readings.withWatermark("time", late).dropDuplicatesWithinWatermark([*KEY, "time"])
 
 
+def _checked(rows: DataFrame, rules: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that keep the constraints of their table, and the others as rejects."""
+    rules = rule_sets()[rules]
+    bad = rejected_rows(rows, rules).select(
+        F.concat_ws("/", *KEY).alias("topic"), F.to_json(F.struct(*rows.columns)).alias("payload"),
+        F.lit(None).cast("long").alias("seq"), F.concat(F.lit("constraint "), F.array_join("violations", ", ")).alias("reason"),
+        "day")
+    return valid_rows(rows, rules), bad
+
+
+def store_rejects(rejects: DataFrame, store: str) -> None:
+    """Append rejects that are not stored yet."""
+    insert_first(rejects.sparkSession, rejects.select(*TABLES["message_rejects"].fieldNames()),
+                 table_path(store, "message_rejects"), ["topic", "payload", "reason"])
+
+
 def store_readings(batch: DataFrame, store: str, kind: str) -> None:
     """Fan one batch of parsed readings out into the tables of a kind.
 
-    A reading whose (device, time) is stored already is lost as a whole.  The
-    sample row is written last: a retry after a failure half-way finds the
+    A reading whose (device, time) is stored already is lost as a whole.  Phases and inputs carry their numbers; those that
+    break a constraint go to ``message_rejects``.  The sample row is written last: a retry after a failure half-way finds the
     reading still new and completes its child rows.
     """
     spark = batch.sparkSession
     samples = table_path(store, f"{kind}_samples")
-    # Several tables are written from the batch: parse it once.
+    # Several tables are written from the batch: parse it once, and look up once what is new.
     batch = first_wins(batch.withColumn("day", F.to_date("time")), [*KEY, "time"]).persist()
+    fresh = new_rows(spark, batch, samples, [*KEY, "time"]).persist()
     try:
-        fresh = new_rows(spark, batch, samples, [*KEY, "time"])
-        insert_first(spark, fanout.explode_phases(fresh, kind, count=None),
-                     table_path(store, f"{kind}_phase_samples"), [*KEY, "time", "phase_id"])
+        phases, bad = _checked(fanout.explode_phases(fresh, kind, count=None), "phase_samples")
+        insert_first(spark, phases, table_path(store, f"{kind}_phase_samples"), [*KEY, "time", "phase_id"])
         if kind == "inverter":
-            insert_first(spark, fanout.explode_inputs(fresh, count=None, hybrid=None, scale=False),
-                         table_path(store, "inverter_input_samples"), [*KEY, "time", "input_id"])
-            append_days(fanout.inverter_rows(fresh, scale=False), samples)
-        else:
-            append_days(fanout.meter_rows(fresh, scale=False), samples)
+            inputs, more = _checked(fanout.explode_inputs(fresh, count=None, hybrid=None, scale=False), "input_samples")
+            insert_first(spark, inputs, table_path(store, "inverter_input_samples"), [*KEY, "time", "input_id"])
+            bad = bad.unionByName(more)
+        store_rejects(bad, store)
+        rows = fanout.inverter_rows if kind == "inverter" else fanout.meter_rows
+        append_days(rows(fresh, scale=False), samples)
+    finally:
+        fresh.unpersist()
+        batch.unpersist()
+
+
+def store_messages(batch: DataFrame, store: str, kind: str) -> None:
+    """Store the ``values`` messages of a kind, and what cannot be read of the batch as rejects with a reason."""
+    batch = batch.persist()
+    try:
+        # Of the messages of both kinds, each is reported by one: its own, or the inverters' where the topic names none.
+        meters = F.coalesce(F.try_element_at(F.split("topic", "/"), F.lit(-3)) == "meter", F.lit(False))
+        rejects = rejected_messages(batch.where(meters if kind == "meter" else ~meters))
+        store_rejects(rejects.withColumn("day", F.lit(UNDATED)), store)
+        store_readings(parse_messages(batch, kind).where(~F.col("malformed")).drop("malformed"), store, kind)
     finally:
         batch.unpersist()
 
 
 def start_ingest(messages: DataFrame, store: str, kind: str, checkpoint: str,
                  available_now: bool = False, every: str = "1 minute") -> StreamingQuery:
-    """Parse the ``values`` messages of a kind and store them; malformed payloads are left out."""
-    readings = parse_messages(messages, kind).where(~F.col("malformed")).drop("malformed")
-    writer = readings.writeStream.foreachBatch(lambda b, _: store_readings(b, store, kind)).option(
+    """Parse the ``values`` messages of a kind and store them; what cannot be read goes to ``message_rejects``."""
+    writer = messages.writeStream.foreachBatch(lambda b, _: store_messages(b, store, kind)).option(
         "checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
     return writer.start()

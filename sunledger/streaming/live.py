@@ -33,13 +33,21 @@ def runs(days: list[dt.date]) -> list[tuple[dt.date, dt.date]]:
 
 def start_live_rollup(samples: DataFrame, store: str, tz: str, checkpoint: str, available_now: bool = False,
                       every: str = "5 minutes") -> StreamingQuery:
-    """Recompute the local days touched by each batch of stored samples."""
+    """Recompute the local days of the sites that each batch of stored samples touches.
+
+    ``samples`` needs site_id and time: the union of the sample tables of both kinds, so that a day on which only meters
+    reported is followed as well.
+    """
 
     def recompute(batch: DataFrame, _: int) -> None:
-        # One row per touched day; a few late samples do not drag in the days between.
-        rows = batch.select(local_day("time", tz).alias("day")).distinct().orderBy("day").collect()
-        for first, last in runs([r["day"] for r in rows]):
-            run_site_rollup(batch.sparkSession, store, first, last, tz)
+        touched = batch.select("site_id", local_day("time", tz).alias("day")).distinct().persist()
+        try:
+            # One row per touched day; a few late samples do not drag in the days between.
+            rows = touched.select("day").distinct().orderBy("day").collect()
+            for first, last in runs([r["day"] for r in rows]):
+                run_site_rollup(batch.sparkSession, store, first, last, tz, touched)
+        finally:
+            touched.unpersist()
 
     writer = samples.writeStream.foreachBatch(recompute).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)

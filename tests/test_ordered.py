@@ -61,3 +61,13 @@ def test_repeats_of_messages(spark):
     rows = [("t", p, s) for s, p in enumerate("AABBA")]
     df = spark.createDataFrame(rows, "topic string, payload string, seq long")
     assert sorted(r.seq for r in ordered.suppress_repeats(df, chunk_rows=2).collect()) == [0, 2, 4]
+
+
+def test_sparse_sequence_numbers_give_the_same_result(spark):
+    rows = [("a", i * 1_000_003, v) for i, v in enumerate("xxyyxzzzyx")] + [("b", 5, "x"), ("b", 6_000_000_000, "x")]
+    sparse = spark.createDataFrame(rows, "k string, seq long, v string")
+    dense = spark.createDataFrame([(k, i, v) for i, (k, _, v) in enumerate(rows)], "k string, seq long, v string")
+    for chunk_rows in (2, 3, 100):
+        kept = ordered.change_gate(sparse, ["k"], "seq", ["v"], chunk_rows)
+        assert sorted((r.k, r.v) for r in kept.collect()) == sorted(
+            (r.k, r.v) for r in ordered.change_gate(dense, ["k"], "seq", ["v"], 1000).collect())

@@ -51,3 +51,8 @@ def test_no_cross_join_no_python(spark, name):
     text = plan(spark, name)
     for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "SinglePartition"):
         assert banned not in text, banned
+
+
+@pytest.mark.parametrize("name", ["suppress_repeats", "change_gate", "device_asof", "device_upsert", "latest_per_topic"])
+def test_ordered_operators_do_not_sort_to_aggregate(spark, name):
+    assert "SortAggregate" not in plan(spark, name)

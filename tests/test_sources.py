@@ -110,12 +110,19 @@ def test_good_telegram(spark):
 
 def test_rejects_name_their_reason(spark):
     cases = {
-        TG.INCOMPLETE: telegram(*GOOD, end="\r\n"), TG.TOO_LONG: telegram(*GOOD, "1-0:0.2.1*255(" + "x" * 200 + ")"),
+        TG.INCOMPLETE: telegram(*GOOD, end="\r\n"),
         TG.BAD_VERSION: telegram("/no version", *GOOD[1:]), TG.BAD_LINE: telegram(*GOOD, "1-0:1.8.0*255"),
         TG.BAD_NUMBER: telegram(*GOOD[:4], "1-0:16.7.0*255(none*W)")}
     assert [r.reject_reason for r in parse(spark, *cases.values())] == list(cases)
 
 
+def test_long_telegrams_are_read_unless_a_bound_is_asked_for(spark):
+    long = telegram(*GOOD, "1-0:0.2.1*255(" + "x" * 200 + ")")
+    rows = spark.createDataFrame([(long,)], "telegram string")
+    assert TG.parse_telegrams(rows).first().reject_reason is None
+    assert TG.parse_telegrams(rows, max_bytes=368).first().reject_reason == TG.TOO_LONG
+
+
 def test_missing_repeated_and_odd_lines(spark):
     missing, repeated, empty_value, no_version = parse(
         spark, telegram("/M_1", "", "1-0:36.7.0*255(7*W)"),

@@ -119,3 +119,67 @@ def test_rollup_of_a_store_can_be_repeated(spark, fleet_store):
     assert read() == once
     refresh_power(spark, fleet_store, first, first, fleet.TZ)
     assert read() == once
+
+
+def folder_files(path):
+    import pathlib
+
+    return sorted(str(p.relative_to(path)) for p in pathlib.Path(path).rglob("*.parquet"))
+
+
+def test_upsert_reads_only_the_touched_days(spark):
+    path = work_dir(spark, "pruned")
+    S.upsert_days(spark, daily(spark, [("a", d, d) for d in range(1, 29)]), path)
+    text = S.stored_rows(spark, path, daily(spark, [("a", 0, 3)]), KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in text and "2024-01-03" in text.split("PartitionFilters: ")[1].split("]")[0]
+    before = set(folder_files(path))
+    S.upsert_days(spark, daily(spark, [("b", 9, 3)]), path)
+    changed = {f.split("/")[0] for f in before ^ set(folder_files(path))}
+    assert changed == {"day=2024-01-03"}
+
+
+@pytest.mark.parametrize("stop", ["staging", "committed", "half published"])
+def test_a_rewrite_that_dies_loses_nothing(spark, monkeypatch, stop):
+    path = work_dir(spark, "crash")
+    old = [("a", 1, 1), ("b", 2, 1), ("c", 3, 2)]
+    S.upsert_days(spark, daily(spark, old), path)
+    change = daily(spark, [("a", 9, 1), ("d", 4, 2)])
+    real, calls = S.recover, []
+
+    def dies(spark_, path_):
+        calls.append(1)
+        if len(calls) == 1:
+            return real(spark_, path_)
+        if stop == "half published":    # the old files of one day are gone, nothing has been moved in
+            fs, root = S._fs(spark_, path_)
+            for s in fs.listStatus(spark_.sparkContext._jvm.org.apache.hadoop.fs.Path(root, "day=2024-01-01")):
+                fs.delete(s.getPath(), False)
+        raise RuntimeError("executor lost")
+
+    if stop == "staging":
+        monkeypatch.setattr(S, "_balanced", lambda df: (_ for _ in ()).throw(RuntimeError("executor lost")))
+    else:
+        monkeypatch.setattr(S, "recover", dies)
+    with pytest.raises(RuntimeError):
+        S.upsert_days(spark, change, path)
+    monkeypatch.undo()
+    if stop != "staging":
+        assert S.recover(spark, path)
+    S.upsert_days(spark, change, path)
+    rows = set(content(spark, path))
+    assert rows == {("a", 9, 1), ("b", 2, 1), ("c", 3, 2), ("d", 4, 2)}
+
+
+def test_rows_appended_during_compaction_stay(spark, monkeypatch):
+    path = work_dir(spark, "race")
+    S.append_days(daily(spark, [("a", 1, 1)]), path)
+    real = S._commit
+
+    def late(spark_, path_, write, replaced):
+        S.append_days(daily(spark, [("b", 2, 1)]), path)
+        real(spark_, path_, write, replaced)
+
+    monkeypatch.setattr(S, "_commit", late)
+    now = dt.datetime(2024, 3, 1)
+    assert S.compact(spark, path, now, time="day") == [dt.date(2024, 1, 1)]
+    assert sorted(r.device_name for r in spark.read.parquet(path).collect()) == ["a", "b"]

@@ -113,6 +113,12 @@ def test_device_state_survives_batches(spark):
     assert readings == {3: "v1", 5: "v1", 9: "v2", 10: "v1", 11: "v2"}  # 1 and 6 came before any descriptor
     changes = sorted((r.seq, r.device_name, r.fw) for r in spark.read.parquet(f"{base}/changes").collect())
     assert changes == [(2, "a", "v1"), (7, "b", "v1"), (8, "a", "v2")]
+    # A new query with a fresh checkpoint goes on from the newest state and keeps what is there.
+    write_batches(spark, [[row(13, "b"), row(14, "a")]], schema, f"{base}/in2")
+    stream = spark.readStream.schema(schema).parquet(f"{base}/in2")
+    SD.start_device_state(stream, base, f"{base}/cp2", ["fw"], available_now=True, chunk_rows=2).awaitTermination()
+    readings |= {13: "v1", 14: "v2"}
+    assert {r.seq: r.descriptor.fw for r in spark.read.parquet(f"{base}/readings").collect()} == readings
     # A repeated batch starts from the version before it and writes the same.
     SD.process_batch(spark.createDataFrame(batches[2], schema), 2, base, ["fw"], 2)
     assert {r.seq: r.descriptor.fw for r in spark.read.parquet(f"{base}/readings").collect()} == readings
