@@ -12,84 +12,134 @@ Members of a key differ by one word by construction, so a key only needs its ear
 map-side combine and no pair is emitted, however many lines share a key. The edit is then verified on the words themselves.
 
 Keys are the exclusive-or of (word, place) hashes, so a line of n words gets its n variants in n steps. Before that, exact
-copies are reduced to one, and lines that share neither their first nor their last half with another line are left out: of two
-lines within one edit, one half is the same.
+copies are reduced to one, and lines that share neither their first nor their last half with a different line are left out: of
+two lines within one edit, the words on one side of it hold a half. Those that
+remain are looked at again with one of eight blocks of words left out, and only words of such a block are taken out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import work_dir
+
 NEAR_WORDS = 8
+NO_ID = -(1 << 63)
+BLOCKS = 8      # of words, for the second look at candidates
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
+    """Words between the six ASCII spaces; splitting at one character is several times faster than at a pattern."""
+    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.translate(line, "\t\n\x0b\x0c\r", "     ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
-def _document() -> Column:
-    return F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
 
+def _document() -> list[Column]:
+    """What tells documents apart and orders them: the id (null as the least long) and a hash of the text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_hash")]
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word: _doc, _no, line, line hashes."""
-    lines = docs.select(_document().alias("_doc"), F.posexplode(F.split("text", "\n")).alias("_no", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(
-        "_doc", "_no", "line", F.xxhash64("line").alias("_h1"), F.xxhash64("line", F.lit(7)).alias("_h2"))
 
+def _half(m: Column) -> Column:
+    """Words in a half: the largest power of two that is at most half of ``m``, so that lines of like length agree on it."""
+    return F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.floor(m / 2), F.lit(1))))).cast("int")
 
-def _earliest() -> Column:
-    return F.min(F.struct("_doc", "_no"))
 
-
-def _half_keys(words: Column, n: Column) -> Column:
-    """Hashes of the first and last half, for halves of this count and of one word less."""
-    keys = []
+def _lines(docs: DataFrame) -> DataFrame:
+    """One row for each line with a word: _doc, _no, line hashes _h1 and _h2, _n words; from ``NEAR_WORDS`` words on hashes of
+    the first and last half, for this count of words (f1, l1; null if the same) and for one word less (f0, l0)."""
+    lines = docs.select(F.struct(*_document()).alias("_doc"), F.posexplode(F.split("text", "\n")).alias("_no", "line"))
+    lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("words", words_of(F.col("line"))).withColumn(
+        "_n", F.size("words"))
+    n, words = F.col("_n"), F.col("words")
+
+    def first(half: Column) -> Column:
+        return F.xxhash64(half, F.array_join(F.slice(words, F.lit(1), half), " "))
+
+    def last(half: Column) -> Column:
+        return F.xxhash64(F.array_join(F.slice(words, n - half + 1, half), " "), half)
+
+    near, more = n >= NEAR_WORDS, (n >= NEAR_WORDS) & (_half(n) != _half(n - 1))
+    return lines.select(
+        "_doc", "_no", F.xxhash64("line").alias("_h1"), F.xxhash64("line", F.lit(7)).alias("_h2"), "_n",
+        F.when(near, first(_half(n - 1))).alias("f0"), F.when(near, last(_half(n - 1))).alias("l0"),
+        F.when(more, first(_half(n))).alias("f1"), F.when(more, last(_half(n))).alias("l1"))
+
+
+def _distinct(lines: DataFrame) -> DataFrame:
+    """Different lines, with their earliest place ``first`` and number of ``copies``; written once below spark.checkpoint.dir."""
+    at = work_dir(lines.sparkSession, "lines")
+    lines.groupBy("_h1", "_h2", "_n", "f0", "l0", "f1", "l1").agg(
+        F.min(F.struct("_doc", "_no")).alias("first"), F.count("*").alias("copies")).write.parquet(at)
+    return lines.sparkSession.read.parquet(at)
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` a different line (by ``first``, its earliest place) has as well."""
+    line = F.xxhash64("first")
+    shared = rows.groupBy(key).agg(F.min(line).alias("_a"), F.max(line).alias("_b")).where("_a < _b")
+    # A column of its own for the join, so that both sides are dealt anew and a common key can be split.
+    own = F.col(key).bitwiseXOR(F.lit(1)).alias("_key")
+    return rows.withColumn("_key", own).join(shared.select(own), "_key", "left_semi").drop("_key")
+
+
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """``first`` of lines that share a half with a different line."""
+    near = distinct.where(F.col("_n") >= NEAR_WORDS).select("first", F.explode(F.array(
+        "f0", "l0", "f1", "l1")).alias("key")).where("key IS NOT NULL")
+    return _shared(near, "key").select("first").distinct()
+
+
+def _spans(lines: DataFrame) -> DataFrame:
+    """Of lines (first, words) those that agree with a different line but for one of ``BLOCKS`` blocks of words; ``spans``:
+    where their edit can be. Blocks are those of the smaller count of words, so each line takes its own count and one less."""
+    words, n = F.col("words"), F.size("words")
+    blocks = []
     for m in (n, n - 1):
-        half = F.floor(m / 2).cast("int")
-        keys += [F.xxhash64(F.lit("first"), half, F.array_join(F.slice(words, F.lit(1), half), " ")),
-                 F.xxhash64(F.lit("last"), half, F.array_join(F.slice(words, n - half + 1, half), " "))]
-    return F.array_distinct(F.array(*keys))
-
-
-def near_lines(distinct: DataFrame) -> DataFrame:
-    """Of distinct lines (_h1, _h2, line, first: struct(_doc, _no)): the _h1, _h2 with an earlier line one word away."""
-    lines = distinct.withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words")).where(
-        F.col("n") >= NEAR_WORDS)
-    halves = lines.select("_h1", "_h2", F.explode(_half_keys(F.col("words"), F.col("n"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    candidates = halves.join(shared, "half", "left_semi").select("_h1", "_h2").distinct()
-    picked = lines.join(candidates, ["_h1", "_h2"], "left_semi")
-    each = picked.select("_h1", "_h2", "first", "n", F.posexplode("words").alias("i", "w"))
-    each = each.select("_h1", "_h2", "first", "n", "i", F.xxhash64("w", "i").alias("here"),
+        for g in range(BLOCKS):
+            low, high = F.floor(m * g / BLOCKS).cast("int"), (m - F.floor(m * (g + 1) / BLOCKS)).cast("int")
+            blocks.append(F.struct(
+                F.xxhash64(F.lit(g), m, F.array_join(F.slice(words, F.lit(1), low), " "),
+                           F.array_join(F.slice(words, n - high + 1, high), " ")).alias("key"),
+                low.alias("low"), (n - high).alias("end")))
+    rows = lines.select("first", F.explode(F.array(*blocks)).alias("x")).select("first", "x.*")
+    return _shared(rows, "key").groupBy("first").agg(F.collect_set(F.struct("low", "end")).alias("spans"))
+
+
+def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``first`` of the different lines that have an earlier line one word away. ``docs``: _id, _hash, text."""
+    wanted = _candidates(distinct).groupBy(F.col("first._doc._id").alias("_id"), F.col("first._doc._hash").alias("_hash")).agg(
+        F.collect_list(F.struct("first", F.col("first._no").alias("no"))).alias("wanted"))  # lines of one document
+    lines = docs.join(wanted, ["_id", "_hash"]).select(
+        F.split("text", "\n").alias("all"), F.explode("wanted").alias("x")).select(
+        F.col("x.first").alias("first"), words_of(F.get("all", "x.no")).alias("words"))
+    lines = lines.repartition("first")  # dealt once for all that follows
+    near = lines.join(_spans(lines), "first")
+    each = near.select("first", "spans", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
+    each = each.select("first", "spans", "n", "i", F.xxhash64("w", "i").alias("here"),
                        F.xxhash64("w", F.col("i") - 1).alias("left"))
-    by = Window.partitionBy("_h1", "_h2").orderBy("i")
-    before = F.bit_xor("here").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.bit_xor("left").over(by.rowsBetween(1, Window.unboundedFollowing))
-    whole = F.bit_xor("here").over(Window.partitionBy("_h1", "_h2"))
+    line = Window.partitionBy("first")
+    before = F.bit_xor("here").over(line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.bit_xor("left").over(line.orderBy("i").rowsBetween(1, Window.unboundedFollowing))
     zero = F.lit(0).cast("long")
-    variants = each.select("_h1", "_h2", "first", "n", "i", "here", F.coalesce(before, zero).alias("before"),
-                           F.coalesce(after, zero).alias("after"), whole.alias("whole"))
-    # kind 0: one place masked; kind 1: one word taken out, or the whole line when i is -1
-    keyed = variants.select("_h1", "_h2", "first", "n", "i", F.explode(F.array_compact(F.array(
-        F.struct(F.lit(0).alias("kind"), F.xxhash64(F.col("whole").bitwiseXOR(F.col("here")), "n", "i").alias("key")),
-        F.struct(F.lit(1).alias("kind"), F.xxhash64(F.col("before").bitwiseXOR(F.col("after")), F.col("n") - 1).alias("key")),
-        F.when(F.col("i") == 0, F.struct(F.lit(2).alias("kind"), F.xxhash64("whole", "n").alias("key")))))).alias("v"))
-    keyed = keyed.select("_h1", "_h2", "first", F.col("v.kind").alias("kind"), F.col("v.key").alias("key"))
-    # Kinds 1 (word taken out) and 2 (whole line) meet each other; kind 0 meets its own.
-    other = keyed.select(F.when(F.col("kind") == 0, 0).otherwise(3 - F.col("kind")).alias("kind"), "key", "first")
-    least = other.groupBy("kind", "key").agg(F.min("first").alias("earliest"))
-    hits = keyed.join(least, ["kind", "key"]).where("earliest < first").groupBy("_h1", "_h2", "first").agg(
-        F.collect_set("earliest").alias("against"))
-    return _verified(hits, lines)
-
-
-def _verified(hits: DataFrame, lines: DataFrame) -> DataFrame:
-    """The hits of which one earlier line really is one word away."""
-    pairs = hits.select("_h1", "_h2", F.explode("against").alias("first"))
-    mine = pairs.join(lines.select("_h1", "_h2", F.col("words").alias("a")), ["_h1", "_h2"])
-    both = mine.join(lines.select("first", F.col("words").alias("b")), "first")
-    return both.where(one_edit(F.col("a"), F.col("b"))).select("_h1", "_h2").distinct()
+    variants = each.select("first", "spans", "n", "i", "here", F.coalesce(before, zero).alias("before"),
+                           F.coalesce(after, zero).alias("after"), F.bit_xor("here").over(line).alias("whole"))
+    inside = F.exists("spans", lambda x: (F.col("i") >= x["low"]) & (F.col("i") < x["end"]))
+    # kind 0: one place masked; kind 1: one word taken out; kind 2: the whole line, which meets kind 1
+    keyed = variants.select("first", F.explode(F.array(
+        F.when(inside, F.struct(F.lit(0).alias("kind"), F.xxhash64(
+            F.col("whole").bitwiseXOR(F.col("here")), "n", "i").alias("key"))),
+        F.when(inside, F.struct(F.lit(1).alias("kind"), F.xxhash64(
+            F.col("before").bitwiseXOR(F.col("after")), F.col("n") - 1).alias("key"))),
+        F.when(F.col("i") == 0, F.struct(F.lit(2).alias("kind"), F.xxhash64("whole", "n").alias("key"))))).alias("v"))
+    keyed = keyed.where("v IS NOT NULL").select("first", F.col("v.kind").alias("kind"), F.col("v.key").alias("key"))
+    least = keyed.groupBy("kind", "key").agg(F.min("first").alias("earliest"))
+    least = least.select(F.when(F.col("kind") == 0, 0).otherwise(3 - F.col("kind")).alias("kind"), "key", "earliest")
+    hits = keyed.join(least, ["kind", "key"]).where("earliest < first").groupBy("first").agg(
+        F.collect_set("earliest").alias("against"))  # at most two for each word of the line
+    pairs = hits.select("first", F.explode("against").alias("other"))
+    both = pairs.join(lines.select("first", F.col("words").alias("a")), "first").join(
+        lines.select(F.col("first").alias("other"), F.col("words").alias("b")), "other")
+    return both.where(one_edit(F.col("a"), F.col("b"))).select("first").distinct()
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -110,30 +160,35 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Lines without a word stay. A null text stays null and has no lines. Rows of null doc_id sort first. Rows of one doc_id
     and different texts are different documents, in order of a hash; rows equal in both are one document.
     """
+    keyed = docs.select(*_document(), *(c for c in docs.columns if c != "doc_id"))
     lines = _lines(docs)
-    distinct = lines.groupBy("_h1", "_h2").agg(_earliest().alias("first"), F.count("*").alias("copies"),
-                                               F.first("line").alias("line"))
-    near = near_lines(distinct.select("_h1", "_h2", "first", "line")).select("_h1", "_h2", F.lit(True).alias("near"))
-    judged = distinct.select("_h1", "_h2", "first", "copies").join(near, ["_h1", "_h2"], "left").where("near OR copies > 1")
+    distinct = _distinct(lines)
+    near = near_lines(keyed.select("_id", "_hash", "text"), distinct).select("first", F.lit(True).alias("near"))
+    judged = distinct.select("_h1", "_h2", "first", "copies").join(near, "first", "left").where("near OR copies > 1")
+    # Joined by a key of their own, so that both sides are dealt anew and a common line can be split.
+    own = F.col("_h1").bitwiseXOR(F.lit(1)).alias("_k1"), F.col("_h2").alias("_k2")
     later = F.struct("_doc", "_no") > F.col("first")
-    gone = lines.select("_doc", "_no", "_h1", "_h2").join(judged, ["_h1", "_h2"]).where(F.col("near") | later)
+    gone = lines.select("_doc", "_no", *own).join(judged.select("first", "near", *own), ["_k1", "_k2"]).where(
+        F.col("near") | later)
     gone = gone.groupBy("_doc").agg(F.collect_set(F.when(later, F.col("_no"))).alias("_exact"),
                                     F.collect_set(F.when(~later, F.col("_no"))).alias("_near"))
     split = F.split("text", "\n")
     none = F.array().cast("array<int>")
     kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("_exact", i) & ~F.array_contains("_near", i)), "\n")
-    keyed = docs.withColumn("_id", _document())
-    joined = keyed.join(gone, keyed["_id"] == gone["_doc"], "left").withColumns({
+    gone = gone.select("_doc._id", "_doc._hash", "_exact", "_near")
+    # The id comes back from the key: texts are dealt once, for this join and that of near_lines.
+    joined = keyed.join(gone, ["_id", "_hash"], "left").withColumns({
+        "doc_id": F.nullif(F.col("_id"), F.lit(NO_ID)).cast(docs.schema["doc_id"].dataType),
         "_exact": F.coalesce("_exact", none), "_near": F.coalesce("_near", none)})
     return joined.withColumns({
         "_n_lines": F.coalesce(F.size(F.filter(split, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long"),
         "_n_exact": F.size("_exact").cast("long"), "_n_near": F.size("_near").cast("long"),
         "text": F.when(F.size("_exact") + F.size("_near") == 0, F.col("text")).otherwise(kept),
-    }).drop("_doc", "_id", "_exact", "_near")
+    }).select(*docs.columns, "_n_lines", "_n_exact", "_n_near")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines (with a word), n_exact, n_near (removed), kept_md5 of the text that is left (null: empty)."""
+    """For each row doc_id, n_lines (with a word), n_exact, n_near (removed), kept_md5 of the text that is left (null: empty)."""
     out = line_dedup(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_exact").alias("n_exact"),
                       F.col("_n_near").alias("n_near"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
