@@ -117,13 +117,17 @@ def components(edges: DataFrame) -> DataFrame:
             return tied.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return tied.select(F.col("v").alias("a"), F.col("m").alias("b")).union(tied.select("u", "m"))
 
-    now, last = _written(edges.select("a", "b").where("a <> b").distinct(), "edges"), None
+    def state(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+    now = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    last = state(now)   # stars to begin with are done after one round
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        wide = stars(both, True).where("a <> b").distinct()
+        wide = stars(both, True).where("a <> b")
         down = wide.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         now = _written(stars(down, False).where("a <> b").distinct(), "edges")
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        seen = state(now)
         if seen == last:
             break
         last = seen
