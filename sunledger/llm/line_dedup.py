@@ -45,9 +45,9 @@ def _half(m: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row for each line with a word: _doc, _no, line hashes _h1 and _h2, _n words; from ``NEAR_WORDS`` words on hashes of
+    """One row for each line with a word: _id, _hash, _no, line hashes _h1 and _h2, _n words; from ``NEAR_WORDS`` words on hashes of
     the first and last half, for this count of words (f1, l1; null if the same) and for one word less (f0, l0)."""
-    lines = docs.select(F.struct(*_document()).alias("_doc"), F.posexplode(F.split("text", "\n")).alias("_no", "line"))
+    lines = docs.select(*_document(), F.posexplode(F.split("text", "\n")).alias("_no", "line"))
     lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("words", words_of(F.col("line"))).withColumn(
         "_n", F.size("words"))
     n, words = F.col("_n"), F.col("words")
@@ -60,7 +60,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     near, more = n >= NEAR_WORDS, (n >= NEAR_WORDS) & (_half(n) != _half(n - 1))
     return lines.select(
-        "_doc", "_no", F.xxhash64("line").alias("_h1"), F.xxhash64("line", F.lit(7)).alias("_h2"), "_n",
+        "_id", "_hash", "_no", F.xxhash64("line").alias("_h1"), F.xxhash64("line", F.lit(7)).alias("_h2"), "_n",
         F.when(near, first(_half(n - 1))).alias("f0"), F.when(near, last(_half(n - 1))).alias("l0"),
         F.when(more, first(_half(n))).alias("f1"), F.when(more, last(_half(n))).alias("l1"))
 
@@ -69,7 +69,7 @@ def _distinct(lines: DataFrame) -> DataFrame:
     """Different lines, with their earliest place ``first`` and number of ``copies``; written once below spark.checkpoint.dir."""
     at = work_dir(lines.sparkSession, "lines")
     lines.groupBy("_h1", "_h2", "_n", "f0", "l0", "f1", "l1").agg(
-        F.min(F.struct("_doc", "_no")).alias("first"), F.count("*").alias("copies")).write.parquet(at)
+        F.min(F.struct("_id", "_hash", "_no")).alias("first"), F.count("*").alias("copies")).write.parquet(at)
     return lines.sparkSession.read.parquet(at)
 
 
@@ -107,12 +107,13 @@ def _spans(lines: DataFrame) -> DataFrame:
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """``first`` of the different lines that have an earlier line one word away. ``docs``: _id, _hash, text."""
-    wanted = _candidates(distinct).groupBy(F.col("first._doc._id").alias("_id"), F.col("first._doc._hash").alias("_hash")).agg(
+    wanted = _candidates(distinct).groupBy(F.col("first._id").alias("_id"), F.col("first._hash").alias("_hash")).agg(
         F.collect_list(F.struct("first", F.col("first._no").alias("no"))).alias("wanted"))  # lines of one document
     lines = docs.join(wanted, ["_id", "_hash"]).select(
         F.split("text", "\n").alias("all"), F.explode("wanted").alias("x")).select(
         F.col("x.first").alias("first"), words_of(F.get("all", "x.no")).alias("words"))
-    lines = lines.repartition("first")  # dealt once for all that follows
+    # Dealt once for all that follows; the conditions are those that joins add, so that every use has the same plan.
+    lines = lines.where("first IS NOT NULL AND words IS NOT NULL").repartition("first")
     near = lines.join(_spans(lines), "first")
     each = near.select("first", "spans", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
     each = each.select("first", "spans", "n", "i", F.xxhash64("w", "i").alias("here"),
@@ -167,15 +168,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     judged = distinct.select("_h1", "_h2", "first", "copies").join(near, "first", "left").where("near OR copies > 1")
     # Joined by a key of their own, so that both sides are dealt anew and a common line can be split.
     own = F.col("_h1").bitwiseXOR(F.lit(1)).alias("_k1"), F.col("_h2").alias("_k2")
-    later = F.struct("_doc", "_no") > F.col("first")
-    gone = lines.select("_doc", "_no", *own).join(judged.select("first", "near", *own), ["_k1", "_k2"]).where(
+    later = F.struct("_id", "_hash", "_no") > F.col("first")
+    gone = lines.select("_id", "_hash", "_no", *own).join(judged.select("first", "near", *own), ["_k1", "_k2"]).where(
         F.col("near") | later)
-    gone = gone.groupBy("_doc").agg(F.collect_set(F.when(later, F.col("_no"))).alias("_exact"),
+    gone = gone.groupBy("_id", "_hash").agg(F.collect_set(F.when(later, F.col("_no"))).alias("_exact"),
                                     F.collect_set(F.when(~later, F.col("_no"))).alias("_near"))
     split = F.split("text", "\n")
     none = F.array().cast("array<int>")
     kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("_exact", i) & ~F.array_contains("_near", i)), "\n")
-    gone = gone.select("_doc._id", "_doc._hash", "_exact", "_near")
     # The id comes back from the key: texts are dealt once, for this join and that of near_lines.
     joined = keyed.join(gone, ["_id", "_hash"], "left").withColumns({
         "doc_id": F.nullif(F.col("_id"), F.lit(NO_ID)).cast(docs.schema["doc_id"].dataType),
