@@ -7,7 +7,7 @@ each other when the suffixes that start with them are sorted. Sorting all suffix
    starts whose minimizer is in one document only cannot repeat. Blocks and buckets (see ``blocks``) find those out.
 2. What is left is cut into segments, runs of starts with one minimizer, and dealt by minimizer hash; a segment that repeats in a
    block is sent once. A suffix bucket thus holds whole groups of equal strings, however the groups are spread over documents.
-3. A task sorts its segments' suffixes, one range of first bytes at a time: by their first 32 bytes, and longer ties by the ranks
+3. A task sorts its segments' suffixes, part by part and one range of first bytes at a time: by their first 32 bytes, and longer ties by the ranks
    of a difference-cover sample: for any two suffixes some offset below 31 puts both on sampled places, whose precomputed ranks
    decide. So memory is bounded by the bucket and long ties cost no more than short ones.
 4. The neighbours in that order give each string its smallest document, and each block gets one bit a start in return.
@@ -28,7 +28,11 @@ GRAM = 16           # bytes of a minimizer window
 LONGEST_RUN = 64    # starts in a segment
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)   # every difference modulo 31 is one of two members of the cover
 DEPTH = 8           # 8-byte words that rank the sample
-RANGE = 1 << 19     # suffixes that are sorted together
+RANGE = 1 << 18     # suffixes that are sorted together
+CHUNK = 1 << 19     # starts whose minimizers are computed together
+BLOCK_BYTES = 2 << 20
+BLOCKS_A_BUCKET = 4
+FINE = 32           # parts of a bucket, sorted one after another
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -92,7 +96,7 @@ def sort_by_words(words: np.ndarray, places: np.ndarray, depth: int) -> Order:
 def cover_ranks(words: np.ndarray) -> np.ndarray:
     """Rank of every sampled place among the sample, -1 elsewhere; places equal in ``DEPTH`` words have one rank."""
     places = np.flatnonzero(np.isin(np.arange(len(words)) % PERIOD, COVER))
-    ranks = np.full(len(words) + PERIOD, -1, np.int64)
+    ranks = np.full(len(words) + PERIOD, -1, np.int32)
     if len(places):
         order = sort_by_words(words, places, DEPTH)
         ranks[order.places] = order.group
@@ -168,25 +172,38 @@ class Block:
             self.begin = self.stop = self.doc = np.empty(0, np.int64)
             self.key = np.empty(0, np.uint64)
             return
-        words = words_at(self.text)
-        gram = words[:n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
+        parts = [self._runs(c, min(c + CHUNK, n)) for c in range(0, n, CHUNK)]
+        self.begin, self.stop, self.key = (np.concatenate(x) for x in zip(*parts))
+        self.doc = np.searchsorted(self.end, self.begin, "right")
+
+    def _runs(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, stop, minimizer) of the runs of starts from ``low`` to ``high``; runs stay in their document."""
+        text = self.text[low:high + self.length - 1]
+        starts = len(text) - self.length + 1
+        if starts <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        words = words_at(text)
+        grams = len(text) - GRAM + 1
+        gram = words[:grams] * np.uint64(0x9E3779B97F4A7C15)
         gram ^= gram >> np.uint64(29)
-        gram += words[8:n - GRAM + 9] * np.uint64(0xD6E8FEB86659FD93)
+        gram += words[8:grams + 8] * np.uint64(0xD6E8FEB86659FD93)
         gram ^= gram >> np.uint64(32)
         gram *= np.uint64(0xD6E8FEB86659FD93)
         gram ^= gram >> np.uint64(29)
-        window, have = length - GRAM + 1, 1
+        window, have = self.length - GRAM + 1, 1
         while have < window:
             step = min(have, window - have)
             gram = np.minimum(gram[:-step], gram[step:])
             have += step
-        valid = np.zeros(n + 1, np.int8)     # starts that fit in their document
-        fits = self.size >= length
-        np.add.at(valid, (self.end - self.size)[fits], 1)
-        np.add.at(valid, (self.end - length + 1)[fits], -1)
-        valid = np.cumsum(valid, dtype=np.int8)[:len(gram)].astype(bool)
-        new = np.r_[True, (gram[1:] != gram[:-1]) | ~valid[:-1]] & valid
-        new[np.append(0, self.end)[:-1][fits]] = True       # a run stays in its document
+        valid = np.ones(starts, bool)       # starts that fit in their document
+        new = np.r_[True, gram[1:] != gram[:-1]]
+        ends = self.end[(self.end > low) & (self.end - self.length + 1 < high)] - low
+        for end in ends.tolist():
+            valid[max(0, end - self.length + 1):end] = False
+            if end < starts:
+                new[end] = True
+        new[1:] |= ~valid[:-1]
+        new &= valid
         begin = np.flatnonzero(new)
         stop = np.flatnonzero(valid & np.r_[new[1:] | ~valid[1:], True]) + 1
         pieces = (stop - begin + LONGEST_RUN - 1) // LONGEST_RUN
@@ -195,8 +212,10 @@ class Block:
             nth = np.arange(len(first)) - first
             begin, stop = np.repeat(begin, pieces) + LONGEST_RUN * nth, np.repeat(stop, pieces)
             stop = np.minimum(stop, begin + LONGEST_RUN)
-        self.begin, self.stop, self.key = begin, stop, gram[begin]
-        self.doc = np.searchsorted(self.end, begin, "right")
+        # Minimizers are small hashes: mixed again, they spread over the buckets.
+        key = gram[begin] * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+        return begin + low, stop + low, key * np.uint64(0xD6E8FEB86659FD93)
 
     def repeated_here(self) -> np.ndarray:
         """Sorted minimizers that documents of different ids in this block have."""
@@ -223,10 +242,44 @@ def _ids(frame: pd.DataFrame) -> np.ndarray:
     return np.array([NO_ID if pd.isna(x) else int(x) for x in frame["doc_id"]], np.int64)
 
 
+def _in_order(frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows in one order, whatever order the shuffle brings: segments are numbered and cut along it each time."""
+    return frame.sort_values(["doc_id", "text"], kind="stable", ignore_index=True)
+
+
 def _block(frame: pd.DataFrame, length: int) -> Block:
     return Block(_ids(frame), [t.encode("utf-8") if isinstance(t, str) else b"" for t in frame["text"]], length)
 
 
+def _earlier(sent: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
+    """For each block's (sizes, smallest ids, bytes) of its segments, whether each start is also in a document of smaller id."""
+    size, least, text = (np.concatenate([s[k] for s in sent]) for k in (0, 1, 2))
+    if not len(size):
+        return [np.empty(0, bool) for _ in sent]
+    # Segments that blocks have in common are sorted once, for the smallest of their ids.
+    end = np.cumsum(size)
+    data, number = text.tobytes(), {}
+    which = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(
+        (end - size).tolist(), end.tolist())), np.int64, len(size))
+    once = np.unique(which, return_index=True)[1]
+    smallest = np.full(len(once), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, which, least)
+    own = np.frombuffer(b"".join(number), np.uint8)
+    starts_of = size[once] - length + 1
+    first = np.cumsum(starts_of) - starts_of
+    begin = np.cumsum(size[once]) - size[once]
+    starts = np.repeat(begin - first, starts_of) + np.arange(starts_of.sum())
+    found = smallest_elsewhere(own, starts, np.repeat(smallest, starts_of), length)
+    out, at = [], 0
+    for sizes, ids, _ in sent:
+        mine = which[at:at + len(sizes)]
+        at += len(sizes)
+        lengths = starts_of[mine]
+        of = np.repeat(first[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        out.append(found[of] < np.repeat(ids, lengths))
+    return out
+
+
 _SENT = "bucket int, block int, payload binary"
 _REPLY = "block int, kind int, bucket int, payload binary"
 
@@ -235,7 +288,8 @@ def _remove(docs: DataFrame, length: int, finish, schema: T.StructType) -> DataF
     """Run ``finish(frame, bytes of each row, covered, bounds)`` on every block of ``docs``; see ``repeated_bytes``."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
-    in_blocks, n = B.in_blocks(docs)
+    in_blocks, blocks = B.in_blocks(docs, BLOCK_BYTES)
+    n = -(-blocks // BLOCKS_A_BUCKET)
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
         keys = np.unique(_block(frame, length).key)
@@ -262,44 +316,38 @@ def _remove(docs: DataFrame, length: int, finish, schema: T.StructType) -> DataF
         columns = ["bucket", "block", "payload"]
         if frame.empty:
             return B.rows(columns, [])
+        frame = _in_order(frame)
         block, number = repeated(frame, replies), int(frame["_block"].iloc[0])
-        bucket, bound = B.bucket_bounds(block.key[block.at], n)
+        fine = B.bucket_of(block.key[block.at], FINE * n)
         begin, end = block.begin[block.at], block.stop[block.at] + length - 1
-        return B.rows(columns, [(b, number, B.packed(
-            end[x:y] - begin[x:y], block.least[x:y],
-            np.frombuffer(b"".join(block.data[s:e] for s, e in zip(begin[x:y].tolist(), end[x:y].tolist())), np.uint8)))
-            for b, x, y in zip(bucket, bound[:-1], bound[1:])])
+        bounds = np.searchsorted(fine, np.arange(FINE * n + 1))
+        out = []
+        for b in np.unique(fine // FINE).tolist():
+            cut = bounds[FINE * b:FINE * b + FINE + 1]
+            x, y = cut[0], cut[-1]
+            out.append((b, number, B.packed(
+                np.diff(cut), end[x:y] - begin[x:y], block.least[x:y],
+                np.frombuffer(b"".join(block.data[s:e] for s, e in zip(begin[x:y].tolist(), end[x:y].tolist())), np.uint8))))
+        return B.rows(columns, out)
 
     def sort(frame: pd.DataFrame) -> pd.DataFrame:
         sent = [B.unpacked(p) for p in frame["payload"]]
-        size, least = (np.concatenate([s[k] for s in sent]) for k in (0, 1))
-        # Segments that blocks have in common are sorted once, for the smallest of their ids.
-        text = np.concatenate([s[2] for s in sent])
-        end = np.cumsum(size)
-        data, number = text.tobytes(), {}
-        which = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(
-            (end - size).tolist(), end.tolist())), np.int64, len(size))
-        once = np.unique(which, return_index=True)[1]
-        smallest = np.full(len(once), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, which, least)
-        own = np.frombuffer(b"".join(number), np.uint8)
-        starts_of = size[once] - length + 1
-        first = np.cumsum(starts_of) - starts_of
-        begin = np.cumsum(size[once]) - size[once]
-        starts = np.repeat(begin - first, starts_of) + np.arange(starts_of.sum())
-        found = smallest_elsewhere(own, starts, np.repeat(smallest, starts_of), length)
-        out, at = [], 0
-        for block, bucket, s in zip(frame["block"], frame["bucket"], sent):
-            mine = which[at:at + len(s[0])]
-            at += len(s[0])
-            lengths = starts_of[mine]
-            of = np.repeat(first[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            out.append((block, 1, bucket, B.packed(np.packbits(found[of] < np.repeat(s[1], lengths)))))
-        return B.rows(["block", "kind", "bucket", "payload"], out)
+        cuts = [np.r_[0, np.cumsum(s[0])] for s in sent]
+        bytes_at = [np.r_[0, np.cumsum(s[1])] for s in sent]
+        bits: list[list[np.ndarray]] = [[] for _ in sent]
+        for f in range(FINE):   # whole groups of equal minimizers, so of equal strings
+            part = [(s[1][c[f]:c[f + 1]], s[2][c[f]:c[f + 1]], s[3][t[c[f]]:t[c[f + 1]]])
+                    for s, c, t in zip(sent, cuts, bytes_at)]
+            for mine, found in zip(bits, _earlier(part, length)):
+                mine.append(found)
+        return B.rows(["block", "kind", "bucket", "payload"], [
+            (block, 1, bucket, B.packed(np.packbits(np.concatenate(mine))))
+            for block, bucket, mine in zip(frame["block"], frame["bucket"], bits)])
 
     def apply(frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if frame.empty:
             return pd.DataFrame(columns=schema.names)
+        frame = _in_order(frame)
         block = repeated(frame, replies)
         starts_of = (block.stop - block.begin)[block.at]
         bucket, bound = B.bucket_bounds(block.key[block.at], n)
@@ -310,14 +358,15 @@ def _remove(docs: DataFrame, length: int, finish, schema: T.StructType) -> DataF
             bits = np.unpackbits(B.unpacked(told[b])[0])
             earlier[first[x]:first[y]] = bits[:first[y] - first[x]]
         lengths = starts_of[block.segment]
-        offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        gone = earlier[np.repeat(first[:-1][block.segment], lengths) + offset]
+        small = lambda a: np.repeat(a.astype(np.int32), lengths)  # noqa: E731  places in a block
+        offset = np.arange(lengths.sum(), dtype=np.int32) - small(np.cumsum(lengths) - lengths)
+        gone = earlier[small(first[:-1][block.segment]) + offset]
         gone |= np.repeat(block.ids[block.doc[block.run]] > block.least[block.segment], lengths)
-        starts = (np.repeat(block.begin[block.run], lengths) + offset)[gone]
-        change = np.zeros(len(block.text) + length + 1, np.int32)
+        starts = (small(block.begin[block.run]) + offset)[gone]
+        change = np.zeros(len(block.text) + length + 1, np.int8)
         change[starts] += 1
         change[starts + length] -= 1     # starts are distinct
-        covered = np.cumsum(change)[:len(block.text)] > 0
+        covered = np.cumsum(change, dtype=np.int32)[:len(block.text)] > 0
         return finish(frame, block, covered)
 
     own = in_blocks.groupBy("_block")
