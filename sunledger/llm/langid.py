@@ -10,6 +10,7 @@ of the smallest hash of their id. Scoring is one narrow pass over all rows; work
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,32 +38,39 @@ class Pieces:
         sp.LoadFromSerializedProto(model)
         self.pieces = [p for i in range(len(sp)) if not (sp.IsControl(i) or sp.IsByte(i) or sp.IsUnknown(i))
                        and "▁" not in (p := sp.IdToPiece(i))[1:]]
-        self.index = {p: i for i, p in enumerate(self.pieces)}
-        self._starts = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
-
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(start, end, piece) of every piece in ``▁word``; piece -1 for a character that no piece holds alone."""
-        text, out = "▁" + word, []
-        for i in range(len(text)):
+        # Rows of the model: 0 is an unknown character, pieces count from 1. Beginnings of pieces that are none stand at 0.
+        self.row = {p[:i]: 0 for p in self.pieces for i in range(1, len(p))} | {p: i for i, p in enumerate(self.pieces, 1)}
+
+    def edges(self, word: str, shift: int = 6, number: int = 0) -> list[int]:
+        """Every piece in ``▁word``, and characters that no piece holds alone, as whole numbers: (end, start) of ``shift`` bits,
+        then ``number`` of 24 bits, then the row of 16."""
+        text, get, out = "▁" + word, self.row.get, []
+        tail, n = number << 16, len(text)
+        for i in range(n):
             alone = False
-            for j in range(i + 1, len(text) + 1):
-                part = text[i:j]
-                if part not in self._starts:
+            for j in range(i + 1, n + 1):
+                row = get(text[i:j])
+                if row is None:
                     break
-                if (piece := self.index.get(part, -1)) >= 0:
-                    out.append((i, j, piece))
-                    alone |= j == i + 1
+                if row:
+                    out.append((j << shift | i) << 40 | tail | row)
+                    alone = alone or j == i + 1
             if not alone:
-                out.append((i, i + 1, -1))
+                out.append((i + 1 << shift | i) << 40 | tail)
         return out
 
+    def steps(self, word: str) -> list[tuple[int, int, int]]:
+        """(start, end, row) of each edge, for words of any length."""
+        shift = (len(word) + 1).bit_length()
+        return [(e >> 40 & (1 << shift) - 1, e >> 40 + shift, e & 0xFFFF) for e in self.edges(word, shift)]
+
 
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
 def forward(edges: list[tuple[int, int, int]], n: int, p: np.ndarray) -> np.ndarray:
-    """Log-probability of a word of ``n`` characters in each language; ``p``: (pieces + 1, languages), the last is unknown."""
+    """Log-probability of a word of ``n`` characters in each language; ``p``: (1 + pieces, languages)."""
     alpha, log = np.zeros((n + 1, p.shape[1])), np.zeros(p.shape[1])
     alpha[0] = 1
     ends: list[list] = [[] for _ in range(n + 1)]
@@ -88,7 +96,7 @@ def expected_counts(edges: list[tuple[int, int, int]], n: int, p: np.ndarray) ->
         b[i] += b[j] * p[piece]
     out: dict[int, float] = {}
     for i, j, piece in edges:
-        if piece >= 0:
+        if piece:
             out[piece] = out.get(piece, 0.0) + a[i] * p[piece] * b[j] / a[n]
     return out
 
@@ -96,7 +104,7 @@ def expected_counts(edges: list[tuple[int, int, int]], n: int, p: np.ndarray) ->
 @dataclass
 class Model:
     languages: list[str]
-    p: np.ndarray           # (pieces + 1, languages); the last row is unknown
+    p: np.ndarray           # (1 + pieces, languages); row 0 is an unknown character
 
 
 def crc_part(parts: int) -> Column:
@@ -109,9 +117,12 @@ def train(spark: SparkSession, labelled: DataFrame, vocabulary: str, rows_per_la
 
     Its size is bounded: the vocabulary times the number of languages.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    sample = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang").withColumn(
-        "_row", F.row_number().over(order)).where(F.col("_row") <= rows_per_language)
+    place = F.xxhash64("doc_id", "text")
+    sample = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select(
+        "doc_id", "text", "lang", place.alias("_place"), F.pmod(place, F.lit(64)).alias("_part"))
+    for by in (["lang", "_part"], ["lang"]):    # parts first: a language can have most of the rows
+        order = Window.partitionBy(*by).orderBy("_place", "doc_id")
+        sample = sample.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= rows_per_language)
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy(
         "lang", "word").count().where(F.length("word") < SCALED).cache()
     try:
@@ -119,7 +130,7 @@ def train(spark: SparkSession, labelled: DataFrame, vocabulary: str, rows_per_la
         file = FileOnWorkers(spark, vocabulary)
         size = len(file.parsed(Pieces).pieces)
         start = 1 / (np.arange(size) + 100.0)       # pieces stand in order of frequency
-        p = np.tile(np.append(start / start.sum(), UNKNOWN)[:, None], (1, max(1, len(languages))))
+        p = np.tile(np.insert(start / start.sum(), 0, UNKNOWN)[:, None], (1, max(1, len(languages))))
         for _ in range(rounds if languages else 0):
             held = spark.sparkContext.broadcast(p)
 
@@ -129,7 +140,7 @@ def train(spark: SparkSession, labelled: DataFrame, vocabulary: str, rows_per_la
                 columns = {lang: held.value[:, i].tolist() for i, lang in enumerate(languages)}
                 for frame in frames:
                     for lang, word, count in zip(frame["lang"], frame["word"], frame["count"], strict=True):
-                        for piece, x in expected_counts(pieces.edges(word), len(word) + 1, columns[lang]).items():
+                        for piece, x in expected_counts(pieces.steps(word), len(word) + 1, columns[lang]).items():
                             total[lang, piece] = total.get((lang, piece), 0.0) + count * x
                 yield pd.DataFrame([(a, b, x) for (a, b), x in total.items()], columns=["lang", "piece", "n"])
 
@@ -137,8 +148,8 @@ def train(spark: SparkSession, labelled: DataFrame, vocabulary: str, rows_per_la
                 F.sum("n").alias("n")).collect()
             n = np.full((size, len(languages)), smoothing)
             for r in counts:
-                n[r["piece"], languages.index(r["lang"])] += r["n"]
-            p = np.vstack([n / n.sum(axis=0), np.full((1, len(languages)), UNKNOWN)])
+                n[r["piece"] - 1, languages.index(r["lang"])] += r["n"]
+            p = np.vstack([np.full((1, len(languages)), UNKNOWN), n / n.sum(axis=0)])
         return Model(languages, p)
     finally:
         words.unpersist()
@@ -157,16 +168,16 @@ class Scorer:
         out = np.empty((len(words), self.p.shape[1]))
         short = [x for x, w in enumerate(words) if len(w) < SCALED]
         for x in set(range(len(words))) - set(short):
-            out[x] = forward(self.pieces.edges(words[x]), len(words[x]) + 1, self.p)
-        steps: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for y, x in enumerate(short):
-            for i, j, piece in self.pieces.edges(words[x]):
-                steps.setdefault((j, i), []).append((y, piece))
+            out[x] = forward(self.pieces.steps(words[x]), len(words[x]) + 1, self.p)
+        edges = np.sort(np.fromiter(itertools.chain.from_iterable(
+            self.pieces.edges(words[x], 6, y) for y, x in enumerate(short)), np.int64))
+        where, word, row = edges >> 40, edges >> 16 & 0xFFFFFF, edges & 0xFFFF
         alpha = np.zeros((SCALED + 1, len(short), self.p.shape[1]))
         alpha[0] = 1
-        for (j, i), edges in sorted(steps.items()):
-            y, piece = np.array(edges).T        # a word has one piece from i to j
-            alpha[j, y] += alpha[i, y] * self.p[piece]
+        bounds = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True]) if len(edges) else np.zeros(1, int)
+        for a, b in zip(bounds[:-1], bounds[1:]):   # by end, so that a start is complete; a word has one piece from i to j
+            i, j, y = where[a] & 63, where[a] >> 6, word[a:b]
+            alpha[j, y] += alpha[i, y] * self.p[row[a:b]]
         ends = np.fromiter((len(words[x]) + 1 for x in short), np.int64, len(short))
         out[short] = np.log(alpha[ends, np.arange(len(short))])
         return out
