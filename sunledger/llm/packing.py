@@ -122,7 +122,8 @@ class WordIds:
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = text.split(" ")
-        new = list(set(words) - self._words.keys())
+        # Not a set difference: that would walk through the whole cache for every text.
+        new = [w for w in set(words) if w not in self._words]
         if new:
             if len(self._words) + len(new) > CACHED:
                 self._words.clear()
