@@ -161,9 +161,9 @@ class ByteBpe:
 
     def prepare(self, texts: list[str]) -> None:
         """Fill the caches with what ``encode`` will ask for."""
-        words = {w for t in texts for w in t.split(" ")} - self._words.keys()
+        words = {w for t in texts for w in t.split(" ") if w not in self._words}
         split = {w: self._find(" " + w) for w in words if w}
-        new = [p for p in {p for ps in split.values() for p in ps} - self._pieces.keys() if len(p) * 4 <= SIDE_BY_SIDE]
+        new = [p for p in {p for ps in split.values() for p in ps} if p not in self._pieces and len(p) * 4 <= SIDE_BY_SIDE]
         for cache, more in ((self._words, split), (self._pieces, new)):
             if len(cache) + len(more) > 2 * CACHED:
                 cache.clear()

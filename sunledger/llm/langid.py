@@ -183,7 +183,7 @@ class Scorer:
         return out
 
     def add(self, texts: list[list[str]]) -> None:
-        new = list({w for t in texts for w in t} - self.row.keys())
+        new = list({w for t in texts for w in t if w not in self.row})
         if len(self.row) + len(new) > CACHED:
             self.row.clear()
             self.log = self.log[:0]
