@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .vocab import FileOnWorkers
 
 UNKNOWN = 1e-7       # probability of a character that no piece holds
-SCALED = 40          # longer words are rescaled on the way
+SCALED = 40          # longer words are summed in logs
 CACHED = 600_000
 SLICE = 2 << 20      # characters of text whose new words are scored together
 
@@ -69,32 +69,41 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def log_sums(begin: np.ndarray, end: np.ndarray, log: np.ndarray, n: int) -> np.ndarray:
+    """(n + 1, languages): log of the sum over all ways from 0 to each place; ``log``: (edges, languages)."""
+    order = np.argsort(end, kind="stable")
+    begin, log, bound = begin[order], log[order], np.searchsorted(end[order], np.arange(n + 2))
+    out = np.full((n + 1, log.shape[1]), -np.inf)
+    out[0] = 0
+    for j in range(1, n + 1):
+        a, b = bound[j], bound[j + 1]
+        out[j] = np.logaddexp.reduce(out[begin[a:b]] + log[a:b], axis=0)
+    return out
+
+
 def forward(edges: list[tuple[int, int, int]], n: int, p: np.ndarray) -> np.ndarray:
     """Log-probability of a word of ``n`` characters in each language; ``p``: (1 + pieces, languages)."""
-    alpha, log = np.zeros((n + 1, p.shape[1])), np.zeros(p.shape[1])
-    alpha[0] = 1
-    ends: list[list] = [[] for _ in range(n + 1)]
-    for i, j, piece in edges:
-        ends[j].append((i, piece))
-    for j in range(1, n + 1):
-        for i, piece in ends[j]:
-            alpha[j] += alpha[i] * p[piece]
-        if j % SCALED == 0:
-            scale = alpha[max(0, j - 16):j + 1].max(axis=0)
-            alpha[max(0, j - 16):j + 1] /= scale
-            log += np.log(scale)
-    return log + np.log(alpha[n])
+    begin, end, row = np.array(edges).T
+    return log_sums(begin, end, np.log(p[row]), n)[n]
 
 
-def expected_counts(edges: list[tuple[int, int, int]], n: int, p: np.ndarray) -> dict[int, float]:
-    """Expected uses of each piece in one word (up to ``SCALED`` characters) of one language."""
+def expected_counts(edges: list[tuple[int, int, int]], n: int, p: list[float]) -> dict[int, float]:
+    """Expected uses of each piece in one word of one language; words above ``SCALED`` characters in logs."""
+    out: dict[int, float] = {}
+    if n > SCALED:
+        begin, end, row = np.array(edges).T
+        log = np.log([p[x] for x in row.tolist()])[:, None]
+        a, b = log_sums(begin, end, log, n), log_sums(n - end, n - begin, log, n)[::-1]
+        for piece, x in zip(row.tolist(), np.exp(a[begin] + log + b[end] - a[n])[:, 0].tolist()):
+            if piece:
+                out[piece] = out.get(piece, 0.0) + x
+        return out
     a, b = [0.0] * (n + 1), [0.0] * (n + 1)
     a[0] = b[n] = 1.0
     for i, j, piece in sorted(edges, key=lambda e: e[1]):
         a[j] += a[i] * p[piece]
     for i, j, piece in sorted(edges, key=lambda e: -e[0]):
         b[i] += b[j] * p[piece]
-    out: dict[int, float] = {}
     for i, j, piece in edges:
         if piece:
             out[piece] = out.get(piece, 0.0) + a[i] * p[piece] * b[j] / a[n]
@@ -115,7 +124,8 @@ def train(spark: SparkSession, labelled: DataFrame, vocabulary: str, rows_per_la
           smoothing: float = 0.02) -> Model:
     """Model from ``labelled`` (doc_id, text, lang); rows without text or lang teach nothing.
 
-    Its size is bounded: the vocabulary times the number of languages.
+    Words of any length teach; in scripts without spaces they are whole sentences. A language is learned if a text of its sample
+    has a word. The model's size is bounded: the vocabulary times the number of languages.
     """
     place = F.xxhash64("doc_id", "text")
     sample = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select(
@@ -124,7 +134,7 @@ def train(spark: SparkSession, labelled: DataFrame, vocabulary: str, rows_per_la
         order = Window.partitionBy(*by).orderBy("_place", "doc_id")
         sample = sample.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= rows_per_language)
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy(
-        "lang", "word").count().where(F.length("word") < SCALED).cache()
+        "lang", "word").count().cache()
     try:
         languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
         file = FileOnWorkers(spark, vocabulary)

@@ -49,3 +49,28 @@ def test_odd_rows(spark, documents):
     unlabelled = documents(ODD).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in L.predict_languages(spark, unlabelled, MODEL).collect()} == {"und"}
     assert L.predict_languages(spark, documents([]), MODEL).count() == 0
+
+
+def test_long_words_teach_and_are_scored(spark):
+    with open(MODEL, "rb") as f:
+        pieces = L.Pieces(f.read())
+    p = np.random.default_rng(2).random(len(pieces.pieces) + 1) * 1e-3
+    word = "internationalization" * 2 + "日本"
+    edges, n = pieces.steps(word), len(word) + 1
+    # A piece's expected count is the derivative of the log-probability by the log of its p.
+    for row, x in L.expected_counts(edges, n, p.tolist()).items():
+        up, down = p.copy(), p.copy()
+        up[row] *= 1 + 1e-5
+        down[row] *= 1 - 1e-5
+        assert np.isclose(x, (L.forward(edges, n, up[:, None]) - L.forward(edges, n, down[:, None]))[0] / 2e-5, atol=1e-5)
+    unknown = "\ue000" * 3000      # no piece holds it
+    assert np.isclose(L.forward(pieces.steps(unknown), 3001, p[:, None])[0], np.log(p[pieces.row["▁"]] * 1.0) + 3000 * np.log(p[0]))
+
+    rng = random.Random(3)
+    of = {"ja": "のにをはがとでもあい", "zh": "的一是不了人我在有他", "en": ["the ", "of ", "and ", "to ", "in "]}
+    rows = [(i, "".join(rng.choices(of[lang], k=rng.randint(45, 300))), lang) for i in range(120) for lang in [rng.choice(list(of))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.train(spark, docs, MODEL).languages == ["en", "ja", "zh"]
+    out = {r.doc_id: r for r in L.predict_languages(spark, docs, MODEL).collect()}
+    held = [(out[i].lang_pred == lang) for i, _, lang in rows if out[i].held_out]
+    assert len(held) > 20 and all(held)
