@@ -27,7 +27,7 @@ from . import blocks as B
 GRAM = 16           # bytes of a minimizer window
 LONGEST_RUN = 64    # starts in a segment
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)   # every difference modulo 31 is one of two members of the cover
-DEPTH = 8           # 8-byte words that rank the sample
+DEPTH = 8           # 8-byte words that rank the sample, at least
 RANGE = 1 << 18     # suffixes that are sorted together
 CHUNK = 1 << 19     # starts whose minimizers are computed together
 BLOCK_BYTES = 2 << 20
@@ -93,12 +93,12 @@ def sort_by_words(words: np.ndarray, places: np.ndarray, depth: int) -> Order:
     return out
 
 
-def cover_ranks(words: np.ndarray) -> np.ndarray:
-    """Rank of every sampled place among the sample, -1 elsewhere; places equal in ``DEPTH`` words have one rank."""
+def cover_ranks(words: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Rank of every sampled place among the sample, -1 elsewhere; places equal in ``depth`` words have one rank."""
     places = np.flatnonzero(np.isin(np.arange(len(words)) % PERIOD, COVER))
     ranks = np.full(len(words) + PERIOD, -1, np.int32)
     if len(places):
-        order = sort_by_words(words, places, DEPTH)
+        order = sort_by_words(words, places, depth)
         ranks[order.places] = order.group
     return ranks
 
@@ -132,7 +132,7 @@ def sort_suffixes(words: np.ndarray, places: np.ndarray, ranks: np.ndarray) -> O
 def smallest_elsewhere(text: np.ndarray, starts: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """For each start the smallest of the ``ids`` of the starts with the same ``length`` bytes."""
     words = words_at(text)
-    ranks = cover_ranks(words)
+    ranks = cover_ranks(words, max(DEPTH, -(-length // 8)))
     out = np.empty(len(starts), np.int64)
     lead = words[starts] >> np.uint64(48)
     by_lead = np.argsort(lead, kind="stable")

@@ -50,6 +50,20 @@ def test_against_brute_force(documents, small_blocks):
     assert sorted(map(tuple, S.repeat_report(documents(rows)).collect()), key=str) == brute(rows)
 
 
+def test_longer_strings_against_brute_force(documents, small_blocks):
+    rng = random.Random(11)
+    same = "".join(rng.choice("ab") for _ in range(100))   # many strings that differ only after 64 bytes
+    tails = ["".join(rng.choice("cd") for _ in range(150)) for _ in range(12)]
+    rows = [(i, same + rng.choice(tails) + str(i)) for i in range(60)]
+    assert sorted(map(tuple, S.repeat_report(documents(rows), 200).collect()), key=str) == brute(rows, 200)
+    text = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    starts, data = np.arange(len(text) - 199), text.tobytes()
+    ids, least = np.arange(len(starts)), {}
+    for s in starts.tolist():
+        least.setdefault(data[s:s + 200], s)
+    assert S.smallest_elsewhere(text, starts, ids, 200).tolist() == [least[data[s:s + 200]] for s in starts.tolist()]
+
+
 def test_odd_rows_and_other_columns(documents):
     assert sorted(map(tuple, S.repeat_report(documents(ODD)).collect()), key=str) == brute(ODD)
     assert S.repeat_report(documents([])).count() == 0
