@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +15,7 @@ from sunledger.operators.ordered import first_wins
 from sunledger.operators.validation import rejected_rows, rule_sets, valid_rows
 from sunledger.schemas import TABLES
 from sunledger.sources.messages import parse_messages, rejected_messages
-from sunledger.sources.store import append_days, insert_first, new_rows
+from sunledger.sources.store import append_days, exists, insert_first, new_rows, recover, stored_rows
 from sunledger.sources.tables import table_path
 
 LATE = "1 hour"
@@ -36,9 +38,16 @@ def _checked(rows: DataFrame, rules: str) -> tuple[DataFrame, DataFrame]:
 
 
 def store_rejects(rejects: DataFrame, store: str) -> None:
-    """Append rejects that are not stored yet."""
-    insert_first(rejects.sparkSession, rejects.select(*TABLES["message_rejects"].fieldNames()),
-                 table_path(store, "message_rejects"), ["topic", "payload", "reason"])
+    """Append rejects that are not stored yet. Messages of different ``seq`` are each reported; nulls compare as equal."""
+    spark, path = rejects.sparkSession, table_path(store, "message_rejects")
+    rejects = rejects.select(*TABLES["message_rejects"].fieldNames())
+    recover(spark, path)
+    if exists(spark, path):
+        keys = ["topic", "payload", "reason", "seq"]
+        stored = stored_rows(spark, path, rejects, keys).toDF(*(f"_{c}" for c in [*keys, "day"]))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "day"]]
+        rejects = rejects.join(stored, reduce(and_, same), "left_anti")
+    append_days(rejects, path)
 
 
 def store_readings(batch: DataFrame, store: str, kind: str) -> None:

@@ -95,6 +95,16 @@ def test_ingest_retry_completes_a_half_written_batch(spark):
         assert T.read_table(spark, base, "meter_samples").count() == 1
 
 
+def test_equal_rejects_of_different_messages_are_each_reported(spark):
+    base = work_dir(spark, "rejects")
+    schema = "topic string, payload string, seq long"
+    batches = [[("t", "", 1), ("t", "", 2), ("t", None, 3), ("t", "x", None)], [("t", "", 4), ("t", None, 5), ("t", "x", None), ("t", "", None)]]
+    for rows in [batches[0], batches[0], batches[1], batches[1]]:    # each with a retry
+        SI.store_messages(spark.createDataFrame(rows, schema), base, "inverter")
+    found = [(r.payload, r.seq) for r in T.read_table(spark, base, "message_rejects").collect()]
+    assert sorted(found, key=str) == sorted([("", 1), ("", 2), (None, 3), ("x", None), ("", 4), (None, 5), ("", None)], key=str)
+
+
 def test_device_state_survives_batches(spark):
     base = work_dir(spark, "state")
     schema = "site_id string, device_name string, seq long, value double, is_device boolean, fw string"
