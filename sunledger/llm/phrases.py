@@ -30,6 +30,7 @@ from sunledger.session import work_dir
 
 MOST_BITS = 27
 CHUNK_BITS = 15     # positions of one bitmap_construct_agg
+HELD = 1 << 19      # rows that a task adds up before it sends them
 NO_LANGUAGE = "und"
 # Parts of a language's frequent occurrences that are expanded before there are enough phrases to bound by.
 SHARES = (1 / 16, 1 / 4)
@@ -61,35 +62,63 @@ class Bitmap:
         return (self.held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _scan(docs: DataFrame, emit: Callable[[Words, list[str]], pa.RecordBatch], schema: str) -> DataFrame:
-    """What ``emit(words, language of each row)`` gives for every slice of the texts of ``docs`` (text, lang)."""
+def _combined(columns: list[np.ndarray], kinds: list) -> list[np.ndarray]:
+    """One row for each value of the first column: ``kinds`` names what adds up the others, None for what is equal."""
+    order = np.argsort(columns[0], kind="stable")
+    first = columns[0][order]
+    begin = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.empty(0, np.int64)
+    return [c[order[begin]] if kind is None or not len(begin) else kind.reduceat(c[order], begin)
+            for c, kind in zip(columns, kinds)]
+
+
+def _scan(docs: DataFrame, emit: Callable[[Words, list[str]], list[np.ndarray]], kinds: list, schema: str) -> DataFrame:
+    """What ``emit(words, language of each row)`` gives for every slice of the texts of ``docs`` (text, lang).
+
+    Its first column groups the rows and is left out of the result; a task adds the rows of its slices up as far as ``HELD`` of
+    them go, so that what is common is sent a few times by each task.
+    """
+    kinds = [None, *kinds]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def rows(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype != object else c) for c in columns[1:]], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.uint64] = {}
+        held: list[list[np.ndarray]] = []
+        size = 0
         for batch in batches:
             languages = batch.column(1).to_pylist()
             for x in set(languages) - known.keys():
                 known[x] = text_hash(x)
             for words in words_of(batch.column(0), [known[x] for x in languages]):
                 if len(words):
-                    yield emit(words, languages)
+                    held.append(emit(words, languages))
+                    size += len(held[-1][0])
+                if size > HELD:
+                    held = [_combined([np.concatenate(c) for c in zip(*held)], kinds)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield rows(held[0])
+                        held, size = [], 0
+        if size:
+            yield rows(_combined([np.concatenate(c) for c in zip(*held)], kinds))
 
     return docs.mapInArrow(run, schema)
 
 
-def _batch(names: list[str], *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if isinstance(c, np.ndarray) else c) for c in columns], names=names)
-
-
 def _word_counts(docs: DataFrame, rules: PhraseRules) -> DataFrame:
     """(lang, w, word, f) of the frequent words; w = 0 has the number of all words of a language."""
-    def emit(words: Words, languages: list[str]) -> pa.RecordBatch:
+    def emit(words: Words, languages: list[str]) -> list[np.ndarray]:
         w, first, n = np.unique(words.hash, return_index=True, return_counts=True)
         rows, all_ = np.unique(words.text, return_counts=True)
         langs = [languages[i] for i in words.text[first].tolist()] + [languages[i] for i in rows.tolist()]
-        zero = np.zeros(len(rows), np.uint64)
-        return _batch(["lang", "w", "word", "n"], langs, np.r_[w, zero], words.spelled(first) + [""] * len(rows), np.r_[n, all_])
+        group = np.r_[w, np.array([text_hash(x) for x in langs[len(w):]], np.uint64)]
+        return [group, np.array(langs, object), np.r_[w, np.zeros(len(rows), np.uint64)],
+                np.array(words.spelled(first) + [""] * len(rows), object), np.r_[n, all_]]
 
-    counted = _scan(docs, emit, "lang string, w long, word string, n long").groupBy("lang", "w", "word").agg(F.sum("n").alias("f"))
+    counted = _scan(docs, emit, [None, None, None, np.add], "lang string, w long, word string, n long").groupBy(
+        "lang", "w", "word").agg(F.sum("n").alias("f"))
     return counted.where((F.col("f") >= rules.least) | (F.col("w") == 0))
 
 
@@ -103,7 +132,7 @@ def _bitmap(phrases: DataFrame, keys: list[str], rows: int) -> Bitmap:
             g = columns[0]
             for w in columns[1:]:
                 g = np.where(w == 0, g, chained(g, w))
-            yield _batch(["at"], g >> np.uint64(64 - bits))
+            yield pa.RecordBatch.from_arrays([pa.array((g >> np.uint64(64 - bits)).view(np.int64))], names=["at"])
 
     at = phrases.select(*keys).mapInArrow(run, "at long")
     chunk = F.shiftright("at", CHUNK_BITS).alias("chunk")
@@ -115,46 +144,45 @@ def _bitmap(phrases: DataFrame, keys: list[str], rows: int) -> Bitmap:
     return Bitmap(held, bits)
 
 
-def _extensions(docs: DataFrame, prefixes, frequent, m: int) -> DataFrame:
-    """Occurrences of phrases of ``m`` words that extend a prefix by a frequent word: (w1 .. wm, n), added up by slice."""
+def _extensions(docs: DataFrame, firsts, prefixes, frequent, m: int) -> DataFrame:
+    """Occurrences of phrases of ``m`` words that extend a prefix by a frequent word: (w1 .. wm, n), added up in part.
+
+    ``firsts``: the first words of all prefixes, so that little else is hashed.
+    """
     names = [f"w{i}" for i in range(1, m + 1)]
 
-    def emit(words: Words, _: list[str]) -> pa.RecordBatch:
-        levels = dict((k, (g.copy(), inside)) for k, g, inside in words.phrase_hash(m) if k >= m - 1)
-        g, inside = levels[m]
-        at = np.flatnonzero(inside)
-        at = at[prefixes.value.has(levels[m - 1][0][at])]
+    def emit(words: Words, _: list[str]) -> list[np.ndarray]:
+        at = words.within(np.flatnonzero(firsts.value.has(words.hash)), m)
         at = at[frequent.value.has(words.hash[at + m - 1])]
-        _, first, n = np.unique(g[at], return_index=True, return_counts=True)
-        at = at[first]
-        return _batch([*names, "n"], *(words.hash[at + i] for i in range(m)), n)
+        g = words.phrase_hash(at, m - 1)
+        if m > 2:
+            found = prefixes.value.has(g)
+            at, g = at[found], g[found]
+        g, first, n = np.unique(chained(g, words.hash[at + m - 1]), return_index=True, return_counts=True)
+        return [g, *(words.hash[at[first] + i] for i in range(m)), n]
 
-    return _scan(docs, emit, ", ".join(f"{c} long" for c in [*names, "n"]))
+    return _scan(docs, emit, [None] * m + [np.add], ", ".join(f"{c} long" for c in [*names, "n"]))
 
 
-def _settled(docs: DataFrame, wanted, rules: PhraseRules) -> DataFrame:
-    """Wanted phrases of 2 words and more: (w1 .., n, least and greatest neighbour before and behind), added up by slice."""
+def _settled(docs: DataFrame, firsts, wanted, rules: PhraseRules) -> DataFrame:
+    """Wanted phrases of 2 words and more: (w1 .., a, least and greatest neighbour before and behind)."""
     names = [*rules.keys, "n", "pmin", "pmax", "nmin", "nmax"]
-
-    def emit(words: Words, _: list[str]) -> pa.RecordBatch:
-        before, parts = words.neighbour(-1).view(np.int64), []
-        for m, g, inside in words.phrase_hash(rules.longest):
-            if m == 1:
-                continue
-            at = np.flatnonzero(inside)
-            at = at[wanted.value.has(g[at])]
-            at = at[np.argsort(g[at], kind="stable")]
-            if not len(at):
-                continue
-            begin = np.flatnonzero(np.r_[True, g[at][1:] != g[at][:-1]])
-            ahead = words.neighbour(m).view(np.int64)
-            zero = np.zeros(len(begin), np.uint64)
-            parts.append([*(words.hash[at[begin] + i] if i < m else zero for i in range(rules.longest)),
-                          np.diff(np.r_[begin, len(at)]), *(f.reduceat(x[at], begin) for x in (before, ahead) for f in (np.minimum, np.maximum))])
-        columns = [np.concatenate([p[i].view(np.int64) for p in parts]) if parts else np.empty(0, np.int64) for i in range(len(names))]
-        return _batch(names, *columns)
-
-    rows = _scan(docs, emit, ", ".join(f"{c} long" for c in names))
+    kinds = [*[None] * rules.longest, np.add, np.minimum, np.maximum, np.minimum, np.maximum]
+
+    def emit(words: Words, _: list[str]) -> list[np.ndarray]:
+        at, parts = np.flatnonzero(firsts.value.has(words.hash)), []
+        for m in range(2, rules.longest + 1):
+            at = words.within(at, m)
+            g = words.phrase_hash(at, m)
+            found = wanted.value.has(g)
+            here, g = at[found], g[found]
+            before, behind = words.neighbour(here, -1).view(np.int64), words.neighbour(here, m).view(np.int64)
+            zero = np.zeros(len(here), np.uint64)
+            parts.append(_combined([g, *(words.hash[here + i] if i < m else zero for i in range(rules.longest)),
+                                    np.ones(len(here), np.int64), before, before, behind, behind], [None, *kinds]))
+        return [np.concatenate(c) for c in zip(*parts)]
+
+    rows = _scan(docs, emit, kinds, ", ".join(f"{c} long" for c in names))
     return rows.groupBy(*rules.keys).agg(F.sum("n").alias("a"), *(f(c).alias(c) for c, f in (
         ("pmin", F.min), ("pmax", F.max), ("nmin", F.min), ("nmax", F.max))))
 
@@ -200,13 +228,16 @@ class _Rounds:
 
     def grown(self, frontier: DataFrame, frequent, name: str) -> DataFrame | None:
         """All phrases frequent enough that start with a word of the frontier: (w1 .., a)."""
-        keys, prefixes, all_ = self.rules.keys, frontier.select("w1").distinct(), None
+        keys, prefixes, all_ = self.rules.keys, frontier.select("w1"), None
+        firsts = None
         for m in range(2, self.rules.longest + 1):
             rows = prefixes.count()
             if not rows:
                 break
             on = keys[:m - 1]
-            found = _extensions(self.docs, self.shared(prefixes, on, rows), frequent, m)
+            held = self.shared(prefixes, on, rows)
+            firsts = firsts or held
+            found = _extensions(self.docs, firsts, held, frequent, m)
             found = found.groupBy(*keys[:m]).agg(F.sum("n").alias("a")).where(F.col("a") >= self.rules.least)
             found = self.kept(f"{name}-{m}", found.join(prefixes, on, "left_semi"))
             prefixes = found.select(*keys[:m])
@@ -229,7 +260,8 @@ class _Rounds:
         for r in rests:
             wanted = wanted.unionByName(r)
         wanted = self.kept(f"{name}-wanted", wanted.distinct())
-        told = _settled(self.docs, self.shared(wanted, keys, wanted.count()), rules)
+        rows = wanted.count()
+        told = _settled(self.docs, self.shared(wanted, keys[:1], rows), self.shared(wanted, keys, rows), rules)
         told = self.kept(f"{name}-told", told.join(wanted, keys, "left_semi"))
 
         single = self.words.select(F.col("w").alias("w1"), *(zero.alias(k) for k in keys[1:]), F.col("f").alias("a"))

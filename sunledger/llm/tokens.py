@@ -77,25 +77,23 @@ class Words:
         data = self.data.tobytes()
         return [data[s:e].lower().decode("utf-8", "replace") for s, e in zip(self.start[at].tolist(), self.end[at].tolist())]
 
-    def phrase_hash(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(m, hash of the m words from each place on, whether they lie in one piece) for m = 1 .. longest."""
-        n, g = len(self), self.hash.copy()
-        yield 1, g, np.ones(n, bool)
-        for m in range(2, longest + 1):
-            inside = np.zeros(n, bool)
-            if n >= m:
-                inside[:n - m + 1] = self.piece[m - 1:] == self.piece[:n - m + 1]
-                g = chained(g, np.r_[self.hash[m - 1:], np.zeros(m - 1, np.uint64)])
-            yield m, g, inside
-
-    def neighbour(self, offset: int) -> np.ndarray:
+    def within(self, at: np.ndarray, m: int) -> np.ndarray:
+        """Which of the places ``at`` have ``m`` words up to the end of their piece."""
+        at = at[at < len(self) - m + 1]
+        return at[self.piece[at + m - 1] == self.piece[at]]
+
+    def phrase_hash(self, at: np.ndarray, m: int) -> np.ndarray:
+        """Hash of the ``m`` words from each place on."""
+        g = self.hash[at]
+        for i in range(1, m):
+            g = chained(g, self.hash[at + i])
+        return g
+
+    def neighbour(self, at: np.ndarray, offset: int) -> np.ndarray:
         """Hash of the word ``offset`` places on in the same piece, 0 where there is none."""
-        n, out = len(self), np.zeros(len(self), np.uint64)
-        if 0 < abs(offset) < n:
-            here, there = (slice(0, n - offset), slice(offset, n)) if offset > 0 else (slice(-offset, n), slice(0, n + offset))
-            same = self.piece[here] == self.piece[there]
-            out[here] = np.where(same, self.hash[there], np.uint64(0))
-        return out
+        there = np.clip(at + offset, 0, len(self) - 1)
+        same = (there == at + offset) & (self.piece[there] == self.piece[at])
+        return np.where(same, self.hash[there], np.uint64(0))
 
 
 def chained(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
