@@ -48,8 +48,8 @@ def sync_registry(current: DataFrame, configured: DataFrame, sites: DataFrame |
     ``sites``: the configured sites, by default those with a device; one that is configured without devices is emptied.
     """
     sites = (configured if sites is None else sites).select("site_id").distinct()
-    return configured.select(*KEY, "kind", "location", "is_primary").unionByName(
-        current.join(sites, "site_id", "left_anti").select(*KEY, "kind", "location", "is_primary"))
+    cols = [*KEY, "kind", "location", "is_primary", *(["updated_at"] if "updated_at" in configured.columns else [])]
+    return configured.select(cols).unionByName(current.join(sites, "site_id", "left_anti").select(cols))
 
 
 def site_upsert(current: DataFrame, configured: DataFrame, at: Column | None = None) -> DataFrame:

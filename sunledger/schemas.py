@@ -18,6 +18,7 @@ _TYPES = {
     "bool": T.BooleanType(),
     "ts": T.TimestampType(),
     "date": T.DateType(),
+    "strings": T.ArrayType(T.StringType()),
 }
 
 
@@ -73,7 +74,7 @@ METER_DAILY = _struct(
     "imported_kwh_first:double imported_kwh_last:double exported_kwh_first:double "
     "exported_kwh_last:double"
 )
-REGISTRY = _struct("kind:string location:string is_primary:bool")
+REGISTRY = _struct("kind:string location:string is_primary:bool updated_at:ts")
 SITE = _struct(
     "site_id:string latitude:double longitude:double horizon_deg:double updated_at:ts", keyed=False
 )
@@ -84,6 +85,9 @@ SITE_ENERGY = _struct(
 )
 MESSAGES = _struct("topic:string payload:string seq:long ts:ts", keyed=False)
 
+INVERTER_EVENTS = _struct("seq:long ts:ts active_code:int state:string events:strings day:date")
+AVAILABILITY = _struct("kind:string seq:long ts:ts state:string day:date")
+
 MESSAGE_REJECTS = _struct("topic:string payload:string seq:long reason:string day:date", keyed=False)
 
 # Tables of a store folder, all but the dimensions partitioned by ``day``.
@@ -102,8 +106,15 @@ TABLES = {
     "meter_device": METER_DEVICE,
     "device_registry": REGISTRY,
     "site": SITE,
+    "inverter_events": INVERTER_EVENTS,
+    "availability": AVAILABILITY,
     "message_rejects": MESSAGE_REJECTS,
+    # The last accepted snapshot of each device, which the next one is compared with.
+    "last_events": T.StructType([f for f in INVERTER_EVENTS if f.name != "day"]),
+    "last_availability": T.StructType([f for f in AVAILABILITY if f.name != "day"]),
 }
+# Tables without days: written as numbered snapshots.
+DIMENSIONS = ["inverter_device", "meter_device", "device_registry", "site", "last_events", "last_availability"]
 
 # JSON payloads, keyed by (kind, suffix).
 _PHASE_INVERTER = "array<struct<id:int,ac_voltage:double,ac_current:double>>"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sunledger import KEY
 from sunledger.functions import numeric as N
@@ -16,6 +16,8 @@ AVAILABILITY = ["connected", "disconnected"]
 # The field without which a payload is not of its type.
 REQUIRED = {"values": "time", "events": "active_code", "device": "serial_number"}
 BAD_TOPIC, BAD_PAYLOAD, BAD_STATE = "unknown topic", "malformed payload", "unknown state"
+WRONG_TYPE, NO_VALUES = "wrong type", "no values"
+_UNREAD = "_unread"     # the text of a payload with a field that is not of its type
 
 
 def split_topic(messages: DataFrame) -> DataFrame:
@@ -32,41 +34,88 @@ def split_topic(messages: DataFrame) -> DataFrame:
         "site_id": at(4), "kind": at(3), "device_name": at(2), "suffix": at(1)})
 
 
+def _parsed(payload: Column, schema: str) -> Column:
+    return F.from_json(payload, f"{schema}, {_UNREAD} string", {"columnNameOfCorruptRecord": _UNREAD})
+
+
+@lru_cache
+def _struct_of(schema: str) -> T.StructType:
+    return T.StructType.fromDDL(schema)
+
+
+def _as_text(kind: T.DataType) -> str:
+    if isinstance(kind, T.ArrayType):
+        return f"array<{_as_text(kind.elementType)}>"
+    if isinstance(kind, T.StructType):
+        return "struct<" + ",".join(f"{f.name}:{_as_text(f.dataType)}" for f in kind) + ">"
+    return "string"
+
+
+def _wrong(raw: Column, typed: Column, kind: T.DataType) -> Column:
+    """Whether a value is there as text and not as its type, at any depth."""
+    lost = raw.isNotNull() & typed.isNull()
+    if isinstance(kind, T.ArrayType):
+        pairs = F.zip_with(raw, typed, lambda a, b: F.coalesce(_wrong(a, b, kind.elementType), F.lit(False)))
+        return lost | F.coalesce(F.exists(pairs, lambda x: x), F.lit(False))
+    if isinstance(kind, T.StructType):
+        return lost | reduce(or_, [F.coalesce(_wrong(raw[f.name], typed[f.name], f.dataType), F.lit(False)) for f in kind])
+    return lost
+
+
+def payload_problem(payload: Column, parsed: Column, schema: str, suffix: str) -> Column:
+    """Why a payload cannot be stored, NULL if it can. Only one with a fault is read a second time, to name the fields."""
+    fields = _struct_of(schema).fields
+    texts = F.from_json(payload, ", ".join(f"{f.name} {_as_text(f.dataType)}" for f in fields))
+    names = F.array_compact(F.array(*(F.when(F.coalesce(_wrong(texts[f.name], parsed[f.name], f.dataType), F.lit(False)), f.name) for f in fields)))
+    problem = F.when(parsed.isNull(), BAD_PAYLOAD).when(
+        parsed[_UNREAD].isNotNull(), F.when(F.size(names) > 0, F.concat(F.lit(f"{WRONG_TYPE} "), F.array_join(names, ", "))).otherwise(BAD_PAYLOAD)
+    ).when(parsed[REQUIRED[suffix]].isNull(), BAD_PAYLOAD)
+    if suffix == "values":
+        problem = problem.when(F.coalesce(*(parsed[f.name].cast("string") for f in fields if f.name != "time")).isNull(), NO_VALUES)
+    return problem
+
+
 def parse_messages(messages: DataFrame, kind: str, suffix: str = "values") -> DataFrame:
     """Typed rows of one message type, on a batch or a stream.
 
-    ``malformed`` is true where the payload is not JSON of that type; its fields are NULL.
+    ``malformed`` is true where the payload is not JSON of that type: cut off, a field of another type (an absent field is
+    none), no time, or nothing but a time.
     """
     schema = PAYLOADS[kind, suffix]
-    required = REQUIRED[suffix]
     df = split_topic(messages).where((F.col("kind") == kind) & (F.col("suffix") == suffix))
-    df = df.withColumn("_p", F.from_json("payload", schema))
+    df = df.withColumn("_p", _parsed(F.col("payload"), schema))
     carried = [c for c in ("seq", "ts") if c in messages.columns]
-    df = df.select(*KEY, "topic", *carried, "_p.*", F.col(f"_p.{required}").isNull().alias("malformed"))
+    bad = payload_problem(F.col("payload"), F.col("_p"), schema, suffix).isNotNull()
+    df = df.select(*KEY, "topic", *carried, *(F.col(f"_p.{f.name}") for f in _struct_of(schema)), bad.alias("malformed"))
     if suffix == "values":
         df = df.withColumn("time", F.timestamp_millis("time"))
     return df
 
 
 def rejected_messages(messages: DataFrame) -> DataFrame:
-    """topic, payload, seq, reason of the messages that no parser takes: unknown topics and payloads of another form."""
+    """topic, payload, seq, reason of the messages that no parser takes: unknown topics and payloads of another form.
+
+    ``ts`` is carried if there is one.
+    """
     df = split_topic(messages)
-    readable = [
-        (F.col("kind") == kind) & (F.col("suffix") == suffix) & F.from_json("payload", schema)[REQUIRED[suffix]].isNotNull()
-        for (kind, suffix), schema in PAYLOADS.items()]
     known = [(F.col("kind") == kind) & (F.col("suffix") == suffix) for kind, suffix in PAYLOADS]
+    problem = F.lit(None).cast("string")
+    for mine, ((_, suffix), schema) in zip(known, PAYLOADS.items()):
+        problem = F.when(mine, payload_problem(F.col("payload"), _parsed(F.col("payload"), schema), schema, suffix)).otherwise(problem)
     state = F.col("kind").isin("inverter", "meter") & (F.col("suffix") == "availability")
     reason = (
         F.when(F.col("site_id").isNull() | ~F.coalesce(reduce(or_, [*known, state]), F.lit(False)), BAD_TOPIC)
         .when(state & ~F.coalesce(F.col("payload").isin(AVAILABILITY), F.lit(False)), BAD_STATE)
-        .when(~state & ~F.coalesce(reduce(or_, readable), F.lit(False)), BAD_PAYLOAD))
-    return df.select("topic", "payload", "seq", reason.alias("reason")).where("reason IS NOT NULL")
+        .when(~state, F.coalesce(problem, F.when(F.col("payload").isNull(), BAD_PAYLOAD))))
+    carried = ["ts"] if "ts" in messages.columns else []
+    return df.select("topic", "payload", "seq", *carried, reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def parse_availability(messages: DataFrame, kind: str) -> DataFrame:
     """The state texts of one class; they are plain strings, not JSON."""
     df = split_topic(messages).where((F.col("kind") == kind) & (F.col("suffix") == "availability"))
-    return df.select(*KEY, "topic", "seq", F.col("payload").alias("state"))
+    carried = ["ts"] if "ts" in messages.columns else []
+    return df.select(*KEY, "topic", "seq", *carried, F.col("payload").alias("state"))
 
 
 def topic(base: str | Column, kind: str, suffix: str) -> Column:

@@ -1,9 +1,11 @@
-"""Writers of a store folder: keyed upserts, retention and compaction.
-
-Files of a day are replaced in two steps that a later run can finish.  The new files are staged below the table with the list
-of the files that they replace; renaming that folder to ``_pending`` is the commit.  Publishing then deletes the listed files and
-moves the new ones in, and may stop anywhere: every writer first finishes what it finds in ``_pending``.  Files that others
-appended meanwhile are not listed, so they stay.  A table has one rewriting job at a time; appends may run next to it.
+"""Writers of a store folder: appends, keyed upserts, retention and compaction.
+
+Files of a day are replaced in two steps that a later run can finish.  A rewriting job holds the table's lease, so there is one at
+a time; others wait.  It stages the list of the files that it replaces and then the new files below the table; renaming that
+folder to ``_pending`` is the commit, and it is refused unless the staged files are complete.  Publishing moves the new files in
+and deletes the listed ones, and may stop anywhere: the next holder of the lease finishes it and drops what was only staged.
+Appends take no lease and touch no staging folder; what they add is not listed, so it stays.  Readers of ``tables.read_table``
+do not see a half-published table.
 """
 
 from __future__ import annotations
@@ -17,16 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sunledger import KEY
 from sunledger.schemas import TABLES
 from sunledger.session import work_dir
-from sunledger.sources.tables import table_path
+from sunledger.sources.files import create_new, drop_folder, exists, fs_of, is_data, list_versions, names_in, read_small  # noqa: F401
+from sunledger.sources.lease import Lease, rewriting
+from sunledger.sources.tables import HIVE_NULL, PENDING, PUBLISHED, table_path
 
 # Age limits.  Daily rollups and site energy never expire.
 RAW_KEEP = dt.timedelta(days=90)
 AGGREGATE_KEEP_MONTHS = 24
 COMPACT_AFTER = dt.timedelta(days=7)
 MARKER = "_compacted"
-HIVE_NULL = "day=__HIVE_DEFAULT_PARTITION__"
+DAYS_PER_COMMIT = 16    # days of one compaction job; its lease is free between them
 RAW_TABLES = ["inverter_samples", "inverter_phase_samples", "inverter_input_samples",
-              "meter_samples", "meter_phase_samples"]
+              "meter_samples", "meter_phase_samples", "message_rejects"]
 AGGREGATE_TABLES = ["power_30sec", "power_5min"]
 # Segment and time column of the tables that are compacted.
 SEGMENTS = {
@@ -34,35 +38,8 @@ SEGMENTS = {
     "inverter_input_samples": ("input_id", "time"), "meter_samples": (None, "time"),
     "meter_phase_samples": ("phase_id", "time"), "power_30sec": ("kind", "bucket"), "power_5min": ("kind", "bucket"),
 }
-PENDING, STAGING, REPLACED = "_pending", "_staging-", "_replaced"
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` holds anything to read."""
-    fs, hpath = _fs(spark, path)
-    return fs.exists(hpath) and len(fs.listStatus(hpath)) > 0
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Remove a staging folder of this library's own."""
-    fs, hpath = _fs(spark, path)
-    fs.delete(hpath, True)
-
-
-def list_versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished ``version=N`` folders below ``path``."""
-    fs, hpath = _fs(spark, path)
-    if not fs.exists(hpath):
-        return []
-    done = [s.getPath() for s in fs.listStatus(hpath)]
-    done = [p for p in done if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().removeprefix("version=")) for p in done)
+STAGING, REPLACED = "_staging-", "_replaced"
+_fs = fs_of
 
 
 def _balanced(df: DataFrame) -> DataFrame:
@@ -107,55 +84,75 @@ def _read_files(spark: SparkSession, path: str, files: list[str], schema) -> Dat
     return spark.read.schema(schema).option("basePath", path).parquet(*(f"{path}/{f}" for f in files))
 
 
-def recover(spark: SparkSession, path: str) -> bool:
-    """Finish a committed replacement that a run left behind; drop what was not committed."""
-    fs, root = _fs(spark, path)
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    pending = hpath(root, PENDING)
-    if not fs.exists(root):
-        return False
-    for s in fs.listStatus(root):
-        if s.getPath().getName().startswith(STAGING):
-            fs.delete(s.getPath(), True)
-    if not fs.exists(pending):
+def recover(spark: SparkSession, path: str, wait: float | None = None) -> bool:
+    """Finish what a dead run left of a rewrite; True if it had been committed."""
+    with rewriting(spark, path, wait):
+        return _finish(spark, path)
+
+
+def _finish(spark: SparkSession, path: str) -> bool:
+    """For the holder of the lease: publish a committed replacement, drop what was only staged."""
+    fs, _ = fs_of(spark, path)
+    for name in names_in(spark, path):
+        if name.startswith(STAGING):
+            drop_folder(spark, f"{path}/{name}")
+    listed = read_small(spark, f"{path}/{PENDING}/{REPLACED}")
+    if listed is None:
+        drop_folder(spark, f"{path}/{PENDING}")
         return False
-    replaced = spark.read.schema("name string").json(f"{path}/{PENDING}/{REPLACED}").collect()  # files of the touched days
-    for r in replaced:
-        fs.delete(hpath(root, r["name"]), False)
-    for folder in fs.listStatus(pending):
-        name = folder.getPath().getName()
-        if not name.startswith("day="):
-            continue
-        fs.mkdirs(hpath(root, name))
-        for s in fs.listStatus(folder.getPath()):
-            target = hpath(hpath(root, name), s.getPath().getName())
-            if not s.getPath().getName().startswith(("_", ".")) and not fs.rename(s.getPath(), target):
-                raise OSError(f"cannot move {s.getPath()} to {target}")
-        done = hpath(hpath(root, name), MARKER)
-        if fs.exists(done):
-            fs.delete(done, False)
-    fs.delete(pending, True)
-    for name in {r["name"].split("/")[0] for r in replaced}:  # a day that lost all its rows
-        folder = hpath(root, name)
-        if fs.exists(folder) and not [s for s in fs.listStatus(folder) if not s.getPath().getName().startswith(("_", "."))]:
-            fs.delete(folder, True)
+    replaced = [x for x in listed.split("\n") if x]
+    move_days(spark, f"{path}/{PENDING}", path)
+    for name in replaced:
+        fs.delete(fs_of(spark, f"{path}/{name}")[1], False)
+    for name in {x.split("/")[0] for x in replaced}:
+        folder = f"{path}/{name}"
+        fs.delete(fs_of(spark, f"{folder}/{MARKER}")[1], False)
+        if not any(map(is_data, names_in(spark, folder))):  # a day that lost all its rows
+            drop_folder(spark, folder)
+    fs.delete(fs_of(spark, f"{path}/{PUBLISHED}")[1], False)
+    create_new(spark, f"{path}/{PUBLISHED}", uuid.uuid4().hex)
+    drop_folder(spark, f"{path}/{PENDING}")
     return True
 
 
-def _commit(spark: SparkSession, path: str, write: Callable[[str], None], replaced: list[str]) -> None:
-    """Stage what ``write(folder)`` writes by day, commit it as the replacement of the listed files, and publish it."""
-    fs, root = _fs(spark, path)
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+def move_days(spark: SparkSession, source: str, path: str) -> None:
+    """Move the data files of ``day`` folders into those of a table; files that were moved before are simply not there."""
+    fs, _ = fs_of(spark, path)
+    for day in [n for n in names_in(spark, source) if n.startswith("day=")]:
+        fs.mkdirs(fs_of(spark, f"{path}/{day}")[1])
+        for name in filter(is_data, names_in(spark, f"{source}/{day}")):
+            target = fs_of(spark, f"{path}/{day}/{name}")[1]
+            if not fs.rename(fs_of(spark, f"{source}/{day}/{name}")[1], target):
+                raise OSError(f"cannot move {day}/{name} to {path}")
+
+
+def rows_by_day(df: DataFrame) -> dict[dt.date | None, int]:
+    """Counted from file footers where ``df`` is a plain scan."""
+    return {r["day"]: r["count"] for r in df.groupBy("day").count().collect()}
+
+
+def _commit(spark: SparkSession, path: str, lease: Lease, write: Callable[[str], None], replaced: list[str],
+            complete: Callable[[dict], bool], schema) -> None:
+    """Stage what ``write(folder)`` writes by day, commit it as the replacement of the listed files, and publish it.
+
+    ``complete`` judges the staged rows by day.
+    """
+    fs, root = fs_of(spark, path)
     staging = f"{path}/{STAGING}{uuid.uuid4().hex}"
     try:
+        create_new(spark, f"{staging}/{REPLACED}", "\n".join(replaced))
         write(staging)
-        spark.createDataFrame([(f,) for f in replaced], "name string").coalesce(1).write.json(f"{staging}/{REPLACED}")
+        staged = names_in(spark, staging)
+        if REPLACED not in staged or "_SUCCESS" not in staged or not complete(
+                rows_by_day(spark.read.schema(schema).option("basePath", staging).parquet(staging))):
+            raise OSError(f"staged files of {path} are not complete; nothing was replaced")
+        lease.check()
     except BaseException:
         drop_folder(spark, staging)
         raise
-    if not fs.rename(hpath(staging), hpath(root, PENDING)):
+    if not fs.rename(fs_of(spark, staging)[1], fs_of(spark, f"{path}/{PENDING}")[1]):
         raise OSError(f"cannot commit {staging}")
-    recover(spark, path)
+    _finish(spark, path)
 
 
 def stored_rows(spark: SparkSession, path: str, new: DataFrame, cols: list[str]) -> DataFrame:
@@ -179,31 +176,36 @@ def insert_first(spark: SparkSession, new: DataFrame, path: str, keys: list[str]
 
 def new_rows(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Rows whose ``keys`` are not stored yet."""
-    recover(spark, path)
     if not exists(spark, path):
         return new
     return new.join(stored_rows(spark, path, new, keys), [*keys, "day"], "left_anti")
 
 
 def upsert_days(spark: SparkSession, new: DataFrame, path: str, keys: list[str] | None = None,
-                drop: Column | None = None, days: list[dt.date] | None = None) -> None:
+                drop: Column | None = None, days: list[dt.date] | None = None, wait: float | None = None) -> None:
     """Insert or replace rows by ``(keys, day)``; only the touched days are read and rewritten.
 
     Rows of those days that are not replaced are carried over, but for those for which ``drop`` holds.  ``days`` adds days to
-    the touched ones.  A run that dies at any point can be repeated, and loses nothing: see the module's text.
+    the touched ones.  A run that dies at any point can be repeated, and loses nothing: see the module's text.  Waits up to
+    ``wait`` seconds for another rewriting job.
     """
     keys = keys or KEY
-    recover(spark, path)
     incoming = work_dir(spark, "incoming")
     try:
         # ``new`` may be made from this table, and its days must be known: write it first.
         new.write.parquet(incoming)
-        new = spark.read.schema(new.schema).parquet(incoming)
-        replaced = _files(spark, path, sorted({*touched_days(new), *(days or [])}, key=str))
-        if replaced:
-            kept = _read_files(spark, path, replaced, new.schema).join(new.select(*keys, "day"), [*keys, "day"], "left_anti")
-            new = (kept if drop is None else kept.where(~F.coalesce(drop, F.lit(False)))).unionByName(new)
-        _commit(spark, path, lambda at: _balanced(new).write.partitionBy("day").parquet(at), replaced)
+        schema = new.schema
+        new = spark.read.schema(schema).parquet(incoming)
+        least = rows_by_day(new)
+        with rewriting(spark, path, wait) as lease:
+            _finish(spark, path)
+            replaced = _files(spark, path, sorted({*least, *(days or [])}, key=str))
+            rows = new
+            if replaced:
+                kept = _read_files(spark, path, replaced, schema).join(new.select(*keys, "day"), [*keys, "day"], "left_anti")
+                rows = (kept if drop is None else kept.where(~F.coalesce(drop, F.lit(False)))).unionByName(new)
+            _commit(spark, path, lease, lambda at: _balanced(rows).write.mode("append").partitionBy("day").parquet(at), replaced,
+                    lambda staged: all(staged.get(d, 0) >= n for d, n in least.items()), schema)
     finally:
         drop_folder(spark, incoming)
 
@@ -232,10 +234,11 @@ def expire(spark: SparkSession, path: str, cutoff: dt.date | None) -> list[dt.da
     """Drop the partitions that lie wholly before ``cutoff``; no data is read or rewritten."""
     if cutoff is None:
         return []
-    fs, _ = _fs(spark, path)
-    gone = [d for d in day_partitions(spark, path) if d < cutoff]
-    for day in gone:
-        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day.isoformat()}"), True)
+    with rewriting(spark, path):
+        _finish(spark, path)    # a rewrite that is published later would bring days back
+        gone = [d for d in day_partitions(spark, path) if d < cutoff]
+        for day in gone:
+            drop_folder(spark, f"{path}/day={day.isoformat()}")
     return gone
 
 
@@ -255,35 +258,37 @@ def _compacted(fs, folder) -> bool:
 
 
 def compact(spark: SparkSession, path: str, now: dt.datetime, segment: str | None = None,
-            after: dt.timedelta = COMPACT_AFTER, time: str = "time", schema=None) -> list[dt.date]:
+            after: dt.timedelta = COMPACT_AFTER, time: str = "time", schema=None, wait: float | None = None) -> list[dt.date]:
     """Rewrite days older than ``after`` once, as sorted zstd files; the rows stay the same.
 
     Rows are ranged by (day, segment, device, time), so one device's or one
     day's bulk is spread over tasks and adaptive execution sizes the files;
     each covers a narrow range that its min/max statistics let scans skip.
-    Rows appended while this runs are in files of their own and stay; the day
-    is then due again.
+    A backlog is worked off some days at a time, each group committed and
+    marked by itself, with the lease free in between.  Rows appended while
+    this runs are in files of their own and stay; the day is then due again.
     """
-    recover(spark, path)
-    fs, root = _fs(spark, path)
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-
-    def folder(day: dt.date):
-        return hpath(root, f"day={day.isoformat()}")
-
+    fs, _ = fs_of(spark, path)
     cutoff = (now - after).date()
-    days = [d for d in day_partitions(spark, path) if d < cutoff and not _compacted(fs, folder(d))]
-    if not days:
-        return []
     order = [F.col(c) for c in ([segment] if segment else []) + KEY] + [F.col(time).desc()]
-    replaced = _files(spark, path, days)
-    old = _read_files(spark, path, replaced, schema or spark.read.parquet(path).schema)
-    _commit(spark, path, lambda at: (
-        old.repartitionByRange("day", *order).sortWithinPartitions("day", *order)
-        .write.option("compression", "zstd").partitionBy("day").parquet(at)), replaced)
-    for day in days:
-        fs.create(hpath(folder(day), MARKER), True).close()
-    return days
+    with rewriting(spark, path, wait):
+        _finish(spark, path)
+    due = [d for d in day_partitions(spark, path) if d < cutoff and not _compacted(fs, fs_of(spark, f"{path}/{_day_folder(d)}")[1])]
+    schema = schema or (spark.read.parquet(path).schema if due else None)
+    for days in [due[i:i + DAYS_PER_COMMIT] for i in range(0, len(due), DAYS_PER_COMMIT)]:
+        with rewriting(spark, path, wait) as lease:
+            _finish(spark, path)
+            replaced = _files(spark, path, days)
+            if not replaced:    # expired meanwhile
+                continue
+            old = _read_files(spark, path, replaced, schema)
+            _commit(spark, path, lease, lambda at: (
+                old.repartitionByRange("day", *order).sortWithinPartitions("day", *order)
+                .write.mode("append").option("compression", "zstd").partitionBy("day").parquet(at)), replaced,
+                rows_by_day(old).__eq__, schema)
+            for day in days:
+                create_new(spark, f"{path}/{_day_folder(day)}/{MARKER}", "")
+    return due
 
 
 def apply_compaction(spark: SparkSession, store: str, now: dt.datetime) -> dict[str, list[dt.date]]:

@@ -74,35 +74,73 @@ def test_ingest_stream_first_reading_wins_with_its_rows(spark):
     assert len(inputs) == 3 and all(r.dc_energy is None and r.dc_power == 2.0 for r in inputs)
 
 
-def test_ingest_retry_completes_a_half_written_batch(spark):
-    base = work_dir(spark, "retry")
-    df = spark.createDataFrame([("S", "m", 1, AT, 5.0, [(1, 2.0), (2, 3.0)])],
+def meter_batch(spark, rows=((1, AT, 5.0),)):
+    df = spark.createDataFrame([("S", "m", seq, at, e, [(1, 2.0), (2, 3.0)]) for seq, at, e in rows],
                                "site_id string, device_name string, seq long, time timestamp, e double, p array<struct<id:int,w:double>>")
     names = ["energy_active_import", "energy_active_export", "energy_apparent_import", "energy_apparent_export", "energy_reactive_import",
              "energy_reactive_export", "power_active", "power_apparent", "power_reactive", "power_factor", "frequency", "voltage_ph", "voltage_pp", "current"]
     phase = ["power_active", "power_apparent", "power_reactive", "power_factor", "voltage_ph", "voltage_pp", "current"]
-    batch = df.select("site_id", "device_name", "seq", "time", *(F.col("e").alias(n) for n in names),
-                      F.transform("p", lambda x: F.struct(*(x["w"].alias(n) for n in phase))).alias("phases"))
-    from sunledger.operators import fanout
-    from sunledger.sources.store import insert_first
-
-    # The first attempt died after the phase rows.
-    half = fanout.explode_phases(batch, "meter", count=None)
-    insert_first(spark, half, T.table_path(base, "meter_phase_samples"), [*KEY, "time", "phase_id"])
+    return df.select("site_id", "device_name", "seq", "time", *(F.col("e").alias(n) for n in names),
+                     F.transform("p", lambda x: F.struct(x["id"], *(x["w"].alias(n) for n in phase))).alias("phases"))
+
+
+@pytest.mark.parametrize("stop", range(4))
+def test_a_batch_that_dies_between_two_tables_is_completed_by_its_retry(spark, monkeypatch, stop):
+    """``stop`` tables are moved in before the run dies; at 0 nothing is, but the batch is committed."""
+    from sunledger.sources import batches as B
+
+    base, real, moved = work_dir(spark, "retry"), B.move_days, []
+    SI.store_readings(meter_batch(spark, [(0, AT - dt.timedelta(hours=1), 1.0)]), base, "meter", "q", 0)
+
+    def dies(spark_, source, path):
+        if len(moved) == stop:
+            raise RuntimeError("driver lost")
+        moved.append(path)
+        real(spark_, source, path)
+
+    monkeypatch.setattr(B, "move_days", dies)
+    batch = meter_batch(spark)
+    if stop < 3:
+        with pytest.raises(RuntimeError):
+            SI.store_readings(batch, base, "meter", "q", 1)
+    else:
+        SI.store_readings(batch, base, "meter", "q", 1)
+    monkeypatch.undo()
     for _ in range(2):
-        SI.store_readings(batch, base, "meter")
-        assert T.read_table(spark, base, "meter_phase_samples").count() == 2
-        assert T.read_table(spark, base, "meter_samples").count() == 1
+        assert not SI.store_readings(batch, base, "meter", "q", 1)
+        assert T.read_table(spark, base, "meter_phase_samples").count() == 4 and T.read_table(spark, base, "meter_samples").count() == 2
+    assert SI.store_readings(meter_batch(spark, [(2, AT, 9.0), (3, AT + dt.timedelta(hours=1), 6.0)]), base, "meter", "q", 2)
+    assert sorted(r.seq for r in T.read_table(spark, base, "meter_samples").collect()) == [0, 1, 3]
+    assert B.last_batch(spark, base, "q") == 2 and B.last_batch(spark, base, "other") == -1
+
+
+def test_a_batch_that_dies_while_staging_leaves_nothing(spark, monkeypatch):
+    from sunledger.sources import batches as B
+
+    base, real, staged = work_dir(spark, "staging"), B.append_days, []
+
+    def dies(df, path):
+        if staged:
+            raise RuntimeError("executor lost")
+        staged.append(path)
+        real(df, path)
+
+    monkeypatch.setattr(B, "append_days", dies)
+    with pytest.raises(RuntimeError):
+        SI.store_readings(meter_batch(spark), base, "meter", "q", 0)
+    monkeypatch.undo()
+    assert SI.store_readings(meter_batch(spark), base, "meter", "q", 0)
+    assert T.read_table(spark, base, "meter_phase_samples").count() == 2
 
 
 def test_equal_rejects_of_different_messages_are_each_reported(spark):
     base = work_dir(spark, "rejects")
     schema = "topic string, payload string, seq long"
     batches = [[("t", "", 1), ("t", "", 2), ("t", None, 3), ("t", "x", None)], [("t", "", 4), ("t", None, 5), ("t", "x", None), ("t", "", None)]]
-    for rows in [batches[0], batches[0], batches[1], batches[1]]:    # each with a retry
-        SI.store_messages(spark.createDataFrame(rows, schema), base, "inverter")
+    for number in (0, 0, 1, 1):    # each with a retry
+        SI.store_messages(spark.createDataFrame(batches[number], schema), base, "inverter", "q", number)
     found = [(r.payload, r.seq) for r in T.read_table(spark, base, "message_rejects").collect()]
-    assert sorted(found, key=str) == sorted([("", 1), ("", 2), (None, 3), ("x", None), ("", 4), (None, 5), ("", None)], key=str)
+    assert sorted(found, key=str) == sorted([("", 1), ("", 2), (None, 3), ("x", None), ("", 4), (None, 5), ("x", None), ("", None)], key=str)
 
 
 def test_device_state_survives_batches(spark):
