@@ -127,8 +127,7 @@ def store_device_messages(batch: DataFrame, store: str, source: str | None = Non
     spark = batch.sparkSession
     batch = batch.withColumn("ts", _arrival(batch)).persist()
     try:
-        mine = F.coalesce(split_topic(batch)["suffix"].isin("device", "events", "availability"), F.lit(False))
-        messages = split_topic(batch).where(mine).select(*batch.columns)
+        messages = split_topic(batch).where(F.col("suffix").isin("device", "events", "availability")).select(*batch.columns)
         rejects, devices = [_rejects(rejected_messages(messages))], {}
         for kind in ("inverter", "meter"):
             seen = parse_messages(messages, kind, "device").where(~F.col("malformed")).drop("malformed", "topic")

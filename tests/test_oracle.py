@@ -5,6 +5,7 @@ import pytest
 
 import check
 from sunledger.plans.oracle import ORACLE
+from sunledger.plans import store_oracle, store_queries  # noqa: F401  they register more
 from sunledger.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
