@@ -1,48 +1,98 @@
 """Ordered per-key operators that do not put a whole key into one task.
 
 A message topic or a device can hold a third of all rows, so a window over the
-key alone is unsafe.  Rows are cut into chunks of consecutive sequence numbers;
-windows run per (key, chunk), and what a chunk inherits from earlier ones comes
-from a small per-chunk summary.  A chunk has about ``chunk_rows`` rows of an
-evenly spaced sequence.
+key alone is unsafe.  The rows of a key that has more than ``chunk_rows`` are
+cut into chunks at quantiles of their sequence numbers, so outliers and bursts
+do not matter; windows run per (key, chunk).  A chunk ends at a number that
+rows have, so the row before the next chunk is known by its number and is sent
+there too, as a guest.  The quantiles come from a sketch; a key has at most
+``MOST_CHUNKS`` chunks, beyond that they grow.  Rows of one number stay
+together.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 CHUNK_ROWS = 1_000_000
+MOST_CHUNKS = 1024
+SKETCH = 8192           # rank error of about 0.03 %
+BROADCAST_BOUNDS = 1_000_000    # numbers, 8 MB
 FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
 
 
-def _chunked(df: DataFrame, keys: list[str], order: str, value: Column, chunk_rows: int) -> tuple[DataFrame, list[str]]:
-    """Add ``_chunk``, ``_v`` = struct(value) or NULL, and ``_carry``: the last ``_v`` of earlier chunks.
+def _number(df: DataFrame, order: str) -> Column:
+    """The order column as a long that sorts alike."""
+    instant = isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType))
+    return F.unix_micros(F.col(order).cast("timestamp")) if instant else F.col(order).cast("long")
+
+
+def _same(keys: list[str], other: str) -> Column:
+    return reduce(and_, (F.col(k).eqNullSafe(F.col(f"{other}{i}")) for i, k in enumerate(keys)))
+
 
-    Sequence numbers may be sparse (instants, say): a key's range is cut into as many chunks as its rows need.  Only longs
-    are aggregated, so both aggregations are hash-based; the tails themselves are fetched by a join.
+def chunk_bounds(df: DataFrame, keys: list[str], order: str, chunk_rows: int) -> DataFrame | None:
+    """(_key0 .., _bounds) of the keys with more than ``chunk_rows`` rows: ascending numbers, each the last of its chunk.
+
+    None if there is no such key.  There are at most rows / chunk_rows such keys and twice as many numbers; only these come to
+    the driver.
     """
-    parts = [*keys, "_chunk"]
-    span = df.groupBy(*keys).agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.count(F.lit(1)).alias("_rows"))
-    span = span.select(*keys, "_low", F.greatest(F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(
-        F.col("_rows") / F.lit(chunk_rows)))).alias("_width"))
-    df = df.join(span, keys, "left").withColumns({
-        "_chunk": F.floor((F.col(order) - F.col("_low")) / F.col("_width")), "_v": value}).drop("_low", "_width")
-    valued = df.where(F.col("_v").isNotNull()).select(*parts, F.col(order).alias("_at"), "_v")
-    last = valued.groupBy(*parts).agg(F.max("_at").alias("_at"))
-    first = Window.partitionBy(*parts).orderBy(F.xxhash64("_v"))  # equal sequence numbers
-    tails = valued.join(last, [*parts, "_at"], "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
-    # Every chunk needs a carry, those without a value too.
-    chunks = df.select(*parts).distinct().join(tails.select(*parts, "_v"), parts, "left")
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carries = chunks.select(*parts, F.last("_v", ignorenulls=True).over(before).alias("_carry"))
-    return df.join(carries, parts, "left"), parts
+    spark, narrow = df.sparkSession, df.select(*keys, _number(df, order).alias("_at"))
+    hot = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_rows).collect()
+    if not hot:
+        return None
+    names = [f"_key{i}" for i in range(len(keys))]
+    kinds = T.StructType([T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)])
+    known = _small(spark.createDataFrame([(*(r[k] for k in keys), r["_n"]) for r in hot], T.StructType([*kinds, T.StructField("_n", T.LongType())])), len(hot))
+    grid = min(MOST_CHUNKS, 4 * math.ceil(max(r["_n"] for r in hot) / chunk_rows))
+    sketched = narrow.join(known, _same(keys, "_key")).groupBy(*names, "_n").agg(F.kll_sketch_agg_bigint("_at", F.lit(SKETCH)).alias("_s"))
+    quantiles = F.kll_sketch_get_quantile_bigint("_s", F.array(*(F.lit(i / grid) for i in range(1, grid + 1))))
+    chunks = F.least(F.lit(grid), F.ceil(F.col("_n") / F.lit(chunk_rows))).cast("int")
+    ends = F.transform(F.sequence(F.lit(1), chunks - 1), lambda j: F.element_at("_q", F.ceil(j * grid / F.col("_c")).cast("int")))
+    rows = sketched.withColumn("_q", quantiles).withColumn("_c", chunks).where("_c > 1").select(
+        *names, F.array_sort(F.array_distinct(ends)).alias("_bounds")).collect()
+    return _small(spark.createDataFrame(rows, T.StructType([*kinds, T.StructField("_bounds", T.ArrayType(T.LongType()))])),
+                  sum(len(r["_bounds"]) for r in rows))
+
+
+def _small(df: DataFrame, size: int) -> DataFrame:
+    """A broadcast where the counted size allows it."""
+    return F.broadcast(df) if size <= BROADCAST_BOUNDS else df
+
+
+def _in_chunk(number: Column) -> Column:
+    """How many bounds are below a number: its chunk, by halving."""
+    steps = F.array(*(F.lit(MOST_CHUNKS >> i) for i in range(MOST_CHUNKS.bit_length())))
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(
+        F.get("_bounds", low + step - 1) < number, low + step).otherwise(low))
+
+
+def _chunked(df: DataFrame, keys: list[str], order: str, bounds: DataFrame) -> DataFrame:
+    """Add ``_chunk`` and ``_last``: whether a row has the last number of its chunk."""
+    number = _number(df, order)
+    placed = df.join(bounds, _same(keys, "_key"), "left").drop(*(f"_key{i}" for i in range(len(keys))))
+    chunk = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(_in_chunk(number))
+    placed = placed.withColumn("_chunk", chunk)
+    return placed.withColumn("_last", F.coalesce(F.get("_bounds", F.col("_chunk")) == number, F.lit(False))).drop("_bounds")
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, cols: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``_previous``: struct of ``cols`` of the row before, NULL on a key's first row."""
-    chunked, parts = _chunked(df, keys, order, F.struct(*cols), chunk_rows)
-    w = Window.partitionBy(*parts).orderBy(order)
-    return chunked.withColumn("_previous", F.coalesce(F.lag("_v").over(w), "_carry")).drop("_chunk", "_v", "_carry")
+    bounds, value = chunk_bounds(df, keys, order, chunk_rows), F.struct(*cols)
+    # Rows of one number have one order, whichever chunk they are looked at from.
+    by = [F.col(order), F.xxhash64(value)]
+    if bounds is None:
+        return df.withColumn("_previous", F.lag(value).over(Window.partitionBy(*keys).orderBy(*by)))
+    here = F.struct(F.col("_chunk").alias("chunk"), F.lit(False).alias("guest"))
+    ahead = F.struct((F.col("_chunk") + 1).alias("chunk"), F.lit(True).alias("guest"))
+    sent = _chunked(df, keys, order, bounds).select(
+        *df.columns, F.explode(F.when(F.col("_last"), F.array(here, ahead)).otherwise(F.array(here))).alias("_to"))
+    w = Window.partitionBy(*keys, "_to.chunk").orderBy(*by)
+    return sent.withColumn("_previous", F.lag(value).over(w)).where("NOT _to.guest").drop("_to")
 
 
 def suppress_repeats(messages: DataFrame, keys: list[str] | None = None, order: str = "seq",
@@ -67,19 +117,34 @@ def device_asof(readings: DataFrame, descriptors: DataFrame, keys: list[str], or
     """Attach the latest descriptor at or before each reading as ``descriptor``.
 
     It is NULL on readings that precede every descriptor of their device: the
-    caller drops and reports them.
+    caller drops and reports them.  A chunk's guests are the descriptor that was
+    last before it, so only descriptors are looked up again.
     """
+    known = descriptors.select(*keys, order, F.struct(*cols).alias("_d"))
     both = readings.withColumn("_d", F.lit(None)).withColumn("_reading", F.lit(True)).unionByName(
-        descriptors.select(*keys, order, F.struct(*cols).alias("_d")).withColumn("_reading", F.lit(False)),
-        allowMissingColumns=True,
-    )
-    chunked, parts = _chunked(both, keys, order, F.col("_d"), chunk_rows)
-    # A descriptor with the sequence number of a reading counts as seen before it.
-    w = Window.partitionBy(*parts).orderBy(order, "_reading").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        chunked.withColumn("descriptor", F.coalesce(F.last("_v", ignorenulls=True).over(w), "_carry"))
-        .where("_reading").drop("_chunk", "_v", "_carry", "_d", "_reading")
-    )
+        known.withColumn("_reading", F.lit(False)), allowMissingColumns=True)
+    bounds, parts = chunk_bounds(both, keys, order, chunk_rows), list(keys)
+    if bounds is not None:
+        both = _chunked(both, keys, order, bounds).drop("_last")
+        parts = [*keys, "_chunk"]
+        both = both.unionByName(_carried(known, keys, order, bounds).withColumn("_reading", F.lit(False)), allowMissingColumns=True)
+    # A descriptor with the sequence number of a reading counts as seen before it; a carried one before all.
+    w = Window.partitionBy(*parts).orderBy(F.col(order).asc_nulls_first(), "_reading", F.xxhash64("_d")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("descriptor", F.last("_d", ignorenulls=True).over(w)).where("_reading").drop("_chunk", "_d", "_reading")
+
+
+def _carried(known: DataFrame, keys: list[str], order: str, bounds: DataFrame) -> DataFrame:
+    """(keys, _chunk, _d): the last descriptor before each chunk but the first; one row a chunk."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    placed = _chunked(known.join(bounds, _same(keys, "_key"), "left_semi"), keys, order, bounds)
+    newest = Window.partitionBy(*keys, "_chunk").orderBy(F.col(order).desc(), F.xxhash64("_d").desc())
+    tails = placed.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").select(
+        *(F.col(k).alias(f"_tail{i}") for i, k in enumerate(keys)), F.col("_chunk").alias("_of"), "_d")
+    chunks = bounds.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), F.explode(F.sequence(F.lit(0), F.size("_bounds"))).alias("_chunk"))
+    told = chunks.join(tails, _same(keys, "_tail") & (F.col("_of") == F.col("_chunk")), "left")
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = told.select(*keys, "_chunk", F.last("_d", ignorenulls=True).over(before).alias("_d"))
+    return carried.where(F.col("_d").isNotNull())
 
 
 def first_wins(readings: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
