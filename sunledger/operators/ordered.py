@@ -16,7 +16,9 @@ import math
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHUNK_ROWS = 1_000_000
 MOST_CHUNKS = 1024
@@ -47,7 +49,7 @@ def chunk_bounds(df: DataFrame, keys: list[str], order: str, chunk_rows: int) ->
         return None
     names = [f"_key{i}" for i in range(len(keys))]
     kinds = T.StructType([T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)])
-    known = _small(spark.createDataFrame([(*(r[k] for k in keys), r["_n"]) for r in hot], T.StructType([*kinds, T.StructField("_n", T.LongType())])), len(hot))
+    known = _small(spark, [(*(r[k] for k in keys), r["_n"]) for r in hot], T.StructType([*kinds, T.StructField("_n", T.LongType())]), len(hot))
     grid = min(MOST_CHUNKS, 4 * math.ceil(max(r["_n"] for r in hot) / chunk_rows))
     sketched = narrow.join(known, _same(keys, "_key")).groupBy(*names, "_n").agg(F.kll_sketch_agg_bigint("_at", F.lit(SKETCH)).alias("_s"))
     quantiles = F.kll_sketch_get_quantile_bigint("_s", F.array(*(F.lit(i / grid) for i in range(1, grid + 1))))
@@ -55,12 +57,14 @@ def chunk_bounds(df: DataFrame, keys: list[str], order: str, chunk_rows: int) ->
     ends = F.transform(F.sequence(F.lit(1), chunks - 1), lambda j: F.element_at("_q", F.ceil(j * grid / F.col("_c")).cast("int")))
     rows = sketched.withColumn("_q", quantiles).withColumn("_c", chunks).where("_c > 1").select(
         *names, F.array_sort(F.array_distinct(ends)).alias("_bounds")).collect()
-    return _small(spark.createDataFrame(rows, T.StructType([*kinds, T.StructField("_bounds", T.ArrayType(T.LongType()))])),
+    return _small(spark, rows, T.StructType([*kinds, T.StructField("_bounds", T.ArrayType(T.LongType()))]),
                   sum(len(r["_bounds"]) for r in rows))
 
 
-def _small(df: DataFrame, size: int) -> DataFrame:
-    """A broadcast where the counted size allows it."""
+def _small(spark: SparkSession, rows: list, schema: T.StructType, size: int) -> DataFrame:
+    """Rows of the driver as a local relation; a broadcast where the counted size allows it."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    df = spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema))], to_arrow_schema(schema)))
     return F.broadcast(df) if size <= BROADCAST_BOUNDS else df
 
 
