@@ -121,3 +121,10 @@ UNION ALL SELECT 'inverter_phase_samples', {_date('d', 'day')}, CAST(sum(np) AS
 UNION ALL SELECT 'inverter_input_samples', {_date('d', 'day')}, CAST(sum(ni) AS BIGINT), CAST(sum(ni * (ni + 1) // 2) AS BIGINT) FROM di GROUP BY d
 UNION ALL SELECT 'meter_phase_samples', {_date('d', 'day')}, CAST(sum(np) AS BIGINT), CAST(sum(np * (np + 1) // 2) AS BIGINT) FROM dm GROUP BY d""",
 }
+
+ORACLE["stream_device_waiting"] = _with(_READINGS) + """SELECT r.site_id, r.device_name, r.seq, r.value,
+  CASE WHEN d.seq IS NULL THEN 'waits' ELSE concat('SN', d.user_id % 3) END AS serial_number
+FROM (SELECT * FROM rd WHERE event_type <> 'signup') r ASOF LEFT JOIN (SELECT * FROM rd WHERE event_type = 'signup') d
+ON r.site_id = d.site_id AND r.device_name = d.device_name AND r.seq >= d.seq"""
+ORACLE["power_realtime"] = ORACLE["power_5min"]
+ORACLE["power_refresh_late"] = ORACLE["power_30sec"]

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sunledger import KEY
 from sunledger.functions.electrical import Grid
-from sunledger.operators import fanout
+from sunledger.operators import fanout, power
+from sunledger.plans import realtime
 from sunledger.plans.queries import _drain, _messages, _rounded, _store, query
 from sunledger.session import work_dir
-from sunledger.sources import dimensions, driver_tables as A, messages as M, store as S, tables
-from sunledger.streaming import ingest as SI
+from sunledger.sources import batches, dimensions, driver_tables as A, messages as M, store as S, tables
+from sunledger.streaming import device_state as SD, ingest as SI
 
 MESSAGE = "topic string, payload string, seq long, ts timestamp"
 
@@ -181,6 +182,26 @@ def meter_reading_pipeline(spark, sf_dir):
     return _meter_rows(spark, base)
 
 
+# --- readings ahead of their descriptor ---------------------------------------------------------
+
+@query("stream_device_waiting")
+def stream_device_waiting(spark, sf_dir):
+    """Every reading with its descriptor; those of the first half come a batch late, so its readings wait for them."""
+    base = work_dir(spark, "waiting")
+    rows = A.readings(spark, sf_dir).select(
+        *KEY, "seq", "value", (F.col("event_type") == "signup").alias("is_device"), F.concat(F.lit("SN"), F.col("user_id") % 3).alias("serial_number"))
+    half = rows.agg(F.floor((F.min("seq") + F.max("seq")) / 2)).first()[0]
+    ahead = ~F.col("is_device") & (F.col("seq") <= half)
+    for part in (ahead, ~ahead):
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        _drain(SD.start_device_state(stream, f"{base}/out", f"{base}/checkpoint", ["serial_number"], available_now=True, chunk_rows=1000))
+    found = spark.read.parquet(f"{base}/out/readings").select(*KEY, "seq", "value", "descriptor.serial_number")
+    last = max(SD.list_versions(spark, f"{base}/out/waiting"))
+    return found.unionByName(spark.read.parquet(f"{base}/out/waiting/version={last}").select(
+        *KEY, "seq", "value", F.lit("waits").alias("serial_number")))
+
+
 # --- roster and sites ----------------------------------------------------------------------
 
 EARLIER, LATER = dt.datetime(2024, 3, 1, 6), dt.datetime(2024, 3, 2, 6, 30)
@@ -212,6 +233,45 @@ def site_store_sync(spark, sf_dir):
     return tables.read_dims(spark, store)[1]
 
 
+# --- power that is always up to date ----------------------------------------------------------
+
+def _realtime_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store refreshed up to 19 January that then got the rest of its samples, a tenth of them late."""
+    store, late = work_dir(spark, "realtime"), F.col("seq") % 10 == 3
+    early = (F.col("time") < dt.datetime(2024, 1, 20, 3)) & ~late
+    both = {"inverter": A.inverter_samples(spark, sf_dir), "meter": A.meter_samples(spark, sf_dir)}
+    for kind, df in both.items():
+        S.append_days(df.where(early), f"{store}/{kind}_samples")
+    for table in realtime.WIDTHS:
+        realtime.refresh_power_range(spark, store, table, dt.datetime(2024, 1, 19, 12, 3, 20), dt.timedelta(days=400), dt.timedelta(minutes=10))
+
+    def rest() -> dict[str, DataFrame]:
+        rows = {kind: df.where(~early) for kind, df in both.items()}
+        noted = [realtime.late_buckets(spark, store, power.power_rows(df, kind)) for kind, df in rows.items()]
+        return {"power_late": noted[0].unionByName(noted[1]), **{f"{kind}_samples": df for kind, df in rows.items()}}
+
+    batches.commit_batch(spark, store, "late", 0, rest)
+    return store
+
+
+SPAN = dt.datetime(2023, 1, 1), dt.datetime(2025, 1, 1)
+
+
+@query("power_realtime")
+def power_realtime(spark, sf_dir):
+    """Stored buckets, late ones and those past the refreshed end, from one view."""
+    return realtime.power_realtime(spark, _realtime_store(spark, sf_dir), "power_5min", *SPAN)
+
+
+@query("power_refresh_late")
+def power_refresh_late(spark, sf_dir):
+    """Half-minute buckets that are stored after the late ones were made anew and the range was refreshed to its end."""
+    store = _realtime_store(spark, sf_dir)
+    realtime.refresh_late(spark, store)
+    realtime.refresh_power_range(spark, store, "power_30sec", dt.datetime(2024, 6, 1), dt.timedelta(days=140), dt.timedelta(0))
+    return tables.read_table(spark, store, "power_30sec").drop("day")
+
+
 # --- lifecycle ---------------------------------------------------------------------------------
 
 @query("compaction_store")

@@ -109,12 +109,16 @@ TABLES = {
     "inverter_events": INVERTER_EVENTS,
     "availability": AVAILABILITY,
     "message_rejects": MESSAGE_REJECTS,
+    # Five-minute buckets that got samples after they had been refreshed, in the day of arrival.
+    "power_late": _struct("kind:string bucket:ts day:date"),
+    # Up to where each power table is refreshed.
+    "power_progress": _struct("name:string until:ts", keyed=False),
     # The last accepted snapshot of each device, which the next one is compared with.
     "last_events": T.StructType([f for f in INVERTER_EVENTS if f.name != "day"]),
     "last_availability": T.StructType([f for f in AVAILABILITY if f.name != "day"]),
 }
 # Tables without days: written as numbered snapshots.
-DIMENSIONS = ["inverter_device", "meter_device", "device_registry", "site", "last_events", "last_availability"]
+DIMENSIONS = ["inverter_device", "meter_device", "device_registry", "site", "last_events", "last_availability", "power_progress"]
 
 # JSON payloads, keyed by (kind, suffix).
 _PHASE_INVERTER = "array<struct<id:int,ac_voltage:double,ac_current:double>>"

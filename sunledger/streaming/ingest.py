@@ -20,7 +20,9 @@ from sunledger.functions.numeric import apparent_energy, current_total, reactive
 from sunledger.operators import fanout
 from sunledger.operators.devices import device_upsert, meter_identity_nulls
 from sunledger.operators.ordered import change_gate, first_wins, latest
+from sunledger.operators.power import power_rows
 from sunledger.operators.validation import rejected_rows, rule_sets, valid_rows
+from sunledger.plans.realtime import late_buckets
 from sunledger.schemas import TABLES
 from sunledger.sources.batches import commit_batch, source_of
 from sunledger.sources.dimensions import keep_latest, write_dimension
@@ -65,7 +67,11 @@ def _fanned_out(batch: DataFrame, store: str, kind: str, rejects: list[DataFrame
         tables["inverter_input_samples"], bad = _checked(fanout.explode_inputs(fresh, count=None, hybrid=None, scale=False), "input_samples")
         rejects.append(bad)
     rows = fanout.inverter_rows if kind == "inverter" else fanout.meter_rows
-    return {**tables, "message_rejects": reduce(DataFrame.unionByName, rejects), f"{kind}_samples": rows(fresh, scale=False)}
+    samples = rows(fresh, scale=False)
+    late = late_buckets(batch.sparkSession, store, power_rows(samples, kind))
+    if late is not None:
+        tables["power_late"] = late
+    return {**tables, "message_rejects": reduce(DataFrame.unionByName, rejects), f"{kind}_samples": samples}
 
 
 def store_readings(batch: DataFrame, store: str, kind: str, source: str | None = None, number: int = 0,

@@ -172,6 +172,28 @@ def test_device_state_survives_batches(spark):
     assert {r.seq: r.descriptor.fw for r in spark.read.parquet(f"{base}/readings").collect()} == readings
 
 
+def test_a_late_descriptor_keeps_its_readings(spark):
+    base, schema = work_dir(spark, "waiting"), "site_id string, device_name string, seq long, value double, is_device boolean, fw string"
+
+    def row(seq, device, fw=None):
+        return ("S", device, seq, float(seq), fw is not None, fw)
+
+    batches = [[row(1, "a"), row(5, "a"), row(6, "b")], [row(3, "a", "v1"), row(7, "a")], [row(8, "b", "late")], [row(9, "b")], [row(10, "c")], []]
+    for number, rows in enumerate(batches):
+        for _ in range(2):      # each batch is repeated
+            SD.process_batch(spark.createDataFrame(rows, schema), number, base, ["fw"], 2)
+    readings = {r.seq: r.descriptor.fw for r in spark.read.parquet(f"{base}/readings").collect()}
+    assert readings == {5: "v1", 7: "v1", 9: "late"}    # 1 and 6 are older than any descriptor
+    dropped = {(r.seq, r.reason) for r in spark.read.parquet(f"{base}/dropped").collect()}
+    assert dropped == {(1, SD.NO_DESCRIPTOR), (6, SD.NO_DESCRIPTOR)}
+    assert [r.seq for r in spark.read.parquet(f"{base}/waiting/version=5").collect()] == [10]
+
+
+def test_two_runs_never_share_a_number(spark):
+    base = work_dir(spark, "runs")
+    assert [SD.run_of(spark, base, f"{base}/cp{i}") for i in (0, 1, 0, 2, 1)] == [0, 1, 0, 2, 1]
+
+
 def test_duplicates_on_a_stream(spark):
     base = work_dir(spark, "dedup")
     schema = "site_id string, device_name string, time timestamp, seq long"
