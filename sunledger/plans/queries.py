@@ -57,10 +57,20 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
-def _spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _spine(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> DataFrame:
     """Every device on every local day between its site's first and last reading."""
-    spans = reports.data_span(A.readings(spark, sf_dir), TZ, ["site_id"])
-    return TU.day_spine_from_span(A.registry(spark, sf_dir).select(*KEY, "kind"), spans)
+    if seen is None:
+        spans = reports.data_span(A.readings(spark, sf_dir), TZ, ["site_id"])
+    else:
+        spans = seen.groupBy("site_id").agg(TU.local_day(F.min("t0"), TZ).alias("first_day"), TU.local_day(F.max("t1"), TZ).alias("last_day"))
+    return TU.day_spine_from_span(A.registry(spark, sf_dir, seen).select(*KEY, "kind"), spans)
+
+
+def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A small frame that several branches of a plan use, made once."""
+    at = work_dir(spark, name)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def _inverter_days(spark: SparkSession, sf_dir: str, limits=rollup.Thresholds()) -> DataFrame:
@@ -94,9 +104,10 @@ def inverter_daily_hourly(spark, sf_dir):
 
 
 def _rollup(spark: SparkSession, sf_dir: str, limits=rollup.Thresholds()) -> DataFrame:
+    seen = _written(spark, A.seen_devices(spark, sf_dir), "devices")
     return rollup.compute_site_rollup(
-        A.inverter_samples(spark, sf_dir), A.meter_samples(spark, sf_dir), A.registry(spark, sf_dir),
-        A.sites(spark, sf_dir), _spine(spark, sf_dir), TZ, limits, work_dir(spark, "rollup"))["site_energy"]
+        A.inverter_samples(spark, sf_dir), A.meter_samples(spark, sf_dir), A.registry(spark, sf_dir, seen),
+        A.sites(spark, sf_dir, seen), _written(spark, _spine(spark, sf_dir, seen), "spine"), TZ, limits, work_dir(spark, "rollup"))["site_energy"]
 
 
 SITE_FIGURES = ["production_kwh", "consumption_kwh", "self_consumption_kwh", "from_grid_kwh", "to_grid_kwh"]

@@ -100,9 +100,14 @@ def power_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings(spark, sf_dir).select(*KEY, "kind", "time", "power")
 
 
-def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seen_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every device with its first and last reading: what roster, sites and spine need of the readings."""
+    return readings(spark, sf_dir).groupBy(*KEY, "kind").agg(F.min("time").alias("t0"), F.max("time").alias("t1"))
+
+
+def registry(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> DataFrame:
     """The roster: S0 is metered at the feed-in point, S1 in the consumption path."""
-    devices = readings(spark, sf_dir).select(*KEY, "kind").distinct()
+    devices = (readings(spark, sf_dir) if seen is None else seen).select(*KEY, "kind").distinct()
     grid, heatpump = F.col("device_name") == "grid", F.col("device_name") == "heatpump"
     return devices.withColumns({
         "location": F.when(grid & (F.col("site_id") == "S0"), "feed-in").when(grid | heatpump, "consumption"),
@@ -110,10 +115,10 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sites(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> DataFrame:
     """S0 has coordinates, S1 has none."""
     first = F.col("site_id") == "S0"
-    return readings(spark, sf_dir).select("site_id").distinct().withColumns({
+    return (readings(spark, sf_dir) if seen is None else seen).select("site_id").distinct().withColumns({
         "latitude": F.when(first, F.lit(49.07)),
         "longitude": F.when(first, F.lit(9.15)),
         "horizon_deg": F.lit(-0.833),

@@ -9,8 +9,9 @@ from sunledger.plans import store_oracle, store_queries  # noqa: F401  they regi
 from sunledger.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-# Views of the same rollup; check.py covers them too.
-SAME_ROLLUP = {"site_rollup_hourly", "site_ratios", "completeness_stats", "site_report", "continuity", "quality_and"}
+# Views of the same rollup or the same filled store; check.py covers them too.
+SAME_ROLLUP = {"site_rollup_hourly", "site_ratios", "completeness_stats", "site_report", "continuity", "quality_and",
+               "stream_device_events", "stream_availability"}
 
 
 @pytest.fixture(scope="module")
