@@ -91,12 +91,12 @@ def with_previous(df: DataFrame, keys: list[str], order: str, cols: list[str], c
     by = [F.col(order), F.xxhash64(value)]
     if bounds is None:
         return df.withColumn("_previous", F.lag(value).over(Window.partitionBy(*keys).orderBy(*by)))
-    here = F.struct(F.col("_chunk").alias("chunk"), F.lit(False).alias("guest"))
-    ahead = F.struct((F.col("_chunk") + 1).alias("chunk"), F.lit(True).alias("guest"))
+    here = F.struct(F.col("_chunk").alias("_chunk"), F.lit(False).alias("_guest"))
+    ahead = F.struct((F.col("_chunk") + 1).alias("_chunk"), F.lit(True).alias("_guest"))
     sent = _chunked(df, keys, order, bounds).select(
-        *df.columns, F.explode(F.when(F.col("_last"), F.array(here, ahead)).otherwise(F.array(here))).alias("_to"))
-    w = Window.partitionBy(*keys, "_to.chunk").orderBy(*by)
-    return sent.withColumn("_previous", F.lag(value).over(w)).where("NOT _to.guest").drop("_to")
+        *df.columns, F.inline(F.when(F.col("_last"), F.array(here, ahead)).otherwise(F.array(here))))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*by)
+    return sent.withColumn("_previous", F.lag(value).over(w)).where("NOT _guest").drop("_chunk", "_guest")
 
 
 def suppress_repeats(messages: DataFrame, keys: list[str] | None = None, order: str = "seq",
