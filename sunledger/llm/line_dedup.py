@@ -53,10 +53,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     n, words = F.col("_n"), F.col("words")
 
     def first(half: Column) -> Column:
-        return F.xxhash64(half, F.array_join(F.slice(words, F.lit(1), half), " "))
+        return F.xxhash64(half, F.slice(words, F.lit(1), half))
 
     def last(half: Column) -> Column:
-        return F.xxhash64(F.array_join(F.slice(words, n - half + 1, half), " "), half)
+        return F.xxhash64(F.slice(words, n - half + 1, half), half)
 
     near, more = n >= NEAR_WORDS, (n >= NEAR_WORDS) & (_half(n) != _half(n - 1))
     return lines.select(
@@ -65,12 +65,17 @@ def _lines(docs: DataFrame) -> DataFrame:
         F.when(more, first(_half(n))).alias("f1"), F.when(more, last(_half(n))).alias("l1"))
 
 
+def _written(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written below spark.checkpoint.dir and read again, so that what follows is planned without their making."""
+    at = work_dir(rows.sparkSession, label)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.parquet(at)
+
+
 def _distinct(lines: DataFrame) -> DataFrame:
     """Different lines, with their earliest place ``first`` and number of ``copies``; written once below spark.checkpoint.dir."""
-    at = work_dir(lines.sparkSession, "lines")
-    lines.groupBy("_h1", "_h2", "_n", "f0", "l0", "f1", "l1").agg(
-        F.min(F.struct("_id", "_hash", "_no")).alias("first"), F.count("*").alias("copies")).write.parquet(at)
-    return lines.sparkSession.read.parquet(at)
+    return _written(lines.groupBy("_h1", "_h2", "_n", "f0", "l0", "f1", "l1").agg(
+        F.min(F.struct("_id", "_hash", "_no")).alias("first"), F.count("*").alias("copies")), "lines")
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -93,22 +98,36 @@ def _spans(lines: DataFrame) -> DataFrame:
     """Of lines (first, words) those that agree with a different line but for one of ``BLOCKS`` blocks of words; ``spans``:
     where their edit can be. Blocks are those of the smaller count of words, so each line takes its own count and one less."""
     words, n = F.col("words"), F.size("words")
-    blocks = []
-    for m in (n, n - 1):
-        for g in range(BLOCKS):
-            low, high = F.floor(m * g / BLOCKS).cast("int"), (m - F.floor(m * (g + 1) / BLOCKS)).cast("int")
-            blocks.append(F.struct(
-                F.xxhash64(F.lit(g), m, F.array_join(F.slice(words, F.lit(1), low), " "),
-                           F.array_join(F.slice(words, n - high + 1, high), " ")).alias("key"),
-                low.alias("low"), (n - high).alias("end")))
+
+    def cut(m: Column, k: int) -> Column:
+        return (m * k / BLOCKS).cast("int")
+
+    def hashed(m: Column, k: int, shift: int) -> Column:
+        return F.xxhash64(F.slice(words, cut(m, k) + 1 + shift, cut(m, k + 1) - cut(m, k)))
+
+    # Each block is hashed once; a key puts the hashes of the other blocks together. With one word less, the blocks behind the
+    # edit lie one word further on.
+    parts = [hashed(n, k, 0).alias(f"own{k}") for k in range(BLOCKS)]
+    parts += [hashed(n - 1, k, 0).alias(f"before{k}") for k in range(BLOCKS - 1)]
+    parts += [hashed(n - 1, k, 1).alias(f"after{k}") for k in range(1, BLOCKS)]
+    blocks, m = [], F.col("n")
+    for g in range(BLOCKS):
+        ahead, behind = range(g), range(g + 1, BLOCKS)
+        blocks.append(F.struct(
+            F.xxhash64(F.lit(g), m, *(f"own{k}" for k in (*ahead, *behind))).alias("key"),
+            cut(m, g).alias("low"), cut(m, g + 1).alias("end")))
+        blocks.append(F.struct(
+            F.xxhash64(F.lit(g), m - 1, *(f"before{k}" for k in ahead), *(f"after{k}" for k in behind)).alias("key"),
+            cut(m - 1, g).alias("low"), (cut(m - 1, g + 1) + 1).alias("end")))
+    lines = lines.select("first", n.alias("n"), *parts)
     rows = lines.select("first", F.explode(F.array(*blocks)).alias("x")).select("first", "x.*")
     return _shared(rows, "key").groupBy("first").agg(F.collect_set(F.struct("low", "end")).alias("spans"))
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """``first`` of the different lines that have an earlier line one word away. ``docs``: _id, _hash, text."""
-    wanted = _candidates(distinct).groupBy(F.col("first._id").alias("_id"), F.col("first._hash").alias("_hash")).agg(
-        F.collect_list(F.struct("first", F.col("first._no").alias("no"))).alias("wanted"))  # lines of one document
+    wanted = _written(_candidates(distinct).groupBy(F.col("first._id").alias("_id"), F.col("first._hash").alias("_hash")).agg(
+        F.collect_list(F.struct("first", F.col("first._no").alias("no"))).alias("wanted")), "wanted")  # lines of one document
     lines = docs.join(wanted, ["_id", "_hash"]).select(
         F.split("text", "\n").alias("all"), F.explode("wanted").alias("x")).select(
         F.col("x.first").alias("first"), words_of(F.get("all", "x.no")).alias("words"))
@@ -159,9 +178,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` rid of repeated lines, plus _n_lines (long), _n_exact, _n_near: lines removed.
 
     Lines without a word stay. A null text stays null and has no lines. Rows of null doc_id sort first. Rows of one doc_id
-    and different texts are different documents, in order of a hash; rows equal in both are one document.
+    and different texts are different documents, in order of a hash; rows equal in both are one document. Extra columns may
+    have any names; those of the names of added columns are replaced. An empty table gives an empty result.
     """
-    keyed = docs.select(*_document(), *(c for c in docs.columns if c != "doc_id"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # Extra columns travel in a struct, where their names cannot meet those used here.
+    keyed = docs.select(*_document(), "text", *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row")] if rest else []))
+    docs, names, id_type = docs.select("doc_id", "text"), docs.columns, docs.schema["doc_id"].dataType
     lines = _lines(docs)
     distinct = _distinct(lines)
     near = near_lines(keyed.select("_id", "_hash", "text"), distinct).select("first", F.lit(True).alias("near"))
@@ -178,13 +201,15 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("_exact", i) & ~F.array_contains("_near", i)), "\n")
     # The id comes back from the key: texts are dealt once, for this join and that of near_lines.
     joined = keyed.join(gone, ["_id", "_hash"], "left").withColumns({
-        "doc_id": F.nullif(F.col("_id"), F.lit(NO_ID)).cast(docs.schema["doc_id"].dataType),
         "_exact": F.coalesce("_exact", none), "_near": F.coalesce("_near", none)})
-    return joined.withColumns({
+    made = {
+        "doc_id": F.nullif(F.col("_id"), F.lit(NO_ID)).cast(id_type),
+        "text": F.when(F.size("_exact") + F.size("_near") == 0, F.col("text")).otherwise(kept)}
+    added = {
         "_n_lines": F.coalesce(F.size(F.filter(split, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long"),
-        "_n_exact": F.size("_exact").cast("long"), "_n_near": F.size("_near").cast("long"),
-        "text": F.when(F.size("_exact") + F.size("_near") == 0, F.col("text")).otherwise(kept),
-    }).select(*docs.columns, "_n_lines", "_n_exact", "_n_near")
+        "_n_exact": F.size("_exact").cast("long"), "_n_near": F.size("_near").cast("long")}
+    out = [made.get(c, F.col("_row").getField(c) if c in rest else None).alias(c) for c in names if c.lower() not in added]
+    return joined.select(*out, *(x.alias(c) for c, x in added.items()))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

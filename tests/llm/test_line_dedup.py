@@ -53,9 +53,13 @@ def test_a_word_repeated_next_to_itself(documents):
 
 
 def test_odd_rows_and_columns(documents):
-    docs = documents(ODD).withColumnRenamed("source", "first").withColumnRenamed("n_chars", "words")
-    out = D.line_dedup(docs)
-    assert out.count() == len(ODD) and out.columns[:5] == docs.columns
-    texts = {(r.doc_id, r.text) for r in out.collect()}
-    assert (1, None) in texts and (2, "") in texts and (4, "same text twice\nin two rows") in texts
+    for names in (["first", "words", "lang"], ["_id", "_hash", "_near"], ["_row", "_no", "_n_lines"]):
+        docs = documents(ODD).toDF("doc_id", "text", *names)
+        out = D.line_dedup(docs)
+        kept = [c for c in docs.columns if c != "_n_lines"]
+        assert out.count() == len(ODD) and out.columns == [*kept, "_n_lines", "_n_exact", "_n_near"]
+        rows = out.collect()
+        texts = {(r.doc_id, r.text) for r in rows}
+        assert (1, None) in texts and (2, "") in texts and (4, "same text twice\nin two rows") in texts
+        assert {r[2] for r in rows if r.text} == {"en"}
     assert D.line_report(documents([])).count() == 0
