@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from ..session import work_dir
 from .vocab import FileOnWorkers
 
 SPLITS = 64         # parts of a length that are ranked independently
-CACHED = 500_000    # words whose ids a worker keeps
+CACHED = 250_000    # words after which a worker forgets those not seen since the last time
+SLICE = 1 << 20     # characters whose new words are encoded together
+TOGETHER = 100      # words in a call's text
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -78,59 +81,113 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     """``pieces`` (a column ``length``, 1 to ``capacity``) plus sequence_id and offset (long).
 
     ``order`` ranks the pieces of a length and must tell different pieces apart; equal rows may swap places. ``pieces`` is read
-    three times: give a written table. Empty input gives an empty result; lengths outside the range raise ValueError.
+    three times: give a written table. Empty input gives an empty result; lengths outside the range raise ValueError. Extra
+    columns may have any names; ``sequence_id`` and ``offset`` of the input are replaced.
     """
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
+    names = pieces.columns
+    short = {c: f"c{i}" for i, c in enumerate(names)}   # no name of the input can meet those used here
+    pieces = pieces.toDF(*short.values())
+    size, order = short["length"], [short[c] for c in order]
+    kept = [c for c in names if c.lower() not in ("sequence_id", "offset")]
+    keep = [short[c] for c in kept]
+    counts = {r[size]: r["count"] for r in pieces.groupBy(size).count().collect()}  # at most capacity rows
     if any(n is None or not 1 <= n <= capacity for n in counts):
         raise ValueError(f"piece lengths must be 1 to {capacity}")
     table = _places(bin_plan(counts, capacity))
     part = F.pmod(F.xxhash64(*order), F.lit(SPLITS)).cast("int")
     placed = pieces.withColumn("_part", part)
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("length", "_part").agg(F.count("*").alias("_n")).select(
-        "length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    row = F.row_number().over(Window.partitionBy("length", "_part").orderBy(*order)) - 1
-    ranked = placed.withColumn("_row", row).join(starts, ["length", "_part"]).withColumn(
+    before = Window.partitionBy(size).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(size, "_part").agg(F.count("*").alias("_n")).select(
+        size, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    row = F.row_number().over(Window.partitionBy(size, "_part").orderBy(*order)) - 1
+    ranked = placed.withColumn("_row", row).join(starts, [size, "_part"]).withColumn(
         "_rank", F.col("_start") + F.col("_row")).drop("_part", "_start", "_row")
-    keep = [c for c in ranked.columns if c != "_rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (table[:, 0] << 44) + table[:, 1]
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+            length = batch.column(size).to_numpy(zero_copy_only=False).astype(np.int64)
             rank = batch.column("_rank").to_numpy(zero_copy_only=False)
             at = table[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
             nth = rank - at[:, 1]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(at[:, 2] + nth // at[:, 3]),
-                 pa.array(at[:, 4] + nth % at[:, 3] * length)], names=[*keep, "sequence_id", "offset"])
+                 pa.array(at[:, 4] + nth % at[:, 3] * length)], names=[*kept, "sequence_id", "offset"])
 
-    schema = ranked.select(keep).schema.add("sequence_id", "long").add("offset", "long")
+    schema = ranked.select(keep).toDF(*kept).schema.add("sequence_id", "long").add("offset", "long")
     return ranked.mapInArrow(run, schema)
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space, so that words between spaces can be encoded one by one."""
+    """Ids of texts by a tokenizer that drops white space, so that words between spaces can be encoded one by one.
+
+    New words go to the tokenizer together, with one of its own marks (an added token) between them; words that could touch such a
+    mark, and all words if it has none, go alone. Words that came up lately are kept: once ``CACHED`` are new, the ones not seen
+    since the last time go.
+    """
 
     def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(content.decode("utf-8"))
+        marks = [(t.content, i) for i, t in sorted(self._tokenizer.get_added_tokens_decoder().items())
+                 if len(t.content) > 2 and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self._mark, self._mark_id = marks[-1] if marks else (None, None)
         self._words: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.split(" ")
-        # Not a set difference: that would walk through the whole cache for every text.
-        new = [w for w in set(words) if w not in self._words]
-        if new:
-            if len(self._words) + len(new) > CACHED:
-                self._words.clear()
-                new = list(set(words))
-            for word, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self._words[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self._words.__getitem__, words))
+        self._older: dict[str, bytes] = {}
+
+    def _alone(self, words: list[str]) -> None:
+        for word, e in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self._words[word] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        if self._mark is None:
+            return self._alone(words)
+        near = self._mark[:2]
+        self._alone([w for w in words if near in w])
+        words = [w for w in words if near not in w]
+        parts = [words[x:x + TOGETHER] for x in range(0, len(words), TOGETHER)]
+        joined = self._tokenizer.encode_batch_fast(list(map(self._mark.join, parts)), add_special_tokens=False)
+        for part, e in zip(parts, joined, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == self._mark_id)
+            if len(ends) != len(part) - 1:      # another added token took a part of a mark
+                self._alone(part)
+                continue
+            raw = ids.tobytes()
+            for word, x, y in zip(part, [0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)], strict=True):
+                self._words[word] = raw[x:y]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [text.split(" ") for text in texts]
+        if len(self._words) > CACHED:
+            self._words, self._older = {}, self._words
+        # Not a set difference: that would walk through the whole cache each time.
+        new = [w for w in set().union(*split) if w not in self._words]
+        unknown = []
+        for w in new:
+            if (ids := self._older.get(w)) is None:
+                unknown.append(w)
+            else:
+                self._words[w] = ids
+        if unknown:
+            self._learn(unknown)
+        return [b"".join(map(self._words.__getitem__, words)) for words in split]
+
+
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts (null: empty) in order, some ``SLICE`` characters at a time."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t.as_py() or "")
+        size += len(part[-1])
+        if size > SLICE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def token_pieces(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int, end_id: int,
@@ -144,8 +201,8 @@ def token_pieces(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity:
         encode, end = file.parsed(WordIds), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc, rows, cut = batch.column(0), [], []
-            for x, t in enumerate(batch.column(1)):
-                all_ids = encode(t.as_py() or "") + end
+            for x, text_ids in enumerate(chain.from_iterable(map(encode, _slices(batch.column(1))))):
+                all_ids = text_ids + end
                 for piece, start in enumerate(range(0, len(all_ids), 4 * capacity)):
                     part = all_ids[start:start + 4 * capacity]
                     rows.append((x, piece, start // 4, len(part) // 4, zlib.crc32(part)))

@@ -55,6 +55,36 @@ def test_every_piece_has_its_place(spark):
     assert len({r.sequence_id for r in out}) <= 1.05 * sum(r[2] for r in rows) / 10    # three threes leave one over
 
 
+def test_columns_of_any_name(spark):
+    names = ["doc_id", "length", "_part", "_rank", "_start", "offset"]
+    pieces = spark.createDataFrame([(i, 1 + i % 3, i, i, -i, -1) for i in range(30)], names)
+    out = P.pack(pieces, 6, ["doc_id"])
+    assert out.columns == ["doc_id", "length", "_part", "_rank", "_start", "sequence_id", "offset"]
+    rows = out.collect()
+    assert all((r["_part"], r["_rank"], r["_start"]) == (r.doc_id, r.doc_id, -r.doc_id) for r in rows)
+    check_sequences(rows, 6)
+    assert len({r.sequence_id for r in rows}) == 10
+
+
+def test_words_encoded_together_equal_words_alone(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(P, "CACHED", 20)
+    with open(path, "rb") as file:
+        ids = P.WordIds(file.read())
+    rng = random.Random(2)
+    words = ["<|endoftext|>", "a<|endoftext|>b", "<|", "<", "|>", "<|x", "", "\n", "e\u0301", "\u0301", "don't", "...", "x" * 300, "日本語"]
+    texts = [" ".join(rng.choice(words + [f"w{rng.randint(0, 99)}"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    tokenizer = Tokenizer.from_file(path)
+    for x in range(0, 60, 7):
+        want = [b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(w, add_special_tokens=False).ids) for w in texts[x:x + 7]]
+        assert ids(texts[x:x + 7]) == want
+    ids._mark = None
+    assert ids(texts[:7] + ["never seen"])[-1] == b"".join(
+        i.to_bytes(4, "little") for i in tokenizer.encode("never seen", add_special_tokens=False).ids)
+
+
 def test_bad_lengths_and_nothing(spark):
     schema = "doc_id long, length long"
     assert P.pack(spark.createDataFrame([], schema), 10, ["doc_id"]).count() == 0
