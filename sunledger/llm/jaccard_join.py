@@ -260,8 +260,9 @@ def join_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of least doc_id of each class, all columns. Of repeated rows one stays; texts without words stay."""
+    """The row of least doc_id of each class, all columns, whatever their names. Of repeated rows one stays; texts without words stay."""
     kept = jaccard_links(docs.select("doc_id", "text")).where("_id = class_id").select("_id", "_text").distinct()
-    keyed = docs.withColumns({"_k1": _row_key()[0], "_k2": _row_key()[1]})
+    key = _row_key()
+    keyed = docs.select(F.struct("*").alias("_row"), key[0].alias("_k1"), key[1].alias("_k2"))
     return keyed.join(kept, (F.col("_k1") == F.col("_id")) & (F.col("_k2") == F.col("_text")), "left_semi").dropDuplicates(
-        ["_k1", "_k2"]).drop("_k1", "_k2")
+        ["_k1", "_k2"]).select("_row.*")

@@ -404,8 +404,11 @@ def repeat_report(docs: DataFrame, length: int = 50) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text``; bytes of characters that were cut apart go as well.
 
-    Other columns stay. A null text stays null.
+    Other columns stay, whatever their names. A null text stays null. Repeated rows are treated alike; an empty table gives an
+    empty result.
     """
+    names = docs.columns
+    docs = docs.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)))
     schema = docs.schema
 
     def finish(frame: pd.DataFrame, block: Block, covered: np.ndarray) -> pd.DataFrame:
@@ -414,4 +417,4 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                        for t, (text, gone) in zip(frame["text"], _rows_of(block, covered), strict=True)]
         return out
 
-    return _remove(docs, length, finish, schema)
+    return _remove(docs, length, finish, schema).toDF(*names)

@@ -55,6 +55,8 @@ def test_odd_rows(documents):
     assert (4, 1) in out and (4, 0) in out and len(out) == len(ODD)
     assert J.join_report(documents([])).count() == 0
     assert J.one_of_each(documents(ODD)).count() == len(ODD) - 1     # the repeated row
+    named = documents(ODD).toDF("doc_id", "text", "_k1", "_id", "_text")
+    assert J.one_of_each(named).columns == named.columns and J.one_of_each(named).count() == len(ODD) - 1
 
 
 def test_banding_reaches_the_recall():

@@ -67,6 +67,7 @@ def test_longer_strings_against_brute_force(documents, small_blocks):
 def test_odd_rows_and_other_columns(documents):
     assert sorted(map(tuple, S.repeat_report(documents(ODD)).collect()), key=str) == brute(ODD)
     assert S.repeat_report(documents([])).count() == 0
-    docs = documents([(1, "shared " * 10 + "one"), (2, "shared " * 10 + "two"), (3, None)]).withColumnRenamed("source", "_block2")
+    docs = documents([(1, "shared " * 10 + "one"), (2, "shared " * 10 + "two"), (3, None)]).toDF("doc_id", "text", "_block", "c1", "payload")
+    assert S.remove_repeats(docs).columns == docs.columns
     out = {r.doc_id: r.text for r in S.remove_repeats(docs).collect()}
     assert out == {1: "shared " * 10 + "one", 2: "two", 3: None}
