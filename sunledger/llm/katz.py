@@ -6,7 +6,8 @@ the unigram probability of the words that do not follow h.
 
 The count tables are split into buckets by hashed history, and blocks of documents talk to them (see ``blocks``):
 
-1. A block sends the distinct words of its texts with their training counts and learns their corpus counts.
+1. A block sends the distinct words of its texts with their training counts and learns their corpus counts and numbers: a word's
+   number is its bucket and its place among the bucket's words, so it takes as many bits as the vocabulary needs.
 2. It sends its distinct pairs with training counts and the word's corpus count. A bucket then has every pair of a history, so it
    sums the counts and, for each history, how many pairs occur once, twice, ... and how many following words do: integers from
    which both sums of the backoff weight follow once the discounts are known. It answers with the pair counts, and with those
@@ -31,7 +32,7 @@ RELIABLE = 0.999        # their discount; it leaves some mass to unseen pairs in
 SPREAD = 500_000        # a history of more training tokens is dealt over several buckets
 BLOCKS_A_BUCKET = 4
 BEGIN, END = b"\n<s>", b"\n</s>"    # no word has a line break
-ASKING = np.uint64((1 << 56) - 1)   # a word key that only asks for a history's sums
+ASKING = np.uint64((1 << 64) - 1)   # a word number that only asks for a history's sums
 
 
 def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
@@ -96,13 +97,13 @@ class Tokens:
 class Asked:
     """What a block asks buckets about its pairs: entries sorted by ``part`` (hashed history and share), then word."""
 
-    def __init__(self, t: Tokens, corpus: np.ndarray):
+    def __init__(self, t: Tokens, corpus: np.ndarray, number: np.ndarray):
         t.pairs()
         follows = corpus.copy()
         follows[t.begin] = corpus[np.searchsorted(t.keys, xxhash.xxh3_64_intdigest(END))]
         self.follows = follows              # training tokens that follow a history
         shares = follows // SPREAD + 1
-        word = t.keys[t.w] >> np.uint64(8)
+        word = number[t.w]
         share = (word % shares[t.h].astype(np.uint64)).astype(np.int64)
         # An unseen pair of a spread history needs the sums of all shares.
         open_ = np.unique(t.h[(t.count == 0) & (shares[t.h] > 1)])
@@ -119,17 +120,6 @@ class Asked:
         self.pairs = len(t.h)
 
 
-def _low_bytes(values: np.ndarray) -> np.ndarray:
-    """56-bit values without their zero byte."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T).reshape(-1)
-
-
-def _from_low_bytes(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data) // 7, 8), np.uint8)
-    out[:, :7] = data.reshape(7, -1).T
-    return out.reshape(-1).view("<u8")
-
-
 _SENT = "bucket int, block int, payload binary"
 _REPLY = "block int, kind int, bucket int, payload binary"
 _REPLY_COLUMNS = ["block", "kind", "bucket", "payload"]
@@ -145,19 +135,21 @@ def _ask_words(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
         (b, block, B.packed(B.deltas(t.keys[x:y]), count[x:y])) for b, x, y in zip(bucket, bound[:-1], bound[1:])])
 
 
-def _count_words(frame: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+def _count_words(frame: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each sent array its corpus counts and places, and the counts of all words of the bucket."""
     sent = [B.unpacked(p) for p in frame["payload"]]
     keys = [B.undeltas(s[0]) for s in sent]
     found, which = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(which, np.concatenate([s[1] for s in sent]), len(found)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])[:-1]
-    return np.split(total[which], ends), total
+    return list(zip(np.split(total[which], ends), np.split(which, ends))), total
 
 
 def _tell_words(frame: pd.DataFrame) -> pd.DataFrame:
     answers, _ = _count_words(frame)
-    return B.rows(_REPLY_COLUMNS, [(block, 0, bucket, B.packed(a.astype(np.uint32 if a.max(initial=0) < 1 << 32 else np.int64)))
-                                   for block, bucket, a in zip(frame["block"], frame["bucket"], answers)])
+    return B.rows(_REPLY_COLUMNS, [
+        (block, 0, bucket, B.packed(a.astype(np.uint32 if a.max(initial=0) < 1 << 32 else np.int64), B.deltas(places).astype(np.uint32)))
+        for block, bucket, (a, places) in zip(frame["block"], frame["bucket"], answers)])
 
 
 def _counts_of_counts(total: np.ndarray) -> list[int]:
@@ -169,21 +161,24 @@ def _word_stats(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([[0, int((total > 0).sum()), int(total.sum()), *_counts_of_counts(total)]])
 
 
-def _corpus_counts(replies: pd.DataFrame) -> np.ndarray:
+def _told_words(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts and numbers of a block's words."""
     mine = replies[replies["kind"] == 0].sort_values("bucket")
-    return np.concatenate([B.unpacked(p)[0].astype(np.int64) for p in mine["payload"]])
+    told = [B.unpacked(p) for p in mine["payload"]]
+    return (np.concatenate([counts.astype(np.int64) for counts, _ in told]),
+            np.concatenate([B.undeltas(places).astype(np.uint64) + (np.uint64(b) << np.uint64(32)) for b, (_, places) in zip(mine["bucket"], told)]))
 
 
 def _ask_pairs(frame: pd.DataFrame, replies: pd.DataFrame, buckets: int) -> pd.DataFrame:
     columns = ["bucket", "block", "payload"]
     if frame.empty:
         return B.rows(columns, [])
-    a, block = Asked(Tokens(frame), _corpus_counts(replies)), int(frame["_block"].iloc[0])
+    a, block = Asked(Tokens(frame), *_told_words(replies)), int(frame["_block"].iloc[0])
     bucket, bound = B.bucket_bounds(a.part, buckets)
     # The corpus count only matters for pairs that train.
     corpus = np.where(a.count > 0, a.corpus, 0)
     return B.rows(columns, [(b, block, B.packed(
-        B.deltas(a.part[x:y]), _low_bytes(a.word[x:y]), a.count[x:y].astype(np.uint32), corpus[x:y].astype(np.int64)))
+        B.deltas(a.part[x:y]), a.word[x:y], a.count[x:y].astype(np.uint32), corpus[x:y].astype(np.int64)))
         for b, x, y in zip(bucket, bound[:-1], bound[1:])])
 
 
@@ -193,7 +188,7 @@ class Pairs:
     def __init__(self, frame: pd.DataFrame):
         sent = [B.unpacked(p) for p in frame["payload"]]
         part = np.concatenate([B.undeltas(s[0]) for s in sent])
-        word = np.concatenate([_from_low_bytes(s[1]) for s in sent])
+        word = np.concatenate([s[1] for s in sent])
         order = np.lexsort((word, part))
         part, word = part[order], word[order]
         new_part = np.r_[True, part[1:] != part[:-1]]
@@ -234,8 +229,9 @@ def _evaluate(frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(columns=columns)
     stats = np.frombuffer(replies.loc[replies["kind"] == 2, "payload"].iloc[0], ">i8").reshape(2, -1)
     types, total, word_d, pair_d = stats[0, 0], stats[0, 1], discounts(stats[0, 2:]), discounts(stats[1, 2:])
-    t, corpus = Tokens(frame), _corpus_counts(replies)
-    a = Asked(t, corpus)
+    t = Tokens(frame)
+    corpus, number = _told_words(replies)
+    a = Asked(t, corpus, number)
     count, sums = np.zeros(len(a.part), np.int64), np.zeros((len(t.keys), 2 * (LARGEST + 1)), np.int64)
     bucket_replies = dict(zip(*(replies.loc[replies["kind"] == 1, c] for c in ("bucket", "payload"))))
     at = 0
