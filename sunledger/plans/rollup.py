@@ -16,6 +16,7 @@ from sunledger.functions.solar import daylight_calendar, site_days
 from sunledger.functions.timeutil import day_spine, in_local_days
 from sunledger.operators import daily as D
 from sunledger.operators.counters import day_buckets
+from sunledger.operators.partials import BUCKET_TABLES, COUNTERS, local_buckets
 from sunledger.operators.power import POWER_30SEC, POWER_5MIN, power_column, power_from_buckets
 from sunledger.operators.site import site_energy
 from sunledger.session import work_dir
@@ -52,17 +53,16 @@ def compute_site_energy(inverter_days: DataFrame, meter_days: DataFrame, power:
     return site_energy(inverter_days, meter_days, power, registry, days, tz, limits.bucket_seconds)
 
 
-def _buckets(spark: SparkSession, samples: dict[str, DataFrame], tz: str, seconds: int,
-             scratch: str | None) -> dict[str, DataFrame]:
-    """Bucketed samples per kind.
+def _bucketed(samples: DataFrame, kind: str, tz: str, seconds: int) -> DataFrame:
+    return day_buckets(samples, COUNTERS[kind], tz, seconds, power_column(kind))
+
+
+def _written(spark: SparkSession, buckets: dict[str, DataFrame], scratch: str | None) -> dict[str, DataFrame]:
+    """Day buckets per kind.
 
     With ``scratch`` both kinds are written there in one job, so that the
     several results made from them do not each rebuild them.
     """
-    buckets = {
-        kind: day_buckets(df, D.INVERTER_COUNTERS if kind == "inverter" else D.METER_COUNTERS, tz, seconds, power_column(kind))
-        for kind, df in samples.items()
-    }
     if scratch is None:
         return buckets
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
@@ -84,7 +84,8 @@ def compute_site_rollup(inverter_samples: DataFrame, meter_samples: DataFrame, r
     its own daily rows.
     """
     spark, seconds = spine.sparkSession, limits.bucket_seconds
-    buckets = _buckets(spark, {"inverter": inverter_samples, "meter": meter_samples}, tz, seconds, scratch)
+    samples = {"inverter": inverter_samples, "meter": meter_samples}
+    buckets = _written(spark, {kind: _bucketed(df, kind, tz, seconds) for kind, df in samples.items()}, scratch)
     inverter, meter = buckets["inverter"], buckets["meter"]
     days = spine.select("site_id", "day").distinct()
     calendar = daylight_calendar(site_days(sites, days), tz)
@@ -109,14 +110,19 @@ def refresh_power(spark: SparkSession, store: str, first: dt.date, last: dt.date
 
 def _stored_buckets(spark: SparkSession, store: str, first: dt.date, last: dt.date, tz: str, scratch: str,
                     only: DataFrame | None = None) -> dict[str, DataFrame]:
-    def read(table: str) -> DataFrame:
+    """Day buckets of a range of local days: kept ones where the store has them (see ``kept``), else made from samples."""
+    def chosen(rows: DataFrame) -> DataFrame:
+        return rows if only is None else rows.join(only.select("site_id").distinct(), "site_id", "left_semi")
+
+    def read(kind: str) -> DataFrame:
+        table, kept = f"{kind}_samples", BUCKET_TABLES[kind]
+        if exists(spark, T.table_path(store, kept)):
+            return local_buckets(chosen(T.read_table(spark, store, kept)), kind, first, last, tz)
         if exists(spark, T.table_path(store, table)):
-            rows = T.read_local_days(spark, store, table, first, last, tz)
-            return rows if only is None else rows.join(only.select("site_id").distinct(), "site_id", "left_semi")
-        return spark.createDataFrame([], T.TABLES[table])  # a fleet may have only one kind
+            return _bucketed(chosen(T.read_local_days(spark, store, table, first, last, tz)), kind, tz, D.BUCKET_SECONDS)
+        return _bucketed(spark.createDataFrame([], T.TABLES[table]), kind, tz, D.BUCKET_SECONDS)  # a fleet may have only one kind
 
-    samples = {kind: read(f"{kind}_samples") for kind in ("inverter", "meter")}
-    return _buckets(spark, samples, tz, D.BUCKET_SECONDS, scratch)
+    return _written(spark, {kind: read(kind) for kind in COUNTERS}, scratch)
 
 
 def _write_power(spark: SparkSession, store: str, buckets: dict[str, DataFrame]) -> None:
@@ -130,7 +136,7 @@ def run_site_rollup(spark: SparkSession, store: str, first: dt.date, last: dt.da
     """Power, device and site rollups of a range of local days over a store.
 
     Raw samples of the range are read once, into 30-second day buckets in the
-    shared folder; every table is written before the next step reads it, and
+    shared folder, or not at all where the store keeps such buckets; every table is written before the next step reads it, and
     every step replaces rows by key, so a run can be repeated at any point.
     Devices are those of the roster and those with samples in the range.
     ``only`` (site_id, day) limits it to those days of those sites.

@@ -126,5 +126,6 @@ ORACLE["stream_device_waiting"] = _with(_READINGS) + """SELECT r.site_id, r.devi
   CASE WHEN d.seq IS NULL THEN 'waits' ELSE concat('SN', d.user_id % 3) END AS serial_number
 FROM (SELECT * FROM rd WHERE event_type <> 'signup') r ASOF LEFT JOIN (SELECT * FROM rd WHERE event_type = 'signup') d
 ON r.site_id = d.site_id AND r.device_name = d.device_name AND r.seq >= d.seq"""
+ORACLE["live_rollup_from_buckets"] = ORACLE["live_day_rollup"]
 ORACLE["power_realtime"] = ORACLE["power_5min"]
 ORACLE["power_refresh_late"] = ORACLE["power_30sec"]

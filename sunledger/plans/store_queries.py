@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sunledger import KEY
 from sunledger.functions.electrical import Grid
 from sunledger.operators import fanout, power
-from sunledger.plans import realtime
-from sunledger.plans.queries import _drain, _messages, _rounded, _store, query
+from sunledger.plans import kept, realtime
+from sunledger.plans.queries import SITE_FIGURES, TZ, _drain, _messages, _rounded, _store, query
 from sunledger.session import work_dir
 from sunledger.sources import batches, dimensions, driver_tables as A, messages as M, store as S, tables
-from sunledger.streaming import device_state as SD, ingest as SI
+from sunledger.streaming import device_state as SD, ingest as SI, live as SL
 
 MESSAGE = "topic string, payload string, seq long, ts timestamp"
 
@@ -272,6 +272,39 @@ def power_refresh_late(spark, sf_dir):
     return tables.read_table(spark, store, "power_30sec").drop("day")
 
 
+# --- rollups from kept buckets ------------------------------------------------------------------
+
+def kept_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store that began to keep buckets with a third of its samples, got a second third and a retry of it, and a third of each
+    bucket's samples later; its older days were compacted between the batches."""
+    store = work_dir(spark, "kept")
+    both = {"inverter": A.inverter_samples(spark, sf_dir), "meter": A.meter_samples(spark, sf_dir)}
+    A.registry(spark, sf_dir).write.parquet(f"{store}/device_registry")
+    A.sites(spark, sf_dir).write.parquet(f"{store}/site")
+    for kind, df in both.items():
+        S.append_days(df.where("seq % 3 = 0"), f"{store}/{kind}_samples")
+    kept.start_buckets(spark, store)
+
+    def batch(part: int) -> dict[str, DataFrame]:
+        rows = {kind: df.where(F.col("seq") % 3 == part) for kind, df in both.items()}
+        added = {t: x for kind, df in rows.items() for t, x in kept.kept_rows(spark, store, kind, df).items()}
+        return {**added, **{f"{kind}_samples": df for kind, df in rows.items()}}
+
+    for number, part in enumerate((1, 1, 2)):
+        batches.commit_batch(spark, store, "kept", min(number, part - 1), lambda: batch(part))
+        S.apply_compaction(spark, store, dt.datetime(2024, 1, 25) + dt.timedelta(days=9 * part))
+    return store
+
+
+@query("live_rollup_from_buckets")
+def live_rollup_from_buckets(spark, sf_dir):
+    """The stored site balance of a live rollup that reads kept buckets instead of samples."""
+    store = kept_store(spark, sf_dir)
+    both = [spark.readStream.schema(tables.TABLES[t]).parquet(f"{store}/{t}").select("site_id", "time") for t in ("inverter_samples", "meter_samples")]
+    _drain(SL.start_live_rollup(both[0].unionByName(both[1]), store, TZ, f"{store}/_checkpoint", available_now=True))
+    return _rounded(tables.read_table(spark, store, "site_energy"), SITE_FIGURES)
+
+
 # --- lifecycle ---------------------------------------------------------------------------------
 
 @query("compaction_store")

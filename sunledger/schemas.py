@@ -90,6 +90,14 @@ AVAILABILITY = _struct("kind:string seq:long ts:ts state:string day:date")
 
 MESSAGE_REJECTS = _struct("topic:string payload:string seq:long reason:string day:date", keyed=False)
 
+
+
+def _buckets(*counters: str) -> T.StructType:
+    """Kept day buckets; ``day`` is the UTC day of the bucket."""
+    each = " ".join(f"{c}_n:long {c}_t0:ts {c}_t1:ts {c}_v0:double {c}_v1:double" for c in counters)
+    return _struct(f"bucket:ts n:long t0:ts t1:ts power_n:long power_sum:double power_min:float power_max:float {each} day:date")
+
+
 # Tables of a store folder, all but the dimensions partitioned by ``day``.
 TABLES = {
     "inverter_samples": INVERTER_SAMPLES,
@@ -97,6 +105,9 @@ TABLES = {
     "inverter_input_samples": INVERTER_INPUT_SAMPLES,
     "meter_samples": METER_SAMPLES,
     "meter_phase_samples": METER_PHASE_SAMPLES,
+    # What each batch added to the 30-second buckets; several rows of a bucket are merged when read.
+    "inverter_buckets": _buckets("ac_energy"),
+    "meter_buckets": _buckets("energy_active_import", "energy_active_export"),
     "power_30sec": POWER,
     "power_5min": POWER,
     "inverter_daily": INVERTER_DAILY,

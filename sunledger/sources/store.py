@@ -13,10 +13,12 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sunledger import KEY
+from sunledger.operators.partials import BUCKET_TABLES, merge_buckets
 from sunledger.schemas import TABLES
 from sunledger.session import work_dir
 from sunledger.sources.files import create_new, drop_folder, exists, fs_of, is_data, list_versions, names_in, read_small  # noqa: F401
@@ -30,14 +32,17 @@ COMPACT_AFTER = dt.timedelta(days=7)
 MARKER = "_compacted"
 DAYS_PER_COMMIT = 16    # days of one compaction job; its lease is free between them
 RAW_TABLES = ["inverter_samples", "inverter_phase_samples", "inverter_input_samples",
-              "meter_samples", "meter_phase_samples", "message_rejects"]
+              "meter_samples", "meter_phase_samples", "message_rejects", *BUCKET_TABLES.values()]
 AGGREGATE_TABLES = ["power_30sec", "power_5min"]
 # Segment and time column of the tables that are compacted.
 SEGMENTS = {
     "inverter_samples": (None, "time"), "inverter_phase_samples": ("phase_id", "time"),
     "inverter_input_samples": ("input_id", "time"), "meter_samples": (None, "time"),
     "meter_phase_samples": ("phase_id", "time"), "power_30sec": ("kind", "bucket"), "power_5min": ("kind", "bucket"),
+    **{t: (None, "bucket") for t in BUCKET_TABLES.values()},
 }
+# Tables whose rows of one key become one row when their day is compacted.
+MERGED = {t: partial(merge_buckets, kind=kind) for kind, t in BUCKET_TABLES.items()}
 STAGING, REPLACED = "_staging-", "_replaced"
 _fs = fs_of
 
@@ -258,8 +263,9 @@ def _compacted(fs, folder) -> bool:
 
 
 def compact(spark: SparkSession, path: str, now: dt.datetime, segment: str | None = None,
-            after: dt.timedelta = COMPACT_AFTER, time: str = "time", schema=None, wait: float | None = None) -> list[dt.date]:
-    """Rewrite days older than ``after`` once, as sorted zstd files; the rows stay the same.
+            after: dt.timedelta = COMPACT_AFTER, time: str = "time", schema=None, wait: float | None = None,
+            merge: Callable[[DataFrame], DataFrame] | None = None) -> list[dt.date]:
+    """Rewrite days older than ``after`` once, as sorted zstd files; the rows stay the same, or become those of ``merge``.
 
     Rows are ranged by (day, segment, device, time), so one device's or one
     day's bulk is spread over tasks and adaptive execution sizes the files;
@@ -282,6 +288,7 @@ def compact(spark: SparkSession, path: str, now: dt.datetime, segment: str | Non
             if not replaced:    # expired meanwhile
                 continue
             old = _read_files(spark, path, replaced, schema)
+            old = merge(old) if merge else old
             _commit(spark, path, lease, lambda at: (
                 old.repartitionByRange("day", *order).sortWithinPartitions("day", *order)
                 .write.mode("append").option("compression", "zstd").partitionBy("day").parquet(at)), replaced,
@@ -294,6 +301,6 @@ def compact(spark: SparkSession, path: str, now: dt.datetime, segment: str | Non
 def apply_compaction(spark: SparkSession, store: str, now: dt.datetime) -> dict[str, list[dt.date]]:
     """Compaction over all sample and power tables of a store that exist, clustered by their segment column."""
     return {
-        t: compact(spark, table_path(store, t), now, segment, time=time, schema=TABLES[t])
+        t: compact(spark, table_path(store, t), now, segment, time=time, schema=TABLES[t], merge=MERGED.get(t))
         for t, (segment, time) in SEGMENTS.items() if exists(spark, table_path(store, t))
     }

@@ -22,6 +22,7 @@ from sunledger.operators.devices import device_upsert, meter_identity_nulls
 from sunledger.operators.ordered import change_gate, first_wins, latest
 from sunledger.operators.power import power_rows
 from sunledger.operators.validation import rejected_rows, rule_sets, valid_rows
+from sunledger.plans.kept import kept_rows
 from sunledger.plans.realtime import late_buckets
 from sunledger.schemas import TABLES
 from sunledger.sources.batches import commit_batch, source_of
@@ -71,6 +72,8 @@ def _fanned_out(batch: DataFrame, store: str, kind: str, rejects: list[DataFrame
     late = late_buckets(batch.sparkSession, store, power_rows(samples, kind))
     if late is not None:
         tables["power_late"] = late
+    # Published before the samples, whose arrival starts the rollups.
+    tables |= kept_rows(batch.sparkSession, store, kind, samples)
     return {**tables, "message_rejects": reduce(DataFrame.unionByName, rejects), f"{kind}_samples": samples}
 
 
