@@ -62,10 +62,14 @@ def _wrong(raw: Column, typed: Column, kind: T.DataType) -> Column:
     return lost
 
 
-def payload_problem(payload: Column, parsed: Column, schema: str, suffix: str) -> Column:
+def _texts(payload: Column, schema: str) -> Column:
+    return F.from_json(payload, ", ".join(f"{f.name} {_as_text(f.dataType)}" for f in _struct_of(schema).fields))
+
+
+def payload_problem(payload: Column, parsed: Column, schema: str, suffix: str, texts: Column | None = None) -> Column:
     """Why a payload cannot be stored, NULL if it can. Only one with a fault is read a second time, to name the fields."""
     fields = _struct_of(schema).fields
-    texts = F.from_json(payload, ", ".join(f"{f.name} {_as_text(f.dataType)}" for f in fields))
+    texts = _texts(payload, schema) if texts is None else texts
     names = F.array_compact(F.array(*(F.when(F.coalesce(_wrong(texts[f.name], parsed[f.name], f.dataType), F.lit(False)), f.name) for f in fields)))
     problem = F.when(parsed.isNull(), BAD_PAYLOAD).when(
         parsed[_UNREAD].isNotNull(), F.when(F.size(names) > 0, F.concat(F.lit(f"{WRONG_TYPE} "), F.array_join(names, ", "))).otherwise(BAD_PAYLOAD)
@@ -92,23 +96,53 @@ def parse_messages(messages: DataFrame, kind: str, suffix: str = "values") -> Da
     return df
 
 
+def _is(kind: str, suffix: str) -> Column:
+    return (F.col("kind") == kind) & (F.col("suffix") == suffix)
+
+
+def _reason(problem: Column) -> Column:
+    """Why a message of a split topic is a reject, NULL if it is none; ``problem`` is that of its payload."""
+    state = F.col("kind").isin("inverter", "meter") & (F.col("suffix") == "availability")
+    return (
+        F.when(F.col("site_id").isNull() | ~F.coalesce(reduce(or_, [*(_is(*t) for t in PAYLOADS), state]), F.lit(False)), BAD_TOPIC)
+        .when(state & ~F.coalesce(F.col("payload").isin(AVAILABILITY), F.lit(False)), BAD_STATE)
+        .when(~state, F.coalesce(problem, F.when(F.col("payload").isNull(), BAD_PAYLOAD))))
+
+
 def rejected_messages(messages: DataFrame) -> DataFrame:
     """topic, payload, seq, reason of the messages that no parser takes: unknown topics and payloads of another form.
 
     ``ts`` is carried if there is one.
     """
-    df = split_topic(messages)
-    known = [(F.col("kind") == kind) & (F.col("suffix") == suffix) for kind, suffix in PAYLOADS]
     problem = F.lit(None).cast("string")
-    for mine, ((_, suffix), schema) in zip(known, PAYLOADS.items()):
-        problem = F.when(mine, payload_problem(F.col("payload"), _parsed(F.col("payload"), schema), schema, suffix)).otherwise(problem)
-    state = F.col("kind").isin("inverter", "meter") & (F.col("suffix") == "availability")
-    reason = (
-        F.when(F.col("site_id").isNull() | ~F.coalesce(reduce(or_, [*known, state]), F.lit(False)), BAD_TOPIC)
-        .when(state & ~F.coalesce(F.col("payload").isin(AVAILABILITY), F.lit(False)), BAD_STATE)
-        .when(~state, F.coalesce(problem, F.when(F.col("payload").isNull(), BAD_PAYLOAD))))
+    for (kind, suffix), schema in PAYLOADS.items():
+        problem = F.when(_is(kind, suffix), payload_problem(F.col("payload"), _parsed(F.col("payload"), schema), schema, suffix)).otherwise(problem)
     carried = ["ts"] if "ts" in messages.columns else []
-    return df.select("topic", "payload", "seq", *carried, reason.alias("reason")).where("reason IS NOT NULL")
+    return split_topic(messages).select("topic", "payload", "seq", *carried, _reason(problem).alias("reason")).where("reason IS NOT NULL")
+
+
+def read_messages(messages: DataFrame, suffixes: list[str]) -> DataFrame:
+    """Every message with one of ``suffixes``, its payload read once: persist it and take parts with ``read_rows``.
+
+    Columns: topic, payload, seq, ts, the parts of the topic, a struct ``_<kind>_<suffix>`` of the typed fields for each type,
+    ``problem`` of the payload and ``reason`` for rejecting the message; both NULL where there is none.
+    """
+    df = split_topic(messages).where(F.col("suffix").isin(suffixes))
+    types = {t: (f"_{t[0]}_{t[1]}", schema) for t, schema in PAYLOADS.items() if t[1] in suffixes}
+    df = df.withColumns({c: F.when(_is(*t), _parsed(F.col("payload"), schema)) for t, (c, schema) in types.items()})
+    # In a column of its own, or it would be read once for each field that is looked at.
+    df = df.withColumns({f"{c}_texts": F.when(F.col(c)[_UNREAD].isNotNull(), _texts(F.col("payload"), schema)) for c, schema in types.values()})
+    problem = F.lit(None).cast("string")
+    for (kind, suffix), (c, schema) in types.items():
+        problem = F.when(_is(kind, suffix), payload_problem(F.col("payload"), F.col(c), schema, suffix, F.col(f"{c}_texts"))).otherwise(problem)
+    df = df.withColumn("problem", problem).withColumn("reason", _reason(F.col("problem")))
+    return df.select("topic", "payload", "seq", "ts", *KEY, "kind", "suffix", *(c for c, _ in types.values()), "problem", "reason")
+
+
+def read_rows(read: DataFrame, kind: str, suffix: str) -> DataFrame:
+    """Of ``read_messages``, the typed rows of one message type that can be stored."""
+    rows = read.where(_is(kind, suffix) & F.col("problem").isNull())
+    return rows.select(*KEY, "seq", "ts", *(F.col(f"_{kind}_{suffix}.{f.name}") for f in _struct_of(PAYLOADS[kind, suffix])))
 
 
 def parse_availability(messages: DataFrame, kind: str) -> DataFrame:

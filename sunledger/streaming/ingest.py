@@ -27,7 +27,7 @@ from sunledger.plans.realtime import late_buckets
 from sunledger.schemas import TABLES
 from sunledger.sources.batches import commit_batch, source_of
 from sunledger.sources.dimensions import keep_latest, write_dimension
-from sunledger.sources.messages import AVAILABILITY, parse_availability, parse_messages, rejected_messages, split_topic
+from sunledger.sources.messages import AVAILABILITY, parse_messages, read_messages, read_rows, rejected_messages
 from sunledger.sources.store import new_rows
 from sunledger.sources.tables import read_dimension, table_path
 from sunledger.sources.telegrams import parse_telegrams, telegram_devices, telegram_readings, telegram_rejects
@@ -134,21 +134,21 @@ def store_device_messages(batch: DataFrame, store: str, source: str | None = Non
     a message that is not newer than those is a repetition. Unreadable messages of these types go to ``message_rejects``.
     """
     spark = batch.sparkSession
-    batch = batch.withColumn("ts", _arrival(batch)).persist()
+    # Read by a dozen scans: payloads are parsed once, for all of them.
+    read = read_messages(batch.withColumn("ts", _arrival(batch)), ["device", "events", "availability"]).persist()
     try:
-        messages = split_topic(batch).where(F.col("suffix").isin("device", "events", "availability")).select(*batch.columns)
-        rejects, devices = [_rejects(rejected_messages(messages))], {}
+        rejects, devices = [_rejects(read.where(F.col("reason").isNotNull()))], {}
         for kind in ("inverter", "meter"):
-            seen = parse_messages(messages, kind, "device").where(~F.col("malformed")).drop("malformed", "topic")
+            seen = read_rows(read, kind, "device")
             if kind == "meter":
                 seen = meter_identity_nulls(seen)
             rules = rule_sets()[f"{kind}_device"]
             devices[kind] = valid_rows(seen, rules)
             rejects.append(_checked(seen.select(*KEY, "ts", *[f.name for f in TABLES[f"{kind}_device"] if f.name in seen.columns and f.name not in KEY]),
                                     f"{kind}_device")[1])
-        events = parse_messages(messages, "inverter", "events").where(~F.col("malformed"))
-        states = reduce(DataFrame.unionByName, (parse_availability(messages, kind).withColumn("kind", F.lit(kind)) for kind in devices))
-        states = states.where(F.col("state").isin(AVAILABILITY))
+        events = read_rows(read, "inverter", "events")
+        known = F.col("kind").isin(list(devices)) & (F.col("suffix") == "availability") & F.col("payload").isin(AVAILABILITY)
+        states = read.where(known).select(*KEY, "kind", "seq", "ts", F.col("payload").alias("state"))
         stored = commit_batch(spark, store, source or uuid.uuid4().hex, number, lambda: {
             "inverter_events": _gated(events, store, "last_events", EVENT, KEY),
             "availability": _gated(states, store, "last_availability", ["state"], [*KEY, "kind"]),
@@ -165,7 +165,7 @@ def store_device_messages(batch: DataFrame, store: str, source: str | None = Non
                 rows.select(*(F.col(n).cast(spans[n].dataType) for n in names), "ts"), current))
         return stored
     finally:
-        batch.unpersist()
+        read.unpersist()
 
 
 # --- meters --------------------------------------------------------------------------

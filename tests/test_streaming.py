@@ -217,3 +217,44 @@ def test_refresh_day_uses_the_local_calendar(spark, monkeypatch, days_back, day)
 def test_runs_of_consecutive_days():
     d = [dt.date(2024, 1, i) for i in (1, 2, 3, 7, 9, 10)]
     assert SL.runs(d) == [(d[0], d[2]), (d[3], d[3]), (d[4], d[5])] and SL.runs([]) == []
+
+
+def above_cache(df):
+    """Lines of the physical plan that are not inside a cached relation."""
+    lines, inside = [], None
+    for line in df._jdf.queryExecution().sparkPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if inside is not None and depth > inside:
+            continue
+        inside = depth if "InMemoryRelation" in line or "InMemoryTableScan" in line else None
+        lines.append(line)
+    return "\n".join(lines)
+
+
+def test_device_payloads_are_parsed_once_a_batch(spark, monkeypatch):
+    """Every scan of a batch reads what was parsed when it was cached."""
+    plans, commit = [], SI.commit_batch
+
+    def spied(spark, store, source, number, rows):
+        def told():
+            made = rows()
+            plans.extend(map(above_cache, made.values()))
+            return made
+        return commit(spark, store, source, number, told)
+
+    monkeypatch.setattr(SI, "commit_batch", spied)
+    store = work_dir(spark, "parsed")
+    rows = [("fleet/S/inverter/i/device", '{"serial_number":"A","phases":"x"}', 1), ("fleet/S/meter/m/device", '{"serial_number":"B","phases":2}', 2),
+            ("fleet/S/meter/m/device", '{"serial_number":"B","phases":4}', 3), ("fleet/S/meter/m/device", "{", 4),
+            ("fleet/S/inverter/i/events", '{"active_code":1,"state":"run","events":[]}', 5), ("fleet/S/inverter/i/events", '{"active_code":"x"}', 6),
+            ("fleet/S/meter/m/availability", "connected", 7), ("fleet/S/meter/m/availability", "away", 8), ("fleet/S/pump/p/device", "{}", 9),
+            ("inverter/i/events", '{"active_code":2}', 10), ("fleet/S/meter/m/values", "{", 11)]
+    batch = spark.createDataFrame(rows, "topic string, payload string, seq long").withColumn("ts", F.lit(AT))
+    assert SI.store_device_messages(batch, store)
+    assert len(plans) == 3 and not any("from_json" in p for p in plans)
+    rejects = {(r.seq, r.reason) for r in T.read_table(spark, store, "message_rejects").collect()}
+    assert rejects == {(1, "wrong type phases"), (4, "malformed payload"), (6, "wrong type active_code"), (8, "unknown state"),
+                       (9, "unknown topic"), (10, "unknown topic"), (None, "constraint device_phases")}
+    assert [(r.seq, r.active_code) for r in T.read_table(spark, store, "inverter_events").orderBy("seq").collect()] == [(5, 1), (10, 2)]
+    assert [r.seq for r in T.read_table(spark, store, "availability").collect()] == [7]
+    assert [r.serial_number for r in T.read_table(spark, store, "meter_device").collect()] == ["B"]
