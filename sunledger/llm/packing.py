@@ -9,7 +9,9 @@ length; ranks come from counts of (length, hash part), so no length, however com
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,9 +24,19 @@ from ..session import work_dir
 from .vocab import FileOnWorkers
 
 SPLITS = 64         # parts of a length that are ranked independently
-CACHED = 250_000    # words after which a worker forgets those not seen since the last time
+CACHED = 150_000    # words, and pieces of words, after which a worker forgets those not seen since the last time
 SLICE = 1 << 20     # characters whose new words are encoded together
 TOGETHER = 100      # words in a call's text
+# The normalizer and the splitting rule for which texts of the characters in PLAIN are split here instead, by PIECE: none of them
+# is changed by NFC, and their lower case and classes are the same in every Unicode version.
+NORMALIZED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")    # most frequent first: letters and digits start no other
+# The characters that a byte-level model has for the bytes of the letters in PLAIN.
+BYTES = [chr(0x122 + i) for i in range(0x21)] + [chr(0x143) if b == 0xAD else chr(b) for b in range(0xA1, 0x100)]   # from 0x80
+LETTERS = {c: "".join(BYTES[b - 0x80] for b in chr(c).encode("utf-8")) for c in range(0xC0, 0x100)}
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -118,28 +130,63 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
+class Recent:
+    """Values of keys that came up lately: once ``CACHED`` are new, the ones not seen since the last time go."""
+
+    def __init__(self):
+        self.values: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """Those of ``keys`` without a value; ``values`` has the others."""
+        if len(self.values) > CACHED:
+            self.values, self._older = {}, self.values
+        unknown = []
+        # Not a set difference: that would walk through the whole cache each time.
+        for key in keys:
+            if key not in self.values:
+                if (value := self._older.get(key)) is None:
+                    unknown.append(key)
+                else:
+                    self.values[key] = value
+        return unknown
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space, so that words between spaces can be encoded one by one.
 
     New words go to the tokenizer together, with one of its own marks (an added token) between them; words that could touch such a
-    mark, and all words if it has none, go alone. Words that came up lately are kept: once ``CACHED`` are new, the ones not seen
-    since the last time go.
+    mark, and all words if it has none, go alone. Where the tokenizer's rules are NORMALIZED and SPLIT, a text of plain characters
+    is split into the rules' pieces instead, which spares the tokenizer its normalizer and its splitting; new pieces go to its model
+    together. Words and pieces that came up lately are kept.
     """
 
     def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_str(content.decode("utf-8"))
-        marks = [(t.content, i) for i, t in sorted(self._tokenizer.get_added_tokens_decoder().items())
-                 if len(t.content) > 2 and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self._mark, self._mark_id = marks[-1] if marks else (None, None)
-        self._words: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        added = [t for _, t in sorted(self._tokenizer.get_added_tokens_decoder().items())]
+        own = [t.content for t in added if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        marks = [c for c in own if len(c) > 2]
+        self._mark, self._mark_id = (marks[-1], self._tokenizer.token_to_id(marks[-1])) if marks else (None, None)
+        self._words, self._pieces = Recent(), Recent()
+        rules = json.loads(content)
+        self._added = own
+        self._model = None
+        if (len(own) == len(added) and (rules["normalizer"] or {}).get("normalizers") == NORMALIZED
+                and (rules["pre_tokenizer"] or {}).get("pretokenizers") == SPLIT
+                and not (rules["truncation"] or rules["padding"] or rules["model"].get("dropout")) and rules["model"].get("end_of_word_suffix") == "</w>"):
+            self._model = Tokenizer(self._tokenizer.model)
+            self._model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            # No piece has these characters itself, so an id with them ends one.
+            last = [i for token, i in self._tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]
+            self._last = np.zeros(max(self._tokenizer.get_vocab().values()) + 1, bool)
+            self._last[last] = True
 
     def _alone(self, words: list[str]) -> None:
         for word, e in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self._words[word] = np.array(e.ids, "<u4").tobytes()
+            self._words.values[word] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
         if self._mark is None:
@@ -157,24 +204,41 @@ class WordIds:
                 continue
             raw = ids.tobytes()
             for word, x, y in zip(part, [0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)], strict=True):
-                self._words[word] = raw[x:y]
+                self._words.values[word] = raw[x:y]
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        parts = [pieces[x:x + TOGETHER] for x in range(0, len(pieces), TOGETHER)]
+        texts = [text if (text := " ".join(part)).isascii() else text.translate(LETTERS) for part in parts]
+        for part, e in zip(parts, self._model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = [0, *(4 * np.flatnonzero(self._last[ids]) + 4).tolist()]
+            if len(at) != len(part) + 1:    # the model has no id for the end of some piece
+                for piece, one in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    self._pieces.values[piece] = np.array(one.ids, "<u4").tobytes()
+                continue
+            raw = ids.tobytes()
+            for piece, x, y in zip(part, at, at[1:]):
+                self._pieces.values[piece] = raw[x:y]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        split = [text.split(" ") for text in texts]
+        if new := self._words.unknown(set().union(*split)):
+            self._learn(new)
+        return [b"".join(map(self._words.values.__getitem__, words)) for words in split]
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        split = [PIECE.findall(text.lower()) for text in texts]
+        if new := self._pieces.unknown(set().union(*split)):
+            self._learn_pieces(new)
+        return [b"".join(map(self._pieces.values.__getitem__, pieces)) for pieces in split]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [text.split(" ") for text in texts]
-        if len(self._words) > CACHED:
-            self._words, self._older = {}, self._words
-        # Not a set difference: that would walk through the whole cache each time.
-        new = [w for w in set().union(*split) if w not in self._words]
-        unknown = []
-        for w in new:
-            if (ids := self._older.get(w)) is None:
-                unknown.append(w)
-            else:
-                self._words[w] = ids
-        if unknown:
-            self._learn(unknown)
-        return [b"".join(map(self._words.__getitem__, words)) for words in split]
+        if self._model is None:
+            return self._by_words(texts)
+        plain = [PLAIN.fullmatch(text) is not None and not any(a in text for a in self._added) for text in texts]
+        pieces, words = (iter(f([t for t, p in zip(texts, plain) if p == kind])) for f, kind in ((self._by_pieces, True), (self._by_words, False)))
+        return [next(pieces if p else words) for p in plain]
 
 
 def _slices(texts: pa.Array) -> Iterator[list[str]]:
