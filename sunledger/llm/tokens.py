@@ -105,22 +105,25 @@ def _words(data: np.ndarray, begins: np.ndarray, texts: np.ndarray, languages: n
     """``begins``: where non-empty texts begin in ``data``; ``texts`` their rows; ``languages`` a hash for each row."""
     kind = _CLASS[data]
     inside = kind == 0
-    edge = np.zeros(len(data) + 1, bool)
-    edge[begins] = True
-    edge[-1] = True
-    before = np.r_[False, inside[:-1]]
-    before[begins] = False
-    after = np.r_[inside[1:], False] & ~edge[1:]
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[begins] = inside[begins]
+    last[:-1] &= ~inside[1:]
+    behind = begins[1:] - 1     # the last bytes of texts
+    last[behind] = inside[behind]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = _powers(len(data))
-    total = np.cumsum(_VALUE[data] * up[:len(data)], dtype=np.uint64)
-    summed = total[end - 1] - np.where(start > 0, total[start - 1], np.uint64(0))
-    owner = np.searchsorted(begins, start, "right") - 1
-    h = mixed(summed * down[start] + (end - start).astype(np.uint64) * np.uint64(_BASE))
-    h = mixed(h ^ languages[texts[owner]])
-    ends = np.flatnonzero(kind == 2)
-    piece = np.searchsorted(ends, start) + owner    # both grow along the data, so a sum is unique to a piece
-    return Words(data, start, end, np.where(h == 0, np.uint64(1), h), piece, texts[owner])
+    total = _VALUE.take(data)
+    total *= up[:len(data)]
+    np.cumsum(total, out=total)
+    before = total[start - 1]
+    before[start == 0] = 0
+    owner = np.repeat(np.arange(len(begins)), np.diff(np.r_[np.searchsorted(start, begins), len(start)]))
+    text = texts[owner]
+    h = mixed((total[end - 1] - before) * down[start] + (end - start).astype(np.uint64) * np.uint64(_BASE))
+    h = mixed(h ^ languages[text])
+    piece = np.cumsum(kind == 2, dtype=np.int64)[start] + owner    # both grow along the data, so a sum is unique to a piece
+    return Words(data, start, end, np.where(h == 0, np.uint64(1), h), piece, text)
 
 
 def words_of(texts: pa.Array, languages: list[np.uint64]) -> Iterator[Words]:

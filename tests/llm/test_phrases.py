@@ -109,3 +109,29 @@ def test_bitmap(spark):
     bitmap = P._bitmap(spark.createDataFrame(rows, "w1 long, w2 long"), ["w1", "w2"], 5000)
     assert bitmap.has(np.where(w2 == 0, w1, tokens.chained(w1, w2))).all()
     assert bitmap.has(tokens.mixed(np.arange(20000, 40000, dtype=np.uint64))).mean() < 0.1
+
+
+def test_words_at_the_edges_of_texts():
+    """Words end with their text, whatever stands next to it in the batch; equal words have equal hashes."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sunledger.llm.tokens import words_of
+
+    texts = ["a", "b", " a", "b ", "", None, ".", " ", "A b,c", "c\n", "\nc", "ab", "c;;a b", "\u00e9", "x" * 9, "a"]
+    got, place, hashes = [], {}, {}
+    for words in words_of(pa.array(texts), [np.uint64(5)] * len(texts)):
+        data = words.data.tobytes()
+        for s, e, h, p, t in zip(*(x.tolist() for x in (words.start, words.end, words.hash, words.piece, words.text))):
+            word = data[s:e].lower().decode("utf-8")
+            got.append((t, place.setdefault(p, len(place)), word))
+            assert hashes.setdefault(word, h) == h
+    want, pieces = [], 0
+    for t, text in enumerate(texts):
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").lower()):
+            if words := re.findall("[^ \t]+", piece):
+                want += [(t, pieces, w) for w in words]
+                pieces += 1
+    assert got == want and len(set(hashes.values())) == len(hashes)
