@@ -7,7 +7,9 @@ their extensions word by word (a prefix that is too rare is not extended), and s
 language has as many surviving phrases as are asked for, only words whose bound reaches the last of them, ties included, are
 left to expand; then the language is settled. With a large corpus that is a small share of its words.
 
-Counting is exact. Documents are scanned again for each level; a scan emits only phrases whose prefix may be wanted, by a bitmap
+Counting is exact. Texts are split into words twice, to count the words and to write down the runs of frequent ones: no phrase
+that is frequent enough has another word in it, nor always the same other word beside it, so any other word is a gap there, like a
+break. These runs are scanned again for each level; a scan emits only phrases whose prefix may be wanted, by a bitmap
 of hashed prefixes of at most 2^27 bits (16 MB), whatever the number of prefixes; false hits are taken out by a join. Words and
 phrases never come to the driver. A word is told apart by a 64-bit hash of language and letters, a phrase by those of its words.
 
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from sunledger.llm import blocks as B
 from sunledger.llm.tokens import Words, chained, text_hash, words_of
 from sunledger.session import work_dir
 
@@ -71,8 +74,46 @@ def _combined(columns: list[np.ndarray], kinds: list) -> list[np.ndarray]:
             for c, kind in zip(columns, kinds)]
 
 
-def _scan(docs: DataFrame, emit: Callable[[Words, list[str]], list[np.ndarray]], kinds: list, schema: str) -> DataFrame:
-    """What ``emit(words, language of each row)`` gives for every slice of the texts of ``docs`` (text, lang).
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
+    """The words of texts (text, lang) slice by slice, with the language of each row of their batch."""
+    known: dict[str, np.uint64] = {}
+    for batch in batches:
+        languages = batch.column(1).to_pylist()
+        for x in set(languages) - known.keys():
+            known[x] = text_hash(x)
+        for words in words_of(batch.column(0), [known[x] for x in languages]):
+            if len(words):
+                yield words, languages
+
+
+def _runs(docs: DataFrame, frequent) -> DataFrame:
+    """The frequent words of ``docs`` (text, lang): a row a slice, with its different words and their places, 0 for a gap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, _ in _slices(batches):
+            kept = np.flatnonzero(frequent.value.has(words.hash))
+            if len(kept):
+                gap = (np.diff(kept) != 1) | (words.piece[kept[1:]] != words.piece[kept[:-1]])
+                dictionary, which = np.unique(words.hash[kept], return_inverse=True)
+                places = np.insert(which + 1, np.flatnonzero(gap) + 1, 0)
+                payload = B.packed(B.deltas(dictionary), places.astype(np.uint16 if len(dictionary) < 1 << 16 else np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], names=["payload"])
+
+    return docs.mapInArrow(run, "payload binary")
+
+
+def _kept_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
+    """What ``_runs`` has written, a run as a piece; the words have no spelling and no rows."""
+    none = np.empty(0, np.int64)
+    for batch in batches:
+        for payload in batch.column(0):
+            deltas, places = B.unpacked(payload.as_py())
+            gap = places == 0
+            words = B.undeltas(deltas)[places[~gap].astype(np.int64) - 1]
+            yield Words(none, none, none, words, np.cumsum(gap)[~gap], none), []
+
+
+def _scan(rows_: DataFrame, emit: Callable[[Words, list[str]], list[np.ndarray]], kinds: list, schema: str, slices=_kept_slices) -> DataFrame:
+    """What ``emit`` gives for each of the ``slices`` of the rows.
 
     Its first column groups the rows and is left out of the result; a task adds the rows of its slices up as far as ``HELD`` of
     them go, so that what is common is sent a few times by each task.
@@ -84,27 +125,21 @@ def _scan(docs: DataFrame, emit: Callable[[Words, list[str]], list[np.ndarray]],
         return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype != object else c) for c in columns[1:]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.uint64] = {}
         held: list[list[np.ndarray]] = []
         size = 0
-        for batch in batches:
-            languages = batch.column(1).to_pylist()
-            for x in set(languages) - known.keys():
-                known[x] = text_hash(x)
-            for words in words_of(batch.column(0), [known[x] for x in languages]):
-                if len(words):
-                    held.append(emit(words, languages))
-                    size += len(held[-1][0])
-                if size > HELD:
-                    held = [_combined([np.concatenate(c) for c in zip(*held)], kinds)]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield rows(held[0])
-                        held, size = [], 0
+        for words, languages in slices(batches):
+            held.append(emit(words, languages))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [_combined([np.concatenate(c) for c in zip(*held)], kinds)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield rows(held[0])
+                    held, size = [], 0
         if size:
             yield rows(_combined([np.concatenate(c) for c in zip(*held)], kinds))
 
-    return docs.mapInArrow(run, schema)
+    return rows_.mapInArrow(run, schema)
 
 
 def _word_counts(docs: DataFrame, rules: PhraseRules) -> DataFrame:
@@ -117,7 +152,7 @@ def _word_counts(docs: DataFrame, rules: PhraseRules) -> DataFrame:
         return [group, np.array(langs, object), np.r_[w, np.zeros(len(rows), np.uint64)],
                 np.array(words.spelled(first) + [""] * len(rows), object), np.r_[n, all_]]
 
-    counted = _scan(docs, emit, [None, None, None, np.add], "lang string, w long, word string, n long").groupBy(
+    counted = _scan(docs, emit, [None, None, None, np.add], "lang string, w long, word string, n long", _slices).groupBy(
         "lang", "w", "word").agg(F.sum("n").alias("f"))
     return counted.where((F.col("f") >= rules.least) | (F.col("w") == 0))
 
@@ -144,7 +179,7 @@ def _bitmap(phrases: DataFrame, keys: list[str], rows: int) -> Bitmap:
     return Bitmap(held, bits)
 
 
-def _extensions(docs: DataFrame, firsts, prefixes, frequent, m: int) -> DataFrame:
+def _extensions(runs: DataFrame, firsts, prefixes, frequent, m: int) -> DataFrame:
     """Occurrences of phrases of ``m`` words that extend a prefix by a frequent word: (w1 .. wm, n), added up in part.
 
     ``firsts``: the first words of all prefixes, so that little else is hashed.
@@ -161,10 +196,10 @@ def _extensions(docs: DataFrame, firsts, prefixes, frequent, m: int) -> DataFram
         g, first, n = np.unique(chained(g, words.hash[at + m - 1]), return_index=True, return_counts=True)
         return [g, *(words.hash[at[first] + i] for i in range(m)), n]
 
-    return _scan(docs, emit, [None] * m + [np.add], ", ".join(f"{c} long" for c in [*names, "n"]))
+    return _scan(runs, emit, [None] * m + [np.add], ", ".join(f"{c} long" for c in [*names, "n"]))
 
 
-def _settled(docs: DataFrame, firsts, wanted, rules: PhraseRules) -> DataFrame:
+def _settled(runs: DataFrame, firsts, wanted, rules: PhraseRules) -> DataFrame:
     """Wanted phrases of 2 words and more: (w1 .., a, least and greatest neighbour before and behind)."""
     names = [*rules.keys, "n", "pmin", "pmax", "nmin", "nmax"]
     kinds = [*[None] * rules.longest, np.add, np.minimum, np.maximum, np.minimum, np.maximum]
@@ -182,7 +217,7 @@ def _settled(docs: DataFrame, firsts, wanted, rules: PhraseRules) -> DataFrame:
                                     np.ones(len(here), np.int64), before, before, behind, behind], [None, *kinds]))
         return [np.concatenate(c) for c in zip(*parts)]
 
-    rows = _scan(docs, emit, kinds, ", ".join(f"{c} long" for c in names))
+    rows = _scan(runs, emit, kinds, ", ".join(f"{c} long" for c in names))
     return rows.groupBy(*rules.keys).agg(F.sum("n").alias("a"), *(f(c).alias(c) for c, f in (
         ("pmin", F.min), ("pmax", F.max), ("nmin", F.min), ("nmax", F.max))))
 
@@ -203,11 +238,13 @@ class _Rounds:
     """Tables of one run below the shared folder; every one is written once and read by name."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, rules: PhraseRules):
-        self.spark, self.docs, self.rules = spark, docs, rules
+        self.spark, self.rules = spark, rules
         self.folder = work_dir(spark, "phrases")
         self.words = self.kept("words", _word_counts(docs, rules))
         self.totals = self.words.where("w = 0").select("lang", F.col("f").alias("n"))
         self.words = self.words.where("w <> 0")
+        self.frequent = self.shared(self.words, ["w"], self.words.count())
+        self.runs = self.kept("runs", _runs(docs, self.frequent))
 
     def kept(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
@@ -226,7 +263,7 @@ class _Rounds:
         steps = [F.coalesce(F.max(F.when(F.col("part") <= s, F.col("to"))), F.min("to")).alias(f"to{i}") for i, s in enumerate(SHARES)]
         return marked.groupBy("lang").agg(F.max("to").alias("most"), *steps).join(self.totals, "lang")
 
-    def grown(self, frontier: DataFrame, frequent, name: str) -> DataFrame | None:
+    def grown(self, frontier: DataFrame, name: str) -> DataFrame | None:
         """All phrases frequent enough that start with a word of the frontier: (w1 .., a)."""
         keys, prefixes, all_ = self.rules.keys, frontier.select("w1"), None
         firsts = None
@@ -237,7 +274,7 @@ class _Rounds:
             on = keys[:m - 1]
             held = self.shared(prefixes, on, rows)
             firsts = firsts or held
-            found = _extensions(self.docs, firsts, held, frequent, m)
+            found = _extensions(self.runs, firsts, held, self.frequent, m)
             found = found.groupBy(*keys[:m]).agg(F.sum("n").alias("a")).where(F.col("a") >= self.rules.least)
             found = self.kept(f"{name}-{m}", found.join(prefixes, on, "left_semi"))
             prefixes = found.select(*keys[:m])
@@ -261,7 +298,7 @@ class _Rounds:
             wanted = wanted.unionByName(r)
         wanted = self.kept(f"{name}-wanted", wanted.distinct())
         rows = wanted.count()
-        told = _settled(self.docs, self.shared(wanted, keys[:1], rows), self.shared(wanted, keys, rows), rules)
+        told = _settled(self.runs, self.shared(wanted, keys[:1], rows), self.shared(wanted, keys, rows), rules)
         told = self.kept(f"{name}-told", told.join(wanted, keys, "left_semi"))
 
         single = self.words.select(F.col("w").alias("w1"), *(zero.alias(k) for k in keys[1:]), F.col("f").alias("a"))
@@ -301,9 +338,7 @@ def mine_phrases(docs: DataFrame, rules: PhraseRules = PhraseRules(), text: str
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
     run, keys = _Rounds(spark, docs, rules), rules.keys
-    n_words = run.words.count()
     spans = run.kept("spans", run.spans())
-    frequent = run.shared(run.words, ["w"], n_words)
     highs = [*(f"to{i}" for i in range(len(SHARES))), "most"]
     states = spans.select("lang", "n", "most", *highs[:-1], F.lit(0).cast("long").alias("low"), F.col(highs[0]).alias("high"), F.lit(None).cast("long").alias("theta"))
     scored = None
@@ -315,7 +350,7 @@ def mine_phrases(docs: DataFrame, rules: PhraseRules = PhraseRules(), text: str
             if not open_.head(1):
                 break
         else:
-            found = run.grown(frontier, frequent, f"round-{i}")
+            found = run.grown(frontier, f"round-{i}")
             if found is not None and found.head(1):
                 more = run.scored(found, states, f"round-{i}")
                 scored = more if scored is None else scored.unionByName(more)

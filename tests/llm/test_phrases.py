@@ -135,3 +135,26 @@ def test_words_at_the_edges_of_texts():
                 want += [(t, pieces, w) for w in words]
                 pieces += 1
     assert got == want and len(set(hashes.values())) == len(hashes)
+
+
+def test_runs_of_frequent_words(spark):
+    """Levels scan runs of frequent words that were written once; other words and breaks are gaps."""
+    rows = [("a b rare c, a B;b  c\nrare", "en"), ("b rare", "de"), (None, "en"), ("rare", "en"), ("c a", "en")]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    [words] = tokens.words_of(pa.array(["a b c"]), [tokens.text_hash("en")])
+    spelled = dict(zip(words.hash.tolist(), "abc"))
+    held = np.zeros(1 << 17, np.uint8)
+    for h in spelled:
+        held[h >> 47] |= 1 << (h >> 44 & 7)
+
+    class Frequent:
+        value = P.Bitmap(held, 20)
+
+    [row] = P._runs(docs, Frequent).collect()
+    [(words, _)] = P._kept_slices([pa.RecordBatch.from_arrays([pa.array([bytes(row.payload)])], names=["payload"])])
+    runs = collections.defaultdict(str)
+    for piece, h in zip(words.piece.tolist(), words.hash.tolist()):
+        runs[piece] += spelled[h]
+    assert list(runs.values()) == ["ab", "c", "ab", "bc", "ca"]
+    path = P._Rounds(spark, docs, P.PhraseRules(least=2)).runs.inputFiles()[0]
+    assert "/runs/" in path
