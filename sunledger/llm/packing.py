@@ -13,8 +13,9 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from codecs import charmap_decode
+from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .vocab import FileOnWorkers
 
 SPLITS = 64         # parts of a length that are ranked independently
 CACHED = 150_000    # words, and pieces of words, after which a worker forgets those not seen since the last time
-SLICE = 1 << 20     # characters whose new words are encoded together
+SLICE = 1 << 17     # characters whose new words are encoded together
 TOGETHER = 100      # words in a call's text
 # The normalizer and the splitting rule for which texts of the characters in PLAIN are split here instead, by PIECE: none of them
 # is changed by NFC, and their lower case and classes are the same in every Unicode version.
@@ -36,7 +37,7 @@ PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")    # most frequent first: letters and digits start no other
 # The characters that a byte-level model has for the bytes of the letters in PLAIN.
 BYTES = [chr(0x122 + i) for i in range(0x21)] + [chr(0x143) if b == 0xAD else chr(b) for b in range(0xA1, 0x100)]   # from 0x80
-LETTERS = {c: "".join(BYTES[b - 0x80] for b in chr(c).encode("utf-8")) for c in range(0xC0, 0x100)}
+SHOWN = "".join([*map(chr, range(0x80)), *BYTES])      # of every byte
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -137,19 +138,16 @@ class Recent:
         self.values: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
-    def unknown(self, keys: set[str]) -> list[str]:
-        """Those of ``keys`` without a value; ``values`` has the others."""
+    def unknown(self, keys: Iterable[str]) -> list[str]:
+        """Those of ``keys``, each once, without a value; ``values`` has the others."""
         if len(self.values) > CACHED:
             self.values, self._older = {}, self.values
-        unknown = []
-        # Not a set difference: that would walk through the whole cache each time.
-        for key in keys:
-            if key not in self.values:
-                if (value := self._older.get(key)) is None:
-                    unknown.append(key)
-                else:
-                    self.values[key] = value
-        return unknown
+        older = self._older
+        new = set(filterfalse(self.values.__contains__, keys))
+        known = list(filter(older.__contains__, new))
+        self.values.update(zip(known, map(older.__getitem__, known)))
+        new.difference_update(known)
+        return list(new)
 
 
 class WordIds:
@@ -208,7 +206,7 @@ class WordIds:
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         parts = [pieces[x:x + TOGETHER] for x in range(0, len(pieces), TOGETHER)]
-        texts = [text if (text := " ".join(part)).isascii() else text.translate(LETTERS) for part in parts]
+        texts = [text if (text := " ".join(part)).isascii() else charmap_decode(text.encode("utf-8"), "strict", SHOWN)[0] for part in parts]
         for part, e in zip(parts, self._model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             at = [0, *(4 * np.flatnonzero(self._last[ids]) + 4).tolist()]
@@ -222,13 +220,13 @@ class WordIds:
 
     def _by_words(self, texts: list[str]) -> list[bytes]:
         split = [text.split(" ") for text in texts]
-        if new := self._words.unknown(set().union(*split)):
+        if new := self._words.unknown(chain.from_iterable(split)):
             self._learn(new)
         return [b"".join(map(self._words.values.__getitem__, words)) for words in split]
 
     def _by_pieces(self, texts: list[str]) -> list[bytes]:
         split = [PIECE.findall(text.lower()) for text in texts]
-        if new := self._pieces.unknown(set().union(*split)):
+        if new := self._pieces.unknown(chain.from_iterable(split)):
             self._learn_pieces(new)
         return [b"".join(map(self._pieces.values.__getitem__, pieces)) for pieces in split]
 

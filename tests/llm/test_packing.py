@@ -111,6 +111,17 @@ def test_plain_texts_are_split_as_the_tokenizer_does(monkeypatch):
     assert ids(texts) == want(texts)
 
 
+def test_values_of_keys_that_came_lately(monkeypatch):
+    """Keys come one after another with repeats, without a set made of them first."""
+    monkeypatch.setattr(P, "CACHED", 3)
+    recent = P.Recent()
+    assert sorted(recent.unknown(iter("abcaabd"))) == ["a", "b", "c", "d"]
+    recent.values.update((k, k.encode()) for k in "abcd")
+    assert recent.unknown(iter("aaxbx")) == ["x"] and recent.values == {"a": b"a", "b": b"b"}
+    recent.values.update((k, k.encode()) for k in "xy")
+    assert sorted(recent.unknown(iter("acb"))) == ["c"] and recent.values == {"a": b"a", "b": b"b"}
+
+
 def test_bad_lengths_and_nothing(spark):
     schema = "doc_id long, length long"
     assert P.pack(spark.createDataFrame([], schema), 10, ["doc_id"]).count() == 0
